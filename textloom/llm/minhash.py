@@ -9,8 +9,9 @@ leading zeros and ten mantissa bits (16 bits). Empty buckets borrow from buckets
    with two members, the smallest doc_id and a random one, never with all. The register estimate, corrected for
    registers that are equal by chance, drops pairs that are far below the threshold (five standard deviations).
 3. Pairs are verified on the full sets: first each document's best pair, then those pairs whose ends are still apart.
-4. Buckets whose members are still in different components give the remaining pairs across components, which are
-   estimated and verified alike. So no link between different texts that share a band is lost, and members that are
+4. Buckets whose members are still in different components give the remaining pairs across components. They are compared
+   inside the join by samples of their sets (whole sets up to 512 shingles), so that only pairs that may be links leave it,
+   and then estimated and verified alike. So no link between different texts that share a band is lost, and members that are
    already together are not compared.
 
 The number of registers a band has is the largest with which a pair at the threshold is missed with probability of at
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Words, components, cut, grams, slices, texts_of
 
 BUCKETS = 256
+DEBUG = False
+SAMPLE = 512
 USED = 252  # a multiple of many band widths
 MANTISSA = 10
 _PROBES = np.array([np.random.default_rng(7 + i).permutation(BUCKETS) for i in range(BUCKETS)], dtype=np.uint8)
@@ -128,6 +131,26 @@ def _confirm(shingle: int, num: int, den: int):
     return run
 
 
+def _samples(shingle: int):
+    """For the last comparison: of each set the hashes under a bound that halves until at most SAMPLE are expected."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                level, under, half, values = [], [], [], []
+                for s in shingle_sets(texts_of(part.column("text")), shingle):
+                    k = max(0, int(np.ceil(np.log2(max(1, len(s)) / SAMPLE))))
+                    low = s & np.uint64(0xFFFFFFFF)
+                    own = low < np.uint64(1 << (32 - k))
+                    level.append(k)
+                    under.append(int(own.sum()))
+                    half.append(int((low < np.uint64(1 << (31 - k))).sum()))
+                    values.append((s[own] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(level, pa.int32()), pa.array(under, pa.int32()), pa.array(half, pa.int32()), pa.array(values, pa.list_(pa.int32()))], names=["rep", "level", "under", "half", "sample"])
+
+    return run
+
+
 def band_width(threshold: float, miss: float = 1e-6) -> int:
     """Registers a band: the most with which a pair at the threshold shares no band with probability of at most ``miss``."""
     return max(r for r in range(1, 17) if (1 - threshold**r) ** (USED // r) <= miss or r == 1)
@@ -145,18 +168,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int, int]
     member = full.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     bands = USED // width
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * F.lit(2 * width) + 1, F.lit(2 * width))))
-    in_band = classes.select("rep", "n", F.explode(keys).alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("rep").alias("c1"), F.min(F.struct(F.xxhash64("rep", "band").alias("o"), F.col("rep").alias("c"))).alias("m"), F.max("rep").alias("top")).where("c1 < top")
-    stars = in_band.join(shared, "band").select(F.col("rep").alias("a"), F.explode(F.array("c1", "m.c")).alias("b")).where("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(i, F.substring(F.col("regs"), i * F.lit(2 * width) + 1, F.lit(2 * width))).alias("band")))
+    in_band = classes.select("rep", "n", F.explode(keys).alias("k")).select("rep", "n", "k.band", "k.i")
+    # a bucket's two centres: its smallest member, and a random one; bands take turns with four random orders
+    shared = in_band.groupBy("band").agg(
+        F.min(F.struct("rep", "n")).alias("c1"), F.min(F.struct(F.xxhash64("rep", F.col("i") % 4).alias("o"), "rep", "n")).alias("c2"), F.max("rep").alias("top")
+    ).where("c1.rep < top").select("band", F.array("c1", F.struct("c2.rep", "c2.n")).alias("centres"))
+    members = cut(in_band.select("rep", "n", "band").join(shared, "band"))
+    stars = members.select("rep", "n", F.explode("centres").alias("c")).where(f"rep <> c.rep and least(n, c.n) * {den} >= greatest(n, c.n) * {num}")
+    stars = cut(stars.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct())
+    texts = cut(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-        return joined.select("a", "b", "ra", "rb").mapInArrow(_estimate(num / den), "a long, b long, j double")
+        side = lambda x: classes.select(F.col("rep").alias(x), F.col("regs").alias(f"r{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb").mapInArrow(_estimate(num / den), "a long, b long, j double")
 
-    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
         joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
         return joined.mapInArrow(_confirm(shingle, num, den), "a long, b long").distinct()
@@ -167,29 +194,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int, int]
         return joined.where("not coalesce(ca, a) <=> coalesce(cb, b)").select(*pairs.columns)
 
     candidates = cut(estimated(stars))
-    ends = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
-    texts = cut(docs.join(ends, "doc_id", "left_semi"))
     best = candidates.groupBy("b").agg(F.max(F.struct("j", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("a"), "b")
-    links = cut(confirmed(best, texts))
+    links = cut(confirmed(best))
     groups = cut(components(links.unionByName(member)))
-    links = cut(links.unionByName(confirmed(apart(candidates, groups), texts)))
+    links = cut(links.unionByName(confirmed(apart(candidates, groups))))
     groups = cut(components(links.unionByName(member)))
 
     # what is left: pairs of a bucket that are in different components and have not been looked at
-    labelled = in_band.join(shared.select("band"), "band", "left_semi").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    labelled = cut(labelled)
+    labelled = cut(members.select("band", "rep", "n").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c")))
     open_ = labelled.groupBy("band").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo_c < hi_c").select("band")
-    rows = labelled.join(open_, "band", "left_semi")
+    samples = texts.mapInArrow(_samples(shingle), "rep long, level int, under int, half int, sample array<int>").dropDuplicates(["rep"])
+    rows = labelled.join(open_, "band", "left_semi").join(samples, "rep")
     x, y = rows.alias("x"), rows.alias("y")
+    # the similarity from the sets' hashes under the smaller bound; whole sets, when both are small, leave no error
+    common = F.size(F.array_intersect("x.sample", "y.sample"))
+    of = lambda p, q: F.when(F.col(f"{p}.level") < F.col(f"{q}.level"), F.col(f"{p}.half")).otherwise(F.col(f"{p}.under"))
+    error = F.when(F.greatest("x.level", "y.level") == 0, F.lit(0.01)).otherwise(5 * (num / den * (1 - num / den) / (SAMPLE / 2)) ** 0.5)
     rest = (
         x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-               & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num))
+               & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+               & (common >= (F.lit(num / den) - error) * (of("x", "y") + of("y", "x") - common)))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
     rest = cut(estimated(rest))
-    more = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-    links = cut(links.unionByName(confirmed(rest, docs.join(more, "doc_id", "left_semi"))))
+    links = cut(links.unionByName(confirmed(rest)))
+    if DEBUG:
+        print("classes", classes.count(), "members", members.count(), members.select("rep").distinct().count(), "stars", stars.count(), "cand", candidates.count(), "open rows", rows.count(), "rest", rest.count(), "links", links.count())
     groups = components(links.unionByName(member))
     out = sketches.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
