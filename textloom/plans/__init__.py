@@ -26,3 +26,6 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from textloom.plans import relational, stateful, texts  # noqa: E402, F401  they register their queries
