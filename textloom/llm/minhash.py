@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Words, components, cut, grams, slices, texts_of
 
 BUCKETS = 256
-DEBUG = False
 SAMPLE = 512
 USED = 252  # a multiple of many band widths
 MANTISSA = 10
@@ -219,8 +218,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int, int]
     )
     rest = cut(estimated(rest))
     links = cut(links.unionByName(confirmed(rest)))
-    if DEBUG:
-        print("classes", classes.count(), "members", members.count(), members.select("rep").distinct().count(), "stars", stars.count(), "cand", candidates.count(), "open rows", rows.count(), "rest", rest.count(), "links", links.count())
     groups = components(links.unionByName(member))
     out = sketches.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
