@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import texts_of
+from textloom.llm.common import cut, texts_of
 
 
 def _anchors(min_lines: int):
@@ -85,12 +85,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, and ``__ld_removed``, the lines deleted."""
     names = docs.columns
     keyed = docs.withColumn("__ld_doc", F.col("doc_id").cast("long")).withColumn("__ld_txt", F.xxhash64("text"))
-    anchors = keyed.where("__ld_doc is not null and text is not null").select("__ld_doc", "__ld_txt", "text").mapInArrow(
+    # written tables: texts are cut into lines once, and joins on hot keys stand right above exchanges that can be split
+    anchors = cut(keyed.where("__ld_doc is not null and text is not null").select("__ld_doc", "__ld_txt", "text").mapInArrow(
         _anchors(min_lines), "fp long, doc long, txt long, own array<struct<pos:int,key:binary>>"
-    )
-    again = anchors.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.size("own")).alias("w"), F.max(F.size("own")).alias("v")).where("n > 1 or v > 1").select("fp")
-    windows = anchors.join(again, "fp", "left_semi").select("doc", "txt", F.explode("own").alias("o")).select("doc", "txt", "o.pos", "o.key").distinct()
-    first = windows.groupBy("key").agg(F.min(F.struct("doc", "txt", "pos")).alias("at"))
+    ))
+    again = cut(anchors.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("own")).alias("v")).where("n > 1 or v > 1").select("fp"))
+    windows = cut(anchors.join(again, "fp", "left_semi").select("doc", "txt", F.explode("own").alias("o")).select("doc", "txt", "o.pos", "o.key"))
+    first = cut(windows.groupBy("key").agg(F.min(F.struct("doc", "txt", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").select("key", "at"))
     later = (
         windows.join(first, "key")
         .where(F.struct("doc", "txt", "pos") > F.col("at"))
