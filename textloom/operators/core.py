@@ -51,8 +51,10 @@ def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> Dat
     character) are matched by an equi-join, and texts of one character are all alike by definition.
     """
     need = threshold / (2 - threshold)
-    ls = left.withColumn("lg", bigrams(F.col("ltext"))).where("ltext <> ''")
-    rs = right.withColumn("rg", bigrams(F.col("rtext"))).where("rtext <> ''")
+    # a bigram as one number, its two code points: sets of numbers are compared far faster than sets of strings
+    coded = lambda c: F.transform(bigrams(F.col(c)), lambda g: F.ascii(g).cast("bigint") * (1 << 21) + F.ascii(F.substring(g, 2, 1)))
+    ls = left.withColumn("lg", coded("ltext")).where("ltext <> ''")
+    rs = right.withColumn("rg", coded("rtext")).where("rtext <> ''")
     freq = rs.select(F.explode("rg").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame, key: str, grams: str) -> DataFrame:
@@ -76,9 +78,10 @@ def memory_lookup(segments: DataFrame, memory: DataFrame, threshold: float = 0.8
     mem = memory.select("tm_id", norm_text(F.col("source_text")).alias("src")).groupBy("src").agg(F.max("tm_id").alias("tm_id"))
     exact = seg.join(mem, F.col("key") == F.col("src")).select("key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
     rest = seg.join(exact.select("key"), "key", "left_anti")
-    found = fuzzy_join(rest.select(F.col("key").alias("lid"), F.col("key").alias("ltext")), mem.select(F.col("tm_id").alias("rid"), F.col("src").alias("rtext")), threshold)
-    best = found.groupBy("lid").agg(F.max(F.struct("similarity", F.col("rid").alias("rid"))).alias("m"))
-    fuzzy = best.select(F.col("lid").alias("key"), F.col("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
+    name = F.struct(F.xxhash64("key").alias("a"), F.hash("key").alias("b"))  # candidate rows carry twelve bytes, not the text
+    found = fuzzy_join(rest.select(name.alias("lid"), F.col("key").alias("ltext")), mem.select(F.col("tm_id").alias("rid"), F.col("src").alias("rtext")), threshold)
+    best = found.groupBy("lid", "ltext").agg(F.max(F.struct("similarity", F.col("rid").alias("rid"))).alias("m"))
+    fuzzy = best.select(F.col("ltext").alias("key"), F.col("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
     return exact.unionByName(fuzzy)
 
 
