@@ -139,10 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int
     one = (
         labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"))
         .groupBy("doc_id").agg(F.min("q").alias("q"), F.max("q").alias("q2")).where("q = q2").select("doc_id", "q")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     chosen = (
         docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+        .join(F.broadcast(one), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
     )
     return train([r.text.encode() for r in chosen], np.array([r.q for r in chosen]), **how)
 
@@ -171,6 +172,6 @@ def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False))
-    model = fit(docs.where(~held_out), labels)
+    model = fit(docs.where(~held_out), labels.where(~held_out))
     s = F.col("__qc_score")
     return score_quality(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), s.alias("score"), (s >= 0.3).cast("int").alias("predicted"))
