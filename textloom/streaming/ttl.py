@@ -1,6 +1,6 @@
-"""TTL state over ordered events: replay protection and the login limiter, as folds in batch and state in streams.
+"""TTL state over ordered events: replay protection, as a fold in batch and state in streams.
 
-The window of both is anchored at a key's first event, so neither is a tumbling window. ``replay_stream`` keeps one
+The window is anchored at a key's first event, so it is no tumbling window. ``replay_stream`` keeps one
 timestamp a key in the state store; the batch forms fold a key's ordered events within one task a key and day range.
 """
 
