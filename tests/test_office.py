@@ -1,0 +1,96 @@
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from textloom.operators import sheets
+from textloom.sources import csv_cells, office, office_files
+from textloom.streaming import limiter
+
+SF = "/root/testdata/sf0.001"
+
+
+def archive(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in parts.items():
+            z.writestr(k, v)
+    return out.getvalue()
+
+
+def files(spark, content):
+    return spark.createDataFrame(list(content.items()), "path string, content binary")
+
+
+def test_docx(spark):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    wrap = lambda tag, body: f'<w:{tag} xmlns:w="{office_files.W}">{body}</w:{tag}>'
+    nested = f"<w:tbl><w:tr><w:tc>{p('in')}<w:tbl><w:tr><w:tc>{p('deep')}</w:tc></w:tr></w:tbl></w:tc></w:tr></w:tbl>"
+    box = f"<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r><w:r><w:pict><w:txbxContent>{p('box')}</w:txbxContent></w:pict></w:r></w:p>"
+    body = wrap("document", f"<w:body>{p('one')}{p(' ')}{nested}{box}<w:sdt><w:sdtContent>{p('ctl')}</w:sdtContent></w:sdt></w:body>")
+    parts = {"word/document.xml": body, "word/header1.xml": wrap("hdr", p("head")), "word/footnotes.xml": wrap("footnotes", f"<w:footnote>{p('note')}</w:footnote>")}
+    got = office.docx_paragraphs(files(spark, {"a": archive(parts), "bad": b"no zip", "none": None})).collect()
+    assert [(r.path, r.kind, r.text) for r in sorted(got, key=lambda r: (r.path, office.DOCX_PARTS.index((r.part or "word/document.xml").replace("header1", r"header\d*").replace(".xml", r"\.xml")), r.pos or 0))] == [
+        ("a", "document", "one"), ("a", "table", "in"), ("a", "table", "deep"), ("a", "document", "a\tb"), ("a", "textbox", "box"), ("a", "control", "ctl"),
+        ("a", "header", "head"), ("a", "footnotes", "note"), ("bad", "unreadable", None),
+    ]
+
+
+def test_pptx(spark):
+    p = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    slide = lambda t: f'<s xmlns:a="{office.A[1:-1]}">{t}</s>'
+    parts = {f"ppt/slides/slide{i}.xml": slide(p(f"s{i}")) for i in (2, 10, 1)} | {"ppt/notesSlides/notesSlide1.xml": slide(p("n") + f"<a:tbl>{p('cell')}</a:tbl>")}
+    rows = office.pptx_paragraphs(files(spark, {"a": archive(parts)})).collect()
+    assert [(r.kind, r.text) for r in rows] == [("slides", "s1"), ("slides", "s2"), ("slides", "s10"), ("notes", "n"), ("table", "cell")]
+
+
+def test_sheets(spark):
+    rows = [[None, "B2", "律师", '=IF(B1="B2","yes","no")'], ["free", "B2", "普通员工", '=COUNTIF(C1:C2,"律师")'], ["律师", "12,3", " ", "="]]
+    cells = office.sheet_cells(files(spark, {"a": office_files.xlsx_bytes("S 1", rows), "bad": b""})).cache()
+    assert {(r.path, r.kind) for r in cells.where("row is null").collect()} == {("a", "sheet_name"), ("bad", "unreadable")}
+    got = {(r.row, r.col, r.value) for r in sheets.translatable_cells(cells).collect()}
+    # B1 and C1 are looked up; B2 and A3 equal a formula's text outside its ranges
+    assert got == {(2, 1, "free"), (2, 2, "B2"), (2, 3, "普通员工"), (3, 1, "律师")}
+
+
+def test_shared_formulas(spark):
+    sheet = f'<worksheet xmlns="{office_files.S}"><sheetData><row r="1"><c r="B1"><f t="shared" si="0" ref="B1:B2">A1&amp;$A$1&amp;"A1"</f></c></row><row r="2"><c r="B2"><f t="shared" si="0"/><v>7</v></c><c r="C2" t="s"><v>0</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(io.BytesIO(office_files.xlsx_bytes("x", []))) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts |= {"xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": f'<sst xmlns="{office_files.S}"><si><r><t>he</t></r><r><t>llo</t></r></si></sst>'}
+    got = office.sheet_cells(files(spark, {"a": archive(parts)})).where("row is not null").collect()
+    assert [(r.kind, r.row, r.col, r.value, r.formula) for r in got] == [("formula", 1, 2, None, '=A1&$A$1&"A1"'), ("formula", 2, 2, "7", '=A2&$A$1&"A1"'), ("text", 2, 3, "hello", None)]
+
+
+@pytest.mark.parametrize("formula, texts, ranges", [
+    ('=IF(C1="A1","say ""x""","")', ["A1", 'say "x"'], [(None, 1, 3, 1, 3)]),
+    ("=SUM($B$4:A2)+LOG10(Z9)", [], [(None, 2, 1, 4, 2), (None, 9, 26, 9, 26)]),
+    ("""='It''s "x"'!A1+Two!AA10:AB11""", [], [("It's \"x\"", 1, 1, 1, 1), ("Two", 10, 27, 11, 28)]),
+    ("=A:A+total_1+1", [], []), (None, None, None),
+])
+def test_formula_tokens(spark, formula, texts, ranges):
+    row = spark.createDataFrame([(formula,)], "f string").select(sheets.formula_literals(F.col("f")).alias("t"), sheets.formula_ranges(F.col("f")).alias("r")).first()
+    assert row.t == texts and (row.r is None if ranges is None else [tuple(x) for x in row.r] == ranges)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a;b\n1;c\n", [(0, 0, "a"), (0, 1, "b"), (1, 0, "1"), (1, 1, "c")]), ("x\ty\nz\tw\n", [(0, 0, "x"), (0, 1, "y"), (1, 0, "z"), (1, 1, "w")]),
+    ('a,"b\nc"\n', [(0, 0, "a"), (0, 1, "b\nc")]), ("", []), ("q", [(0, 0, "q")]),
+])
+def test_csv(spark, text, want):
+    cells = csv_cells.csv_cells(files(spark, {"a": text.encode(), "none": None}))
+    assert [(r.row, r.col, r.value) for r in cells.collect()] == want
+    assert csv_cells.translatable(cells).count() == sum(v != "1" for _, _, v in want)
+
+
+def test_limiter_stream_equals_batch(spark, tmp_path):
+    ev = spark.read.parquet(f"{SF}/events.parquet").where("event_type in ('error', 'signup')").withColumn("g", F.col("user_id") % 3)
+    for i in range(2):  # two triggers, in order of time
+        ev.withColumn("h", F.ntile(2).over(Window.orderBy("ts", "event_id")) - 1).where(F.col("h") == i).drop("h").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    args = ("g", F.col("event_type") == "error", 90000.0, 4, 40000.0)
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = limiter.limit_stream(source, *args).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, limiter.limit_attempts(ev, *args).collect()))

@@ -9,9 +9,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions.json_repair import ocr_items
+from textloom.operators import sheets
 from textloom.plans import query
 from textloom.plans.relational import table
-from textloom.sources import bundle, text_files
+from textloom.sources import bundle, csv_cells, office, office_files, text_files
 from textloom.streaming import limiter
 
 
@@ -35,6 +36,39 @@ def s7(spark, d):
     return blocks.select("doc_id", "block", "b.text", "b.translatable")
 
 
+PART_ROWS_SQL = "SELECT (p_partkey // 1000)::VARCHAR AS path, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) AS r, p_name, p_type FROM part"
+
+
+def part_files(spark, d, row):
+    """(path, rows) of a thousand parts a file, in order of their keys."""
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 1000).cast("string").alias("path"), F.struct("p_partkey", row.alias("row")).alias("x"))
+    return p.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]).alias("rows"))
+
+
+@query("s8_csv_cells", f"SELECT path, (r - 1)::BIGINT AS \"row\", u.col::BIGINT AS col, u.value FROM (SELECT *, unnest([{{'col': 0, 'value': p_name}}, {{'col': 1, 'value': p_type}}]) AS u FROM ({PART_ROWS_SQL}))")
+def s8(spark, d):
+    """Parts as files with semicolons, read again; numbers are no cells to translate."""
+    files = part_files(spark, d, F.concat_ws(";", "p_name", "p_type", "p_size"))
+    return csv_cells.translatable(csv_cells.csv_cells(files.select("path", F.encode(F.array_join("rows", "\n"), "UTF-8").alias("content"))))
+
+
+@query("s9_sheet_cells", f"""SELECT path, r::INT AS "row", u.col::INT AS col, u.value FROM (SELECT *, unnest([{{'col': 1, 'value': p_name}}, {{'col': 2, 'value': p_type}}]) AS u FROM ({PART_ROWS_SQL}))
+WHERE NOT (u.col = 2 AND u.value = 'ECONOMY' AND r <= 500)""")
+def s9(spark, d):
+    """Parts as spreadsheets, read again; the first half of the types is looked up by a formula, so its key stays."""
+    look = F.when(F.col("p_partkey") % 1000 == 0, '=COUNTIF(B1:B500,"ECONOMY")')
+    rows = part_files(spark, d, F.array("p_name", "p_type", F.col("p_size").cast("string"), look))
+    cells = office.sheet_cells(office_files.xlsx_files(rows))
+    return sheets.translatable_cells(cells).select("path", "row", "col", "value")
+
+
+@query("s11_docx_paragraphs", r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_replace(t, '\s', '', 'g') <> ''")
+def s11(spark, d):
+    """Documents as Word files, read again."""
+    files = office_files.docx_files(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("paragraphs")))
+    return office.docx_paragraphs(files).select(F.col("path").cast("long").alias("doc_id"), "pos", "text")
+
+
 @query("d18_bundle_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def d18(spark, d):
     folder = shared_folder(spark)

@@ -1,0 +1,204 @@
+"""Word, slide and spreadsheet files as rows: paragraphs and cells out of their zipped XML parts.
+
+A file that is no such archive, or whose parts are broken or larger than ``MOST_BYTES``, gives one row of kind ``unreadable``;
+null content gives no row. Each task holds one file at a time.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree as ET
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Bytes that a file's parts may have when unpacked.
+MOST_BYTES = 2 << 30
+PARAGRAPHS = "path string, part string, pos int, kind string, text string"
+CELLS = "path string, kind string, sheet int, row int, col int, value string, formula string"
+
+# Namespaces of the formats.
+W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
+REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+PKG = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+
+DOCX_PARTS = (r"word/document\.xml", r"word/header\d*\.xml", r"word/footer\d*\.xml", r"word/footnotes\.xml", r"word/endnotes\.xml")
+PPTX_PARTS = (r"ppt/slideMasters/[^/]+\.xml", r"ppt/slideLayouts/[^/]+\.xml", r"ppt/slides/[^/]+\.xml", r"ppt/notesSlides/[^/]+\.xml", r"ppt/diagrams/data\d*\.xml")
+BROKEN = (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError, EOFError, OSError)
+
+
+def _parts(z: zipfile.ZipFile, patterns: tuple[str, ...]) -> list[str]:
+    number = lambda s: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", s)]
+    return [n for p in patterns for n in sorted((n for n in z.namelist() if re.fullmatch(p, n)), key=number)]
+
+
+def _word(root: ET.Element, base: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of paragraphs in document order. A text box's paragraphs follow the one that holds it."""
+
+    def own(e: ET.Element, inner: list) -> str:
+        out = ""
+        for x in e:
+            if x.tag == W + "txbxContent":
+                inner.append(x)
+            elif x.tag == W + "t":
+                out += x.text or ""
+            elif x.tag in (W + "tab", W + "br", W + "cr"):
+                out += "\t" if x.tag == W + "tab" else "\n"
+            elif x.tag != W + "pPr":
+                out += own(x, inner)
+        return out
+
+    def walk(e: ET.Element, kind: str) -> Iterator[tuple[str, str]]:
+        for x in e:
+            if x.tag == W + "p":
+                inner: list[ET.Element] = []
+                yield kind, own(x, inner)
+                for box in inner:
+                    yield from walk(box, "textbox")
+            else:
+                yield from walk(x, {W + "tbl": "table", W + "sdtContent": "control"}.get(x.tag, kind))
+
+    yield from walk(root, base)
+
+
+def _slide(root: ET.Element, base: str) -> Iterator[tuple[str, str]]:
+    inside = {id(p) for t in root.iter(A + "tbl") for p in t.iter(A + "p")}
+    for p in root.iter(A + "p"):
+        yield "table" if id(p) in inside else base, "".join("\n" if x.tag == A + "br" else x.text or "" for x in p.iter() if x.tag in (A + "t", A + "br"))
+
+
+def _paragraphs(files: DataFrame, patterns: tuple[str, ...], read) -> DataFrame:
+    def one(path: str, content: bytes) -> list[tuple]:
+        rows = []
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = _parts(z, patterns)
+            if not names or sum(z.getinfo(n).file_size for n in names) > MOST_BYTES:
+                raise ValueError(path)
+            for name in names:
+                base = re.match(r"[a-z]+", name.split("/", 1)[1]).group()
+                found = ((k, t) for k, t in read(ET.fromstring(z.read(name)), base) if t.strip())
+                rows += [(path, name, i, k, t) for i, (k, t) in enumerate(found)]
+        return rows
+
+    return _rows(files, one, PARAGRAPHS, lambda path: (path, None, None, "unreadable", None))
+
+
+def _rows(files: DataFrame, one, schema: str, failed) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if content is None:
+                    continue
+                try:
+                    rows = one(path, bytes(content))
+                except BROKEN:
+                    rows = [failed(path)]
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def docx_paragraphs(files: DataFrame) -> DataFrame:
+    """Paragraphs that are not blank of Word files (path, content): part, position in it, kind and text.
+
+    Kinds: the part's own (document, header, footer, footnotes, endnotes), or table, control or textbox, whichever is
+    innermost. A merged cell is one element, so it comes once; both forms of a text box that a file holds come.
+    """
+    return _paragraphs(files, DOCX_PARTS, _word)
+
+
+def pptx_paragraphs(files: DataFrame) -> DataFrame:
+    """Paragraphs that are not blank of slide files: masters, layouts, slides, notes, then diagrams; tables and groups too."""
+    return _paragraphs(files, PPTX_PARTS, _slide)
+
+
+def _column(letters: str) -> int:
+    n = 0
+    for x in letters.upper():
+        n = n * 26 + ord(x) - 64
+    return n
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n > 0:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+MOVED = re.compile(r"""("(?:[^"]|"")*")|('(?:[^']|'')*'!?)|(?<![\w.$])(\$?)([A-Za-z]{1,3})(\$?)(\d+)(?![\w(.!])""")
+
+
+def moved(formula: str, rows: int, cols: int) -> str:
+    """The formula as it reads that many rows and columns further on: relative references move, texts do not."""
+
+    def ref(m: re.Match) -> str:
+        if m[4] is None:
+            return m[0]
+        col = m[4] if m[3] else _letters(_column(m[4]) + cols)
+        return f"{m[3]}{col}{m[5]}{m[6] if m[5] else int(m[6]) + rows}"
+
+    return MOVED.sub(ref, formula)
+
+
+def sheet_cells(files: DataFrame) -> DataFrame:
+    """Cells of spreadsheets (path, content), with sheet names and chart titles.
+
+    Kinds: text, number, formula (its value as stored, and its text; shared formulas are written out), sheet_name and
+    chart_title (no sheet). Sheets, rows and columns count from 1. Empty cells give no row.
+    """
+
+    def one(path: str, content: bytes) -> list[tuple]:
+        out = []
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if sum(i.file_size for i in z.infolist() if i.filename.endswith((".xml", ".rels"))) > MOST_BYTES:
+                raise ValueError(path)
+            text = lambda e: "".join(t.text or "" for r in e if r.tag != S + "rPh" for t in r.iter(S + "t"))
+            shared = [text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+            target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(PKG + "Relationship")}
+            for i, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet"), 1):
+                out.append((path, "sheet_name", i, None, None, sheet.get("name"), None))
+                to = target[sheet.get(REL + "id")]
+                name = to.lstrip("/") if to.startswith("/") else f"xl/{to}"
+                if "/chartsheets/" in name:
+                    continue
+                masters: dict[str, tuple[str, int, int]] = {}
+                at_row = 0
+                for row in ET.fromstring(z.read(name)).iter(S + "row"):
+                    at_row, at_col = int(row.get("r", at_row + 1)), 0
+                    for c in row.iter(S + "c"):
+                        at_col = _column(re.match("[A-Za-z]+", c.get("r")).group()) if c.get("r") else at_col + 1
+                        f, v, kind = c.find(S + "f"), c.findtext(S + "v"), c.get("t")
+                        formula = None
+                        if f is not None:
+                            formula = f"={f.text}" if f.text else "="
+                            if f.get("t") == "shared" and f.text:
+                                masters[f.get("si")] = (formula, at_row, at_col)
+                            elif f.get("t") == "shared":
+                                base, r, k = masters[f.get("si")]
+                                formula = moved(base, at_row - r, at_col - k)
+                        if kind == "s" and v is not None:
+                            v = shared[int(v)]
+                        elif kind == "inlineStr":
+                            inline = c.find(S + "is")
+                            # a plain inline text stands beside the runs
+                            v = None if inline is None else text(inline) or inline.findtext(S + "t")
+                        if v is None and formula is None:
+                            continue
+                        form = "formula" if formula is not None else "text" if kind in ("s", "inlineStr", "str") else "number"
+                        out.append((path, form, i, at_row, at_col, v, formula))
+            for name in _parts(z, (r"xl/charts/chart\d*\.xml",)):
+                for title in ET.fromstring(z.read(name)).iter(C + "title"):
+                    out.append((path, "chart_title", None, None, None, "".join(t.text or "" for t in title.iter(A + "t")), None))
+        return out
+
+    return _rows(files, one, CELLS, lambda path: (path, "unreadable", None, None, None, None, None))
