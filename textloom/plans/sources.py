@@ -18,7 +18,7 @@ from textloom.streaming import limiter
 
 def shared_folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
-    return f"{base}/bundle-{uuid.uuid4().hex}"
+    return f"{base}/tables-{uuid.uuid4().hex}"
 
 
 @query("s5_decoded_texts", "SELECT doc_id, text FROM documents")
@@ -58,7 +58,9 @@ def s9(spark, d):
     """Parts as spreadsheets, read again; the first half of the types is looked up by a formula, so its key stays."""
     look = F.when(F.col("p_partkey") % 1000 == 0, '=COUNTIF(B1:B500,"ECONOMY")')
     rows = part_files(spark, d, F.array("p_name", "p_type", F.col("p_size").cast("string"), look))
-    cells = office.sheet_cells(office_files.xlsx_files(rows))
+    folder = shared_folder(spark)  # the choice below reads the cells several times, the files once
+    office.sheet_cells(office_files.xlsx_files(rows)).write.parquet(folder)
+    cells = spark.read.schema(office.CELLS).parquet(folder)
     return sheets.translatable_cells(cells).select("path", "row", "col", "value")
 
 

@@ -1,7 +1,8 @@
 """Word, slide and spreadsheet files as rows: paragraphs and cells out of their zipped XML parts.
 
 A file that is no such archive, or whose parts are broken or larger than ``MOST_BYTES``, gives one row of kind ``unreadable``;
-null content gives no row. Each task holds one file at a time.
+null content gives no row. Each task holds one
+file's parts at a time, and the rows of a batch.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes that a file's parts may have when unpacked.
 MOST_BYTES = 2 << 30
+#: Rows of small files that are handed on together.
+BATCH = 10_000
 PARAGRAPHS = "path string, part string, pos int, kind string, text string"
 CELLS = "path string, kind string, sheet int, row int, col int, value string, formula string"
 
@@ -93,15 +96,20 @@ def _rows(files: DataFrame, one, schema: str, failed) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 if content is None:
                     continue
                 try:
-                    rows = one(path, bytes(content))
+                    rows += one(path, bytes(content))
                 except BROKEN:
-                    rows = [failed(path)]
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows.append(failed(path))
+                if len(rows) >= BATCH:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 

@@ -19,6 +19,8 @@ REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 MIME = "application/vnd.openxmlformats-officedocument"
+#: Bytes of files that are handed on together.
+BATCH = 16 << 20
 NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
@@ -68,13 +70,25 @@ def xlsx_bytes(sheet: str, rows: list[list]) -> bytes:
     )
 
 
+def _files(rows: Iterator[tuple[str, bytes]]) -> Iterator[pd.DataFrame]:
+    """The files in frames of about ``BATCH`` bytes."""
+    held, size = [], 0
+    for path, content in rows:
+        held.append((path, content))
+        size += len(content)
+        if size >= BATCH:
+            yield pd.DataFrame(held, columns=["path", "content"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["path", "content"])
+
+
 def docx_files(df: DataFrame) -> DataFrame:
-    """(path, content): a Word file of each (path, paragraphs array<string>)."""
+    """(path, content): a Word file of each (path, paragraphs array<string>); null is a file without paragraphs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, p in zip(pdf["path"], pdf["paragraphs"]):
-                yield pd.DataFrame({"path": [path], "content": [docx_bytes([x or "" for x in ([] if p is None else p)])]})
+        rows = ((path, p) for pdf in batches for path, p in zip(pdf["path"], pdf["paragraphs"]))
+        return _files((path, docx_bytes([x or "" for x in ([] if p is None else p)])) for path, p in rows)
 
     return df.select("path", "paragraphs").mapInPandas(run, "path string, content binary")
 
@@ -83,8 +97,7 @@ def xlsx_files(df: DataFrame, sheet: str = "Sheet1") -> DataFrame:
     """(path, content): a spreadsheet of each (path, rows array<array<string>>); a row set is bounded by whoever groups it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, rows in zip(pdf["path"], pdf["rows"]):
-                yield pd.DataFrame({"path": [path], "content": [xlsx_bytes(sheet, [list(r) for r in ([] if rows is None else rows)])]})
+        rows = ((path, r) for pdf in batches for path, r in zip(pdf["path"], pdf["rows"]))
+        return _files((path, xlsx_bytes(sheet, [list(x) for x in ([] if r is None else r)])) for path, r in rows)
 
     return df.select("path", "rows").mapInPandas(run, "path string, content binary")
