@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators import sheets
-from textloom.sources import csv_cells, office, office_files
+from textloom.sources import csv_cells, office, office_files, termbases
 from textloom.streaming import limiter
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,39 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     q = limiter.limit_stream(source, *args).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("limited").collect())) == sorted(map(tuple, limiter.limit_attempts(ev, *args).collect()))
+
+
+def termbase(path, *statements):
+    import sqlite3
+
+    con = sqlite3.connect(path)
+    for s in statements:
+        con.execute(s)
+    con.commit()
+    con.close()
+    return path.read_bytes()
+
+
+def test_termbases(spark, tmp_path):
+    old = termbase(
+        tmp_path / "i", 'CREATE TABLE I_en ("a"" FROM secrets --" TEXT, conceptid TEXT, origterm TEXT)', "CREATE TABLE I_zh (conceptid TEXT, origterm TEXT)", "CREATE TABLE secrets (conceptid TEXT, secret TEXT)",
+        "INSERT INTO I_en VALUES ('x', '1', ' contract '), ('x', '2', 'alone'), ('x', '3', 'a')", "INSERT INTO I_zh VALUES ('1', '合同'), ('3', '')", "INSERT INTO secrets VALUES ('1', 's')",
+    )
+    new = termbase(
+        tmp_path / "m", "CREATE TABLE mt_concept (id INT, entry_id INT)", "CREATE TABLE mt_lang (id INT, lang TEXT, concept_id INT)", "CREATE TABLE mt_term (lang_id INT, term TEXT)",
+        "INSERT INTO mt_concept VALUES (1, 7), (2, 8)", "INSERT INTO mt_lang VALUES (1, 'en-US', 1), (2, 'zh-TW', 1), (3, 'fr', 1), (4, 'de', 2), (5, 'fr', 2)", "INSERT INTO mt_term VALUES (1, 'law'), (2, '法'), (3, 'loi'), (4, 'Recht'), (5, 'droit')",
+    )
+    terms = termbases.termbase_terms(files(spark, {"old": old, "new": new, "bad": b"x" * 600, "none": None, "empty": termbase(tmp_path / "e", "CREATE TABLE q (a)")})).cache()
+    assert {(r.path, r.problem) for r in terms.where("problem is not null").collect()} == {("bad", "unreadable"), ("empty", "no terms")}
+    assert {(r.path, r.source_term, r.target_term, r.lang_pair) for r in termbases.term_pairs(terms).collect()} == {
+        ("old", "合同", "contract", "zh→en"), ("new", "法", "law", "zh→en"), ("new", "法", "loi", "zh→fr"), ("new", "Recht", "droit", "de→fr"),
+    }
+
+
+def test_import_rows(spark):
+    rows = [("f", 0, ["source_term", "target_term"]), ("f", 1, [" a ", "b"]), ("f", 2, ["A", "c", "", "d", "STRICT", "n"]), ("f", 3, ["x"]), ("f", 4, ["y", " "]), ("f", 5, ["a", "z", "en→zh", ""]), ("g", 0, ["p", "q"])]
+    got = termbases.import_rows(spark.createDataFrame(rows, "path string, row long, fields array<string>"), "general").orderBy("path", "row").drop("path").collect()
+    assert [tuple(r) for r in got] == [
+        (2, "A", "c", "zh→en", "d", "strict", "n", False), (3, "x", "", "zh→en", "general", "preferred", None, True), (4, "y", "", "zh→en", "general", "preferred", None, True),
+        (5, "a", "z", "en→zh", "general", "preferred", None, False), (0, "p", "q", "zh→en", "general", "preferred", None, False),
+    ]

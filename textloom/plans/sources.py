@@ -12,7 +12,7 @@ from textloom.functions.json_repair import ocr_items
 from textloom.operators import sheets
 from textloom.plans import query
 from textloom.plans.relational import table
-from textloom.sources import bundle, csv_cells, office, office_files, text_files
+from textloom.sources import bundle, csv_cells, office, office_files, termbases, text_files
 from textloom.streaming import limiter
 
 
@@ -71,6 +71,18 @@ def s11(spark, d):
     return office.docx_paragraphs(files).select(F.col("path").cast("long").alias("doc_id"), "pos", "text")
 
 
+@query("s17_term_rows", f"""WITH t AS (SELECT path, r, p_type AS source_term, p_name AS target_term, CASE WHEN r % 3 = 0 THEN 'en→zh' ELSE 'zh→en' END AS lang_pair FROM ({PART_ROWS_SQL}))
+SELECT path, source_term, target_term, lang_pair FROM (SELECT *, row_number() OVER (PARTITION BY path, lang_pair, source_term ORDER BY r DESC) AS n FROM t) WHERE n = 1""")
+def s17(spark, d):
+    """Part types as terms of CSV files, a later row standing for the earlier ones of its key."""
+    third = F.when((F.col("p_partkey") % 1000 + 1) % 3 == 0, "en→zh").otherwise("")
+    files = part_files(spark, d, F.concat_ws(",", "p_type", "p_name", third))
+    cells = csv_cells.csv_cells(files.select("path", F.encode(F.array_join("rows", "\n"), "UTF-8").alias("content")))
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"])
+    rows = cells.groupBy("path", "row").agg(fields.alias("fields"))
+    return termbases.import_rows(rows).where("not skipped").select("path", "source_term", "target_term", "lang_pair")
+
+
 @query("d18_bundle_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def d18(spark, d):
     folder = shared_folder(spark)
