@@ -1,13 +1,16 @@
 """Line dedup by winnowing over line hashes (operator 6).
 
 Lines are the parts of a text between newlines; for comparing they lose white space at both ends, and blank lines are
-passed over. A *run* is ``min_lines`` or more lines in a row (blank ones aside) that also occur, in a row, earlier: in a
-document with a smaller doc_id, or further up in the same one. All lines of such later runs go, with the newline.
+passed over. A *run* is ``min_lines`` or more lines in a row (blank ones aside), or a single line of ``single_words`` words
+or more or of more than 32 bytes (for scripts without spaces), that also occurs earlier: in a document with a smaller
+doc_id, or further up in the same one. All lines of such later runs go, with the newline, also where it is a document's
+only line. Shorter single lines stay unless their neighbours repeat too; ``single_words=None`` lets no single line be a run.
 
 Of each window of ``min_lines`` line hashes the leftmost smallest is a fingerprint, so any run that long shares one at the
-same place. Fingerprints that occur once are done with; the others' positions are extended both ways to the windows that
-chose them, and a window's first occurrence is kept. A fingerprint or window that very many documents share is counted
-before the shuffle and joined back; pairs of positions are never listed.
+same place; a single line is its own. Windows whose lines are all runs by themselves are left to those. Fingerprints that
+occur once are done with; the others' positions are extended both ways to the windows that chose them, and a window's first
+occurrence is kept. A fingerprint or window that very many documents share is counted before the shuffle and joined back;
+pairs of positions are never listed.
 
 Defined results: null and empty texts stay as they are; rows with a null doc_id stay and are no source; rows equal in
 doc_id and text are one document; an empty table gives an empty one; every other column passes through unchanged, whatever
@@ -25,7 +28,13 @@ from pyspark.sql import types as T
 from textloom.llm.common import cut, texts_of
 
 
-def _anchors(min_lines: int):
+OWN = "array<struct<pos:int,n:int,key:binary,again:boolean>>"
+
+
+def _anchors(min_lines: int, single_words: int | None):
+    def single(line: bytes) -> bool:
+        return single_words is not None and (len(line) > 32 or len(line.split()) >= single_words)
+
     def run(batches):
         import xxhash
 
@@ -34,28 +43,30 @@ def _anchors(min_lines: int):
             out = {"fp": [], "doc": [], "txt": [], "own": []}
             for doc, txt, text in zip(batch.column("__ld_doc").to_pylist(), batch.column("__ld_txt").to_pylist(), texts_of(batch.column("text"))):
                 lines = [x for x in (y.strip() for y in text.split(b"\n")) if x]
-                n = len(lines) - min_lines + 1
-                if n <= 0:
-                    continue
                 h = np.array([line_hash(x) for x in lines], dtype=np.uint64)
-                pick = [p + int(np.argmin(h[p : p + min_lines])) for p in range(n)]
+                alone = [single(x) for x in lines]
+                runs = [(p, p, 1) for p, x in enumerate(alone) if x]
+                runs += [(p, p + int(np.argmin(h[p : p + min_lines])), min_lines) for p in range(len(lines) - min_lines + 1) if not all(alone[p : p + min_lines])]
                 own: dict[int, list] = {}
-                for p, a in enumerate(pick):
-                    own.setdefault(a, []).append({"pos": p, "key": window_hash(b"\n".join(lines[p : p + min_lines]))})
+                seen: set[bytes] = set()
+                for p, a, n in runs:
+                    key = window_hash(b"\n".join(lines[p : p + n]))
+                    own.setdefault(a, []).append({"pos": p, "n": n, "key": key, "again": key in seen})
+                    seen.add(key)
                 for a, windows in own.items():
                     out["fp"].append(int(h[a].view(np.int64)))
                     out["doc"].append(doc)
                     out["txt"].append(txt)
                     out["own"].append(windows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["fp"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["txt"], pa.int64()), pa.array(out["own"], pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.binary())])))],
+                [pa.array(out["fp"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["txt"], pa.int64()), pa.array(out["own"], pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("again", pa.bool_())])))],
                 names=["fp", "doc", "txt", "own"],
             )
 
     return run
 
 
-def _delete(min_lines: int, names: list[str]):
+def _delete(names: list[str]):
     def run(batches):
         for batch in batches:
             texts, removed = [], []
@@ -64,7 +75,7 @@ def _delete(min_lines: int, names: list[str]):
                     texts.append(text)
                     removed.append(0)
                     continue
-                gone = {p + k for p in later for k in range(min_lines)}
+                gone = {x["pos"] + k for x in later for k in range(x["n"])}
                 kept, i = [], 0
                 for line in text.split("\n"):
                     if line.strip(" \t\r\x0b\x0c"):
@@ -81,30 +92,30 @@ def _delete(min_lines: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, single_words: int | None = 2) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from ``text``, and ``__ld_removed``, the lines deleted."""
     names = docs.columns
     keyed = docs.withColumn("__ld_doc", F.col("doc_id").cast("long")).withColumn("__ld_txt", F.xxhash64("text"))
     # written tables: texts are cut into lines once, and joins on hot keys stand right above exchanges that can be split
     anchors = cut(keyed.where("__ld_doc is not null and text is not null").select("__ld_doc", "__ld_txt", "text").mapInArrow(
-        _anchors(min_lines), "fp long, doc long, txt long, own array<struct<pos:int,key:binary>>"
+        _anchors(min_lines, single_words), f"fp long, doc long, txt long, own {OWN}"
     ))
-    again = cut(anchors.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("own")).alias("v")).where("n > 1 or v > 1").select("fp"))
-    windows = cut(anchors.join(again, "fp", "left_semi").select("doc", "txt", F.explode("own").alias("o")).select("doc", "txt", "o.pos", "o.key"))
-    first = cut(windows.groupBy("key").agg(F.min(F.struct("doc", "txt", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").select("key", "at"))
+    again = cut(anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    windows = cut(anchors.join(again, "fp", "left_semi").select("doc", "txt", F.explode("own").alias("o")).select("doc", "txt", "o.*"))
+    first = cut(windows.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "first"))
     later = (
         windows.join(first, "key")
-        .where(F.struct("doc", "txt", "pos") > F.col("at"))
-        .where("doc > at.doc or txt = at.txt")  # rows that share a doc_id but not the text have no order
-        .groupBy("doc", "txt").agg(F.collect_set("pos").alias("__ld_pos"))
+        .where("doc > first or again")  # rows that share a doc_id but not the text have no order
+        .groupBy("doc", "txt").agg(F.collect_set(F.struct("pos", "n")).alias("__ld_pos"))
         .withColumnsRenamed({"doc": "__ld_doc", "txt": "__ld_txt"})
     )
     schema = T.StructType([*docs.schema.fields, T.StructField("__ld_removed", T.LongType())])
-    return keyed.join(later, ["__ld_doc", "__ld_txt"], "left").select(*names, "__ld_pos").mapInArrow(_delete(min_lines, names), schema)
+    return keyed.join(later, ["__ld_doc", "__ld_txt"], "left").select(*names, "__ld_pos").mapInArrow(_delete(names), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # OP6_SQL defines the query's runs: two lines or more
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), single_words=None)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__ld_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
