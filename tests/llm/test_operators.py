@@ -261,6 +261,30 @@ def test_html(spark):
     assert sorted(r["__ht_text"] for r in html_text.extract_text(df).collect()) == ["", "", "a"]
 
 
+STORY = [f"Part {i} of the story tells at some length, in plain words and without any link, what came to pass on day {i}." for i in range(8)]
+BODY = "".join(f"<p>{x}</p>" for x in STORY)
+
+
+def test_html_region():
+    teaser = "<article><h3><a href=x>Read this one too</a></h3><p>Short words.</p></article>"
+    menu = "<div><ul>" + "<li><a href=x>Some link</a></li>" * 12 + "</ul></div>"
+    want = " ".join(STORY)
+    for page in (
+        f"<body>{menu}<div id=c>{BODY}</div><div>{teaser * 4}</div></body>",  # the text is beside the articles
+        f"<body>{menu}<div id=c>{BODY}{teaser * 2}</div></body>",
+        f"<body>{menu}<div id=c>{BODY}</div>{menu}</body>",  # no article
+        f"<body><article>{BODY}</article>{teaser * 3}</body>",
+        f"<body><main><article>{BODY}</article>{teaser * 3}</main></body>",
+        f"<body><article>{menu}{BODY}{menu}</article></body>",
+        f"<body><article>{BODY.replace('</p>', '</p>' + menu, 4).replace(menu, '', 3)}</article></body>",
+    ):
+        assert html_text.main_text(page) == want
+    two = f"<body><article>{BODY}</article><article>{BODY}</article></body>"
+    assert html_text.main_text(two) == f"{want} {want}"
+    cited = f"<body><article>{BODY}<p><a href=x>One source of it</a></p>{BODY}</article></body>"
+    assert html_text.main_text(cited) == f"{want} One source of it {want}"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

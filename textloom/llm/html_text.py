@@ -1,11 +1,13 @@
 """Main text of web pages (operator 7): parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one a block: text, number of tags, characters in links and
-the element that holds it. What cannot be article text never becomes a line: elements such as nav, header, footer, aside,
+the elements that hold it. What cannot be article text never becomes a line: elements such as nav, header, footer, aside,
 form, script and style, hidden elements, and elements whose class, id or role says advert, sidebar, notice or comments.
-Each line's ratio of text to tags is smoothed along the page; lines above the threshold are the content cluster. The
-region is then chosen: the page's article or main elements that hold most of the cluster's text, else the smallest element
-that holds nine tenths of it. All lines of the region are the text, also short ones, which a threshold alone would lose.
+Each line's ratio of text to tags is smoothed along the page; lines above the threshold are the content cluster. Article
+and main elements whose own ratio is below the threshold are teasers and go, unless they hold half of the cluster's text.
+The region is then chosen: the article or main elements left, where they hold most of the cluster's text, else the smallest
+element of two lines or more that holds nine tenths of it. Link lists inside the region go; all its other lines are the text, also short ones,
+which a threshold alone would lose.
 
 Defined results: a null or empty page gives an empty text; broken markup is read as far as the parser's events go, with
 unclosed elements ending where an outer one ends; a page without any cluster gives the lines it has; character references
@@ -15,8 +17,10 @@ give equal results; an empty table gives an empty result; other columns pass thr
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,19 +41,19 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 
 
 class Lines(HTMLParser):
-    """Lines of a page as [text, tags, link characters, path of element numbers, main element's number]."""
+    """Lines of a page as [text, tags, link characters, path of element numbers, main elements' numbers]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # name, number, dropped, main element
-        self.lines: list[tuple[str, int, int, tuple, int]] = []
+        self.open: list[tuple[str, int, bool, tuple]] = []  # name, number, dropped, main elements
+        self.lines: list[tuple[str, int, int, tuple, tuple]] = []
         self.pieces: list[str] = []
         self.tags = self.linked = self.count = 0
 
     def flush(self):
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.open), self.open[-1][3] if self.open else 0))
+            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.open), self.open[-1][3] if self.open else ()))
         self.pieces, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -71,9 +75,9 @@ class Lines(HTMLParser):
         says = says or "display:none" in (own.get("style") or "").replace(" ", "").lower()
         says = says or (tag not in ("html", "body", *MAIN) and any(LABELS.search(own.get(k) or "") for k in ("class", "id")))
         self.count += 1
-        main = self.open[-1][3] if self.open else 0
-        if not main and (tag in MAIN or own.get("role") == "main"):
-            main = self.count
+        main = self.open[-1][3] if self.open else ()
+        if tag in MAIN or own.get("role") == "main":
+            main = (*main, self.count)
         self.open.append((tag, self.count, dropped or says, main))
 
     def close_to(self, tag):
@@ -106,6 +110,29 @@ def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def chosen_cluster(lines: list[tuple]) -> tuple[float, list[int]]:
+    """The threshold, and the lines whose smoothed text-to-tag ratio reaches it."""
+    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
+    mean = sum(ratios) / len(ratios)
+    deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    threshold = min(deviation, mean)
+    return threshold, [i for i, r in enumerate(ratios) if r >= threshold] or list(range(len(lines)))
+
+
+def without_teasers(lines: list[tuple], cluster: list[int], threshold: float) -> list[int]:
+    """Lines outside main elements that are below the threshold as wholes and hold less than half of the cluster's text."""
+    sums: dict[int, list[int]] = {}
+    chosen, total = set(cluster), sum(len(lines[i][0]) for i in cluster)
+    for i, (text, tags, linked, _, mains) in enumerate(lines):
+        for m in mains:
+            s = sums.setdefault(m, [0, 0, 0])
+            s[0] += max(0, len(text) - linked)
+            s[1] += tags
+            s[2] += len(text) if i in chosen else 0
+    teasers = {m for m, (text, tags, held) in sums.items() if text / max(1, tags) < threshold and held * 2 < total}
+    return [i for i, x in enumerate(lines) if not teasers.intersection(x[4])]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -114,28 +141,37 @@ def main_text(html: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    deviation = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    threshold = min(deviation, mean)
-    cluster = [i for i, r in enumerate(ratios) if r >= threshold] or list(range(len(lines)))
+    threshold, cluster = chosen_cluster(lines)
+    kept = without_teasers(lines, cluster, threshold)
+    if any(i in set(cluster) for i in kept):
+        number = {old: new for new, old in enumerate(kept)}
+        lines, cluster = [lines[i] for i in kept], [number[i] for i in cluster if i in number]
     total = sum(len(lines[i][0]) for i in cluster)
     by_main = sum(len(lines[i][0]) for i in cluster if lines[i][4])
-    if by_main * 2 >= total or any(x[4] for x in lines) and by_main:
-        return " ".join(x[0] for x in lines if x[4])
-    holds: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for i in cluster:
-        for d, element in enumerate(lines[i][3]):
-            holds[element] = holds.get(element, 0) + len(lines[i][0])
-            depth[element] = d
-    region = max((e for e in holds if holds[e] * 10 >= total * 9), key=lambda e: depth[e], default=None)
-    inside = [i for i, x in enumerate(lines) if region is None or region in x[3]]
+    if by_main * 2 > total:
+        inside = [i for i, x in enumerate(lines) if x[4]]
+    else:
+        holds: dict[int, int] = {}
+        depth: dict[int, int] = {}
+        for i in cluster:
+            for d, element in enumerate(lines[i][3]):
+                holds[element] = holds.get(element, 0) + len(lines[i][0])
+                depth[element] = d
+        blocks = Counter(e for x in lines for e in x[3])  # a lone block would leave its headline outside
+        region = max((e for e in holds if holds[e] * 10 >= total * 9 and blocks[e] > 1), key=lambda e: depth[e], default=None)
+        inside = [i for i, x in enumerate(lines) if region is None or region in x[3]]
     chosen = set(cluster)
-    links = lambda i: i not in chosen and lines[i][2] * 2 > len(lines[i][0])  # noqa: E731  link lists at the region's ends
-    while inside and links(inside[0]):
+    links = lambda i: lines[i][2] * 2 > len(lines[i][0])
+    # link lists: runs of links, of which the cluster holds at most the line at each end that smoothing lends it
+    gone: set[int] = set()
+    for _, run in itertools.groupby(inside, links):
+        run = list(run)
+        if len(run) > 1 and links(run[0]) and (len(run) > 2 or not chosen.issuperset(run)) and not chosen.intersection(run[1:-1]):
+            gone.update(run)
+    inside = [i for i in inside if i not in gone]
+    while inside and inside[0] not in chosen and links(inside[0]):  # single links at the region's ends
         inside.pop(0)
-    while inside and links(inside[-1]):
+    while inside and inside[-1] not in chosen and links(inside[-1]):
         inside.pop()
     return " ".join(lines[i][0] for i in inside)
 
