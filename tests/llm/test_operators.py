@@ -285,6 +285,24 @@ def test_html_region():
     assert html_text.main_text(cited) == f"{want} One source of it {want}"
 
 
+def test_html_areas():
+    nav, foot = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<footer>All rights reserved.</footer>"
+    want = " ".join(STORY)
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style><body>{nav}<article>{BODY}</article>{foot}</body>",
+        f"<html><head><title>T</title><div>{BODY}</div>{foot}",
+        f"<body><form action=x><nav>a</nav><div>{BODY}</div><button>Send</button>{foot}</form></body>",
+        f"<body><form action=x>{nav}<article>{BODY}</article></form></body>",
+        *(f"<body><div class='{c}'>{nav}<{t}>{BODY}</{t}>{foot}</div></body>" for c in ("layout has-sidebar", "with-comments", "no-header", "promo sidebar") for t in ("div", "article")),
+        f"<body style='display: none'>{nav}<div>{BODY}</div></body>",
+        f"<body>{nav}<div>{BODY}</div><div class='comments'><p>First comment of all!</p><p>Second comment.</p></div><div class='cookie-banner'>We use cookies</div></body>",
+        f"<body><div class=promo><main>{BODY}</main></div><div class=comments>{'<p>A long comment that says what its author thinks of it all, at length.</p>' * 20}</div></body>",
+        f"<body><article>{BODY}</article><div id=comments><article>{BODY.replace('story', 'thread')}</article></div></body>",
+    ):
+        assert html_text.main_text(page) == want, page
+    assert html_text.main_text("<body><article><p>Short.</p></article><footer>A footer that is longer than the article.</footer></body>") == "Short."
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,8 +1,11 @@
 """Main text of web pages (operator 7): parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one a block: text, number of tags, characters in links and
-the elements that hold it. What cannot be article text never becomes a line: elements such as nav, header, footer, aside,
-form, script and style, hidden elements, and elements whose class, id or role says advert, sidebar, notice or comments.
+the elements that hold it. Elements such as script and style have no text. Areas that are not article text are dropped: nav,
+header, footer, aside and form, hidden elements, and elements of which a whole class or id token or the role says advert,
+sidebar, notice or comments. An area stays, without the areas inside it, where it holds an article or main element (but for
+nav, aside, footer, hidden and comment areas, which have articles of their own) or most of the text of the cluster (see below);
+those areas, and areas of one block, must hold nine tenths of it. An open head ends at the body or the first other element.
 Each line's ratio of text to tags is smoothed along the page; lines above the threshold are the content cluster. Article
 and main elements whose own ratio is below the threshold are teasers and go, unless they hold half of the cluster's text.
 The region is then chosen: the article or main elements left, where they hold most of the cluster's text, else the smallest
@@ -30,55 +33,76 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea input menu dialog iframe object svg math canvas audio video".split())
-LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|comments?|reply|replies|respond|disqus|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|header|footer|masthead|toolbar|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Elements without article text, and elements that are dropped unless they turn out to hold it.
+NO_TEXT = frozenset("head title script style noscript template button select option textarea input iframe object svg math canvas audio video".split())
+AREAS = frozenset("nav header footer aside form menu dialog".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
+WORD = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|comments?|reply|replies|respond|disqus|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|menu|nav\w*|breadcrumbs?|pagination|pager|header|footer|masthead|toolbar|skip)"
+#: A whole class token: labels, with words of place before them and words of kind behind them; not has-sidebar or no-header.
+LABEL = re.compile(rf"(?:(?:site|page|global|top|bottom|left|right)[_-])*{WORD}(?:[_-](?:{WORD}|area|section|list|box|bar|block|links?|buttons?|items?|top|bottom|left|right))*", re.I)
+#: Areas that often outweigh their article, or hold articles of their own.
+OTHERS = re.compile(r"comments?|reply|replies|respond|disqus|related|recommend\w*|consent|cookies?|gdpr|modal|popup|overlay", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
 class Lines(HTMLParser):
-    """Lines of a page as [text, tags, link characters, path of element numbers, main elements' numbers]."""
+    """Lines of a page as [pieces, tags, path of element numbers, main elements' numbers].
+
+    A piece is (text, in a link, areas that may be dropped), and a tag stands as its areas: which areas go is known only
+    when the whole page has been read.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, tuple]] = []  # name, number, dropped, main elements
-        self.lines: list[tuple[str, int, int, tuple, tuple]] = []
-        self.pieces: list[str] = []
-        self.tags = self.linked = self.count = 0
+        self.open: list[tuple[str, int, bool, tuple, tuple]] = []  # name, number, no text, main elements, areas
+        self.lines: list[tuple[list, list, tuple, tuple]] = []
+        self.pieces: list[tuple[str, bool, tuple]] = []
+        self.tags: list[tuple] = []
+        self.others: set[int] = set()  # areas of other people's text
+        self.asides: set[int] = set()  # areas that hold articles of their own
+        self.holders: set[int] = set()  # areas around a main element
+        self.count = 0
 
     def flush(self):
-        text = " ".join("".join(self.pieces).split())
-        if text:
-            self.lines.append((text, self.tags, self.linked, tuple(x[1] for x in self.open), self.open[-1][3] if self.open else ()))
-        self.pieces, self.tags, self.linked = [], 0, 0
+        if any(not x[0].isspace() for x in self.pieces):
+            self.lines.append((self.pieces, self.tags, tuple(x[1] for x in self.open), self.open[-1][3] if self.open else ()))
+        self.pieces, self.tags = [], []
 
     def handle_starttag(self, tag, attrs):
+        if any(x[0] == "head" for x in self.open) and (tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self.close_to("head")
         if tag in CLOSES_P and any(x[0] == "p" for x in self.open):
             self.close_to("p")
         elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.open and self.open[-1][0] == tag:
             self.close_to(tag)
-        dropped = bool(self.open) and self.open[-1][2]
+        empty, areas = (self.open[-1][2], self.open[-1][4]) if self.open else (False, ())
         if tag in VOID:
             if tag in ("br", "hr"):
-                self.pieces.append(" ")
-            self.tags += not dropped
+                self.pieces.append((" ", False, areas))
+            if not empty:
+                self.tags.append(areas)
             return
         if tag not in INLINE:
             self.flush()
-        self.tags += not dropped
+        if not empty:
+            self.tags.append(areas)
         own = dict(attrs)
-        says = tag in DROPPED or "hidden" in own or own.get("aria-hidden") == "true" or (own.get("role") or "").lower() in ROLES
-        says = says or "display:none" in (own.get("style") or "").replace(" ", "").lower()
-        says = says or (tag not in ("html", "body", *MAIN) and any(LABELS.search(own.get(k) or "") for k in ("class", "id")))
         self.count += 1
+        hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "").lower()
+        tokens = () if tag in ("html", "body", *MAIN) else [x for k in ("class", "id") for x in (own.get(k) or "").split() if LABEL.fullmatch(x)]
+        if tag in AREAS or hidden or tokens or (own.get("role") or "").lower() in ROLES:
+            areas = (*areas, self.count)
+            if hidden or tag == "dialog" or any(OTHERS.search(x) for x in tokens):
+                self.others.add(self.count)
+            if tag in ("nav", "aside", "footer"):
+                self.asides.add(self.count)
         main = self.open[-1][3] if self.open else ()
         if tag in MAIN or own.get("role") == "main":
             main = (*main, self.count)
-        self.open.append((tag, self.count, dropped or says, main))
+            self.holders.update(areas)
+        self.open.append((tag, self.count, empty or tag in NO_TEXT, main, areas))
 
     def close_to(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
@@ -93,11 +117,39 @@ class Lines(HTMLParser):
             self.close_to(tag)
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.close_to("head")
         if self.open and self.open[-1][2]:
             return
-        self.pieces.append(data)
-        if any(x[0] == "a" for x in self.open):
-            self.linked += len(data)
+        self.pieces.append((data, any(x[0] == "a" for x in self.open), self.open[-1][4] if self.open else ()))
+
+    def without(self, areas: set[int]) -> list[tuple]:
+        """Lines as (text, tags, characters in links, path, main elements), without the text of ``areas``."""
+        out = []
+        for pieces, tags, path, mains in self.lines:
+            left = [x for x in pieces if areas.isdisjoint(x[2])]
+            text = " ".join("".join(x[0] for x in left).split())
+            if text:
+                out.append((text, sum(areas.isdisjoint(x) for x in tags), sum(len(x[0]) for x in left if x[1]), path, mains))
+        return out
+
+    def dropped(self) -> set[int]:
+        """The areas that go: not those around a main element, nor those with most of the cluster's text."""
+        areas = {a for pieces, *_ in self.lines for x in pieces for a in x[2]}
+        lines = self.without(set())
+        if not areas or not lines:
+            return areas
+        held, blocks, total = Counter(), Counter(), 0
+        for i in chosen_cluster(lines)[1]:
+            for data, linked, inside in self.lines[i][0]:
+                n = 0 if linked else len(data.strip())
+                total += n
+                held.update(dict.fromkeys(inside, n))
+            blocks.update({a for x in self.lines[i][0] for a in x[2]})
+        # a lone block, a footer or comments can outweigh a short article: they must hold nearly all
+        nearly = lambda a: a in self.others or a in self.asides or blocks[a] < 2
+        most = {a for a in areas if held[a] * 10 > total * (9 if nearly(a) else 5)}
+        return areas - most - (self.holders - self.others - self.asides)
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -138,7 +190,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.without(parser.dropped())
     if not lines:
         return ""
     threshold, cluster = chosen_cluster(lines)
