@@ -1,7 +1,7 @@
 """A training-data pipeline of five corpus operators.
 
 Every stage works on all documents that the one before kept, and returns the columns of ``documents``; the last adds the
-mix's columns in place of the text. Stages handle what their operators handle: nulls in any column, empty and very long
+mix's columns to them. Stages handle what their operators handle: nulls in any column, empty and very long
 texts, repeated rows, empty tables and further columns (see the operators' docstrings).
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, line_dedup, minhash, mixing, quality_cnn
@@ -46,13 +46,28 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many copies of each document the mix takes, and of how many words."""
-    return mixing.mix_sources(docs).withColumn("taken", F.col("copies") * F.col("size"))
+    """The documents, with how many copies of each the mix takes (size, source_size, target, copies) and of how many words (taken).
+
+    Columns of these names among ``docs`` are replaced. Rows alike in doc_id, source and size have the same target; they
+    are told apart by their numbers only.
+    """
+    plan = mixing.mix_sources(docs).withColumn("taken", F.col("copies") * F.col("size"))
+    added = [c for c in plan.columns if c not in ("doc_id", "source")]
+    key = {"__mx_doc": F.col("doc_id").cast("long"), "__mx_source": F.col("source").cast("string")}
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)).cast("long"), F.lit(0).cast("long"))
+    alike = lambda size, order: F.row_number().over(Window.partitionBy("__mx_doc", "__mx_source", size).orderBy(order))
+    left = docs.withColumns(key | {"__mx_size": size}).withColumn("__mx_row", alike("__mx_size", F.xxhash64("text")))
+    right = plan.withColumns(key).withColumn("__mx_row", alike("size", "copies")).drop("doc_id", "source")
+    right = right.withColumnsRenamed({c: f"__mxr_{c}" for c in right.columns})
+    same = F.lit(True)
+    for a, b in (("__mx_doc", "__mx_doc"), ("__mx_source", "__mx_source"), ("__mx_size", "size"), ("__mx_row", "__mx_row")):
+        same = same & F.col(a).eqNullSafe(F.col(f"__mxr_{b}"))
+    return left.join(right, same).select(*(c for c in docs.columns if c not in added), *(F.col(f"__mxr_{c}").alias(c) for c in added))
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", benchmarks), ("source_mixing", mix)]
 
-#: SQL cannot express a trained classifier; tests hold the stages against brute force.
+#: SQL cannot express a trained classifier; test_pipeline_stages holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 

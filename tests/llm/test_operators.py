@@ -77,10 +77,10 @@ def test_single_lines(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, df, SF).collect()) == [1, 2, 4, 5, 6, 7, 8, 9, 9]
 
 
-def test_lines_brute_force(spark, real):
-    rows = sorted((r.doc_id, r.text) for r in real if r.text is not None)
+def brute_lines(rows):
+    """Texts by doc_id without later runs: two lines, or one of two words or more than 32 bytes."""
     seen, want = set(), {}
-    for doc, text in rows:
+    for doc, text in sorted(rows):
         raw = text.split("\n")
         at = [i for i, x in enumerate(raw) if x.strip(" \t\r\x0b\x0c")]
         t = [raw[i].strip(" \t\r\x0b\x0c") for i in at]
@@ -94,8 +94,13 @@ def test_lines_brute_force(spark, real):
                     gone |= {at[p + k] for k in range(n)}
                 seen.add(run)
         want[doc] = "\n".join(x for i, x in enumerate(raw) if i not in gone)
+    return want
+
+
+def test_lines_brute_force(spark, real):
+    rows = [(r.doc_id, r.text) for r in real if r.text is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == brute_lines(rows)
 
 
 def test_decontamination(spark, docs, none):
@@ -320,3 +325,77 @@ def test_pipeline(spark):
         out = stage(spark, odd, SF)
         assert i == 4 or out.columns == odd.columns
         assert out.count() >= 3
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage's decisions on its own input, against brute force."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def after(name, docs):
+        stages[name](spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        return out, {r.doc_id: r for r in out.collect()}
+
+    was = {r.doc_id: r for r in docs.collect()}
+    model = quality_cnn.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    docs, now = after("quality_classifier", docs)
+    sure = {i: float(quality_cnn.scores(model, [(r.text or "").encode()])[0]) for i, r in was.items()}
+    assert all((i in now) == (x >= 0.3) for i, x in sure.items() if abs(x - 0.3) > 1e-4) and all(was[i] == r for i, r in now.items())
+
+    was = now
+    docs, now = after("line_dedup", docs)
+    want = brute_lines([(i, r.text) for i, r in was.items() if r.text is not None])
+    gone = {i for i, t in want.items() if t != was[i].text and not t.strip()}
+    assert {i: r.text for i, r in now.items()} == {i: want.get(i) for i in was if i not in gone}
+    assert all(r.n_chars == (was[i].n_chars if r.text == was[i].text else len(r.text)) for i, r in now.items())
+
+    was = now
+    docs, now = after("near_dedup", docs)
+    lower = {i: [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for i, r in was.items()}
+    sets = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for i, w in lower.items() if w}
+    top = {i: i for i in was}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    top[max(x, y)] = min(x, y)
+    assert now == {i: r for i, r in was.items() if find(i) == i}
+
+    was = now
+    docs, now = after("decontamination", docs)
+    words = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r.text)
+        n = min(10, len(w))
+        windows[n] |= {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if n else set()
+    hit = {i for i, r in was.items() for n, s in windows.items() for w in [words(r.text)] if any(tuple(w[p : p + n]) in s for p in range(len(w) - n + 1))}
+    assert now == {i: r for i, r in was.items() if i not in hit}
+
+    was = now
+    docs, now = after("source_mixing", docs)
+    assert now.keys() == was.keys() and all(all(now[i][c] == v for c, v in r.asDict().items()) for i, r in was.items())
+    taken = collections.Counter()
+    for r in now.values():
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) and r.taken == r.copies * r["size"]
+        taken[r.source] += r.taken
+    for source in taken:
+        mine = [r for r in now.values() if r.source == source]
+        assert {r.source_size for r in mine} == {sum(r["size"] for r in mine)}
+        assert abs(taken[source] - mine[0].target) <= max(r["size"] for r in mine) / 2 + 1
+
+    twice = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (1, "d e f", "s", "z"), (None, None, None, None)], "doc_id long, text string, source string, target string")
+    out = corpus_pipeline.mix(spark, twice, SF)
+    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == {(1, "a b c"): 2, (1, "d e f"): 1, (None, None): 1}
