@@ -64,6 +64,29 @@ def span_hash(codes: np.ndarray, symbols: np.ndarray, start: np.ndarray, end: np
     return out
 
 
+def numbered(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers the spans of ``symbols`` by content: (a span of each content, the number of each span), exactly.
+
+    Spans of an equal hash are compared with one of them symbol by symbol; should two differ, all are told apart by their symbols.
+    """
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = end - start
+    twin = first[number]
+    equal = bool((lengths == lengths[twin]).all())
+    step = 1 << 16
+    for a in range(0, len(start) if equal else 0, step):
+        n = lengths[a : a + step]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not (symbols[np.repeat(start[a : a + step], n) + within] == symbols[np.repeat(start[twin[a : a + step]], n) + within]).all():
+            equal = False
+            break
+    if not equal:
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(symbols[s:e].tobytes(), len(seen)) for s, e in zip(start, end)], np.int64)
+        first = np.unique(number, return_index=True)[1]
+    return first, number
+
+
 class Words:
     """The words of a list of UTF-8 texts: byte spans, owning row and 64-bit hash of each, in text order.
 
@@ -81,8 +104,8 @@ class Words:
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
         self.start, self.end = edge[0::2], edge[1::2]
         lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-        bounds = np.concatenate(([0], np.cumsum(lengths)))
-        self.first = np.searchsorted(self.start, bounds)
+        self.bounds = np.concatenate(([0], np.cumsum(lengths)))  # first byte of each row
+        self.first = np.searchsorted(self.start, self.bounds)
         self.first[-1] = len(self.start)
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.hash = span_hash(_BYTE_CODES, raw, self.start, self.end)
@@ -136,12 +159,15 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir is used as it is; a local folder is set only where it is unset, as in tests."""
+    """The session's spark.checkpoint.dir is used as it is. Where it is unset, local mode gets a folder of its own; on a cluster,
+    whose executors do not see the driver's folders, that is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         configured = tempfile.mkdtemp(prefix="spark-ckpt-")

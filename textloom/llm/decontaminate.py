@@ -4,8 +4,9 @@ Words are lower-cased (A-Z alone) runs of digits, ASCII letters and everything b
 are its runs of ``ngram`` words; an item with fewer words is one window. Windows are hashed, a document's windows are looked
 up by hash in batches, and each hit is verified against the words themselves.
 
-The set is broadcast in parts of at most ``part_windows`` windows; a benchmark with more is scanned in as many chained
-passes over the documents (no shuffle), each with its own bounded part, so nothing that is broadcast grows without bound.
+The set is broadcast in parts of about ``part_bytes`` bytes of windows and item ids. A benchmark of one part, the usual case,
+takes one pass over the documents without a shuffle. One of more parts takes a pass a part; the result of a pass is written
+before the next begins and its broadcast is then freed, so that one part at a time is on the driver and in the executors.
 
 Defined results: null or empty texts have no words and no hits; items with a null text or no word, and items with a null
 id, give no windows; items that share windows are all reported; repeated rows are judged one by one; an empty table, or
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import ALNUM_BYTES, Words, slices, texts_of
+from textloom.llm.common import ALNUM_BYTES, Words, cut, slices, texts_of
 
-PART_WINDOWS = 1_000_000
+#: Bytes of windows and items of one broadcast part; the hash tables made of them take some five times as much.
+PART_BYTES = 48 << 20
 
 
 def _windows(ngram: int):
@@ -95,15 +97,16 @@ def _scan(shared, names: list[str], first: bool):
     return run
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, part_windows: int = PART_WINDOWS) -> DataFrame:
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with __dc_words (number of words), __dc_hits (positions of hit words, int32 bytes) and __dc_items."""
     spark = docs.sparkSession
     names = docs.columns
     bench = benchmark.where("text is not null and item_id is not null").select(F.col("text").cast("string").alias("text"), F.col("item_id").cast("string").alias("item"))
-    windows = bench.mapInArrow(_windows(ngram), "gram binary, item string").distinct()
-    n = windows.count()
-    parts = max(1, -(-n // part_windows))
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)))
+    windows = cut(bench.mapInArrow(_windows(ngram), "gram binary, item string").distinct())
+    size = windows.agg(F.coalesce(F.sum(F.octet_length("gram") + F.octet_length("item") + 32), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_bytes))
+    # a window that very many items share spreads over the parts too
+    windows = windows.withColumn("part", F.pmod(F.xxhash64("gram", "item"), F.lit(parts)))
     schema = T.StructType([
         *docs.schema.fields,
         T.StructField("__dc_words", T.LongType()), T.StructField("__dc_hits", T.BinaryType()), T.StructField("__dc_items", T.ArrayType(T.StringType())),
@@ -111,36 +114,44 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, p
     out = docs
     for part in range(parts):
         rows = [(bytes(r.gram), r.item) for r in windows.where(F.col("part") == part).select("gram", "item").collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(_window_set(rows)), names, part == 0), schema)
+        shared = spark.sparkContext.broadcast(_window_set(rows))
+        out = out.mapInArrow(_scan(shared, names, part == 0), schema)
+        if part + 1 < parts:
+            out = cut(out)
+            shared.destroy()
     return out
 
 
+def without_spans(text: str, hits: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """The text without runs of hit words; ``start`` and ``end`` are its words' byte places."""
+    raw = text.encode()
+    kept, at = [], 0
+    for run in np.split(hits, np.flatnonzero(np.diff(hits) != 1) + 1):
+        kept.append(raw[at : start[run[0]]])
+        at = end[run[-1]]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
 def _strip(names: list[str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                rows = [i for i, h in enumerate(part.column("__dc_hits").to_pylist()) if h]
+                hits = part.column("__dc_hits").to_pylist()
+                rows = [i for i, h in enumerate(hits) if h]
                 w = Words([texts[i].encode() for i in rows], ALNUM_BYTES, lower=True)
                 for k, i in enumerate(rows):
-                    raw = texts[i].encode()
-                    hit = np.frombuffer(part.column("__dc_hits")[i].as_py(), np.int32)
-                    base = int(w.first[k])
-                    offset = sum(len(texts[j].encode()) + 1 for j in rows[:k]) if k else 0
-                    kept, at = [], 0
-                    for run_ in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1):
-                        kept.append(raw[at : int(w.start[base + run_[0]]) - offset])
-                        at = int(w.end[base + run_[-1]]) - offset
-                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+                    own = slice(w.first[k], w.first[k + 1])
+                    texts[i] = without_spans(texts[i], np.frombuffer(hits[i], np.int32), w.start[own] - w.bounds[k], w.end[own] - w.bounds[k])
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names=names)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, max_hit_share: float = 0.0, part_windows: int = PART_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, max_hit_share: float = 0.0, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` without contamination: documents with a larger share of hit words than ``max_hit_share`` go; from the
     others, the hit spans are cut. With 0, the default, every contaminated document goes."""
-    marked = mark_contamination(docs, benchmark, ngram, part_windows)
+    marked = mark_contamination(docs, benchmark, ngram, part_bytes)
     share = F.octet_length("__dc_hits") / F.lit(4) / F.greatest("__dc_words", F.lit(1))
     kept = marked.where(share <= max_hit_share)
     if max_hit_share <= 0:

@@ -9,7 +9,8 @@ is left with one fractional document at most, and those meet on the next level o
 group's size. Large documents meet first, so that the one that stays open is small. The last document of a source is
 rounded to its nearer end. A hot source is as many small groups as it needs.
 
-All random choices are hashes of the seed and of the rows, so reruns agree.
+All random choices are hashes of the seed and of the rows; equal rows are numbered by their count. So reruns agree, however the
+input's rows are split over files and tasks. Sources are summed in parallel to one row each; those rows are ranked in one task.
 
 Defined results: a null text counts 0 words and is taken 0 times; a null source is a source of its own; rows with null
 or repeated doc_ids are rounded one by one; an empty table gives an empty result; of the documents, doc_id, text and
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut
 
 GROUP = 32
+REPEATS = 1 << 16  # copies of one row that a task writes out at most
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,11 +99,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"),
-        F.xxhash64("doc_id", "text", "source").alias("row"), F.spark_partition_id().alias("part"),
+        F.xxhash64("doc_id", "text", "source").alias("row"),
     )
-    # equal rows are told apart, so that they too spread over the groups
-    again = F.row_number().over(Window.partitionBy("row", "part").orderBy("size"))
-    slim = cut(slim.withColumn("row", F.when(again > 1, F.xxhash64("row", "part", again)).otherwise(F.col("row"))).drop("part"))
+    # equal rows are counted and numbered, so that they too spread over the groups, however the input is split
+    alike = cut(slim.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("n")))
+    span = lambda a, b: F.explode(F.sequence(a, b))
+    many = alike.where("n > 1").withColumn("part", span(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))).repartition("row", "part")
+    first = F.col("part") * REPEATS
+    many = many.withColumn("again", span(first, F.least(F.col("n"), first + REPEATS) - 1))
+    many = many.withColumn("row", F.when(F.col("again") > 0, F.xxhash64("row", "again")).otherwise(F.col("row")))
+    slim = cut(alike.where("n = 1").drop("n").unionByName(many.drop("n", "part", "again")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     of = targets(sizes, weights, share, most).withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
