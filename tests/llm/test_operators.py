@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -332,6 +333,23 @@ def test_html_areas():
     assert html_text.main_text("<body><article><p>Short.</p></article><footer>A footer that is longer than the article.</footer></body>") == "Short."
 
 
+def test_html_headers_and_depth(spark):
+    want = " ".join(STORY)
+    head = "<header><h1>Headline</h1><p>By one</p></header>"
+    assert html_text.main_text(f"<body><header><h1>Site</h1></header><article>{head}{BODY}</article><footer>x</footer></body>") == f"Headline By one {want}"
+    assert html_text.main_text(f"<body><aside>{BODY}") == want  # an aside that never ends
+    assert html_text.main_text(f"<body><div class='content no-sidebar'>{BODY}</div></body>") == want
+    began = time.time()
+    for tag in ("div", "nav", "span", "article", "p"):
+        deep = "".join(f"<{tag}>w{i} " for i in range(20000))
+        assert len(html_text.main_text(f"<body>{deep}{BODY}")) > 100
+    assert html_text.main_text("<div class='" + "nav_" * 500 + "!'>x</div>") == "x"
+    assert time.time() - began < 20
+    df = spark.createDataFrame([("old", 1, "<p>Some words</p>", "a")], "__ht_text string, page_id long, html string, __ht_html string")
+    assert html_text.extract_text(df).collect() == [(1, "a", "Some words")]
+    assert html_text.extract_text(df.limit(0)).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
