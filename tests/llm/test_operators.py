@@ -1,11 +1,13 @@
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.compare import connect, same
@@ -267,13 +269,33 @@ def test_top_k(spark):
     assert got == [(0, 1, 50, a), (0, 2, 1, b), (50, 1, 0, a), (50, 2, 1, b)]
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
     rng = np.random.default_rng(2)
-    x = rng.integers(-100, 100, (500, 16)).astype(np.int32)
-    ids = np.arange(500)
-    q, d, s = topk.search_block(ids, x, ids[:40], x[:40], 5)
-    full = x[:40].astype(np.int64) @ x.T.astype(np.int64)
-    for i in range(40):
-        best = sorted((-full[i, j], j) for j in range(500) if j != i)[:5]
-        assert [(-t, j) for t, j in best] == list(zip(s[q == i].tolist(), d[q == i].tolist()))
+    for x in (rng.integers(-100, 100, (500, 16)), rng.integers(-3, 4, (500, 16)), np.floor(rng.normal(0, 1e12, (60, 8))), rng.integers(0, 2, (300, 1))):
+        ids = np.arange(len(x)) * 3
+        whole = [[int(u) for u in row] for row in x]
+        for floor in (-np.inf, 0.0):
+            cols, rows, score = topk.Block(ids, x.astype(float)).search(ids[:40], x[:40].astype(float), 5, np.full(40, floor))
+            for i in range(40):
+                best = sorted((-max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(whole[i], whole[j])))), j) for j in range(len(x)) if j != i)[:5]
+                got = list(zip((-score[cols == i]).tolist(), rows[cols == i].tolist()))
+                assert got == best if floor < 0 else [g for g in got if g[0] <= 0] == [y for y in best if y[0] <= 0]
+
+
+def test_top_k_odd_vectors(spark):
+    """Large components, lengths that differ, repeated ids, clashing names; several blocks and query parts."""
+    top = 3.4e38
+    rows = [(0, [1e8, -0.5], "a"), (50, [0.5], "b"), (1, [1e8, 0.5, 2.0], "c"), (2, [], "d"), (3, [top, 1.0], "e"), (100, [-top], "f"), (4, [0.5, 0.5], "g"), (4, [0.25, 9.0], "h")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string").withColumn("v", F.lit(1))
+    v = {}
+    for i, x, _ in rows:
+        own = tuple(math.floor(256 * int(c)) if abs(c) > 1e6 else math.floor(256 * c) for c in np.float32(x).astype(float))
+        v[i] = min(v.get(i, own), own)
+    want = []
+    for q in (0, 50, 100):
+        score = {i: max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(v[q], v[i])))) for i in v if i != q}
+        want += [(q, r + 1, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5])]
+    index = topk.quantised(df)
+    for sizes in ({}, {"block_bytes": 16, "part_bytes": 16}):
+        assert sorted(map(tuple, topk.top_k(index, index.where("id % 50 = 0"), 5, **sizes).collect())) == want
 
 
 def test_html(spark):
