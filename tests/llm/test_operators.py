@@ -52,6 +52,57 @@ def test_substrings(spark, docs, none):
     assert substring_dedup.dedup_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", (0, 3, 12, 10**6))
+def test_substrings_brute_force(spark, group_rows):
+    """Passages in very many documents, at different places and with other words around them; prefixes of every length."""
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(6)]
+    passages = [[words[i] for i in rng.integers(0, 6, 40)], [f"p{i}" for i in range(30)], ["same"] * 30]
+    rows = []
+    for doc in range(60):
+        text = []
+        for _ in range(3):
+            text += [f"u{x}" for x in rng.integers(0, 50, rng.integers(0, 9))]
+            passage = passages[rng.integers(0, 3)]
+            a = rng.integers(0, 12)
+            text += passage[a : a + rng.integers(10, 30)]
+        rows.append((doc // 2 if doc % 10 == 0 else doc, " ".join(text)))
+    first = {}
+    for doc, text in rows:
+        w = text.split()
+        for p in range(len(w) - 12):
+            key = tuple(w[p : p + 13])
+            first[key] = min(first.get(key, doc), doc)
+    want = []
+    for doc, text in rows:
+        w = text.split()
+        gone = {q for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < doc for q in range(p, p + 13)}
+        want.append((doc, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(df, group_rows=group_rows).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_suffix_tree_nodes():
+    """Internal nodes are the distinct repeated prefixes of suffixes that are followed by different words."""
+    rng = np.random.default_rng(3)
+    group, tokens = np.sort(rng.integers(0, 3, 80)), rng.integers(0, 2, (80, 6))
+    tree = substring_dedup.SuffixTree(group, tokens)
+    want = set()
+    for g in range(3):
+        rows = [tuple(t) for t in tokens[group == g].tolist()]
+        for r in rows:
+            for d in range(1, 7):
+                same = [x for x in rows if x[:d] == r[:d]]
+                if len(same) > 1 and (d == 6 or len({x[d] for x in same}) > 1):
+                    want.add((g, d, r[:d], len(same)))
+    got = {(int(group[tree.order[a]]), d, tuple(tokens[tree.order[a]][:d].tolist()), b - a + 1) for d, a, b in tree.nodes(1)}
+    assert got == want
+    for d in range(1, 7):
+        node = tree.node(d)
+        assert all((node[i] == node[j]) == (group[i] == group[j] and (tokens[i, :d] == tokens[j, :d]).all()) for i in range(80) for j in range(80))
+
+
 def test_lines(spark, docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "__ld_removed"]

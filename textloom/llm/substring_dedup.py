@@ -1,18 +1,24 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 2).
 
-Suffixes here start at words and are cut at ``window`` words, since a repeat is a run of at least that many words.
-
-1. *Prefix counts.* Every window of words holds one anchor: the leftmost smallest hash among the ``prefix``-word grams in
-   it, a function of the window's words alone. Its gram is the window's prefix in the partition. A prefix that one
-   document alone has leads to no repeat and needs no subtree; for the others, occurrences are counted. Counts are
-   combined within each bucket of documents before they are shuffled, so a passage that a third of all documents share
-   is one row a bucket.
-2. *Variable-length prefixes.* The suffixes under a prefix travel to one subtree; neighbouring suffixes with the same
-   anchor travel as one fragment of text. A prefix with more than ``group_rows`` fragments is lengthened to the whole
-   window, and its suffixes are dealt one by one. Equal fragments of a bucket travel once.
-3. *Subtrees.* Each task sorts the suffixes of its prefixes by words; nodes at the depth of ``window`` words are the
-   repeats, and a node's smallest doc_id says which occurrences are later ones.
-4. *Removal.* The nodes' smallest doc_ids go back to the buckets, which mark the words of later occurrences.
+A repeat is a run of ``window`` words or more. Suffixes start at words; a sparse set of them is enough: each window of words
+holds one anchor, the leftmost smallest hash among the ``prefix``-word grams in it, which depends on the window's words alone, so
+two copies of a window have their anchor at the same place. The suffixes from the anchors on are the ones that are sorted.
+
+1. *Prefix counts.* A suffix's prefix is its first ``prefix`` words, the anchor. A prefix that one document alone has leads to
+   no repeat and needs no subtree; for the others, buckets of documents count their distinct fragments (an anchor with the
+   words of all windows that hold it), as wholes and under each longer prefix.
+2. *Variable-length prefixes.* The suffixes under a prefix go to one subtree. A prefix with more than ``group_rows`` fragments
+   is lengthened word by word until the suffixes under each longer prefix fit (each bucket is granted its share of the group, so
+   that their sum fits); a window that ends before the longer prefix does is a prefix by itself, its whole words.
+3. *Subtrees.* The suffixes of a group are sorted and their longest common prefixes give the LCP intervals, the internal nodes
+   of the suffix tree with their depths; the words before the anchors, reversed, give a second tree. A node of depth
+   ``window - l`` in the first and one of depth l in the second are together a repeat of ``window`` words with l words before
+   the anchor; the smallest doc_id among the suffixes under both says which occurrences are later ones. A prefix that has grown
+   to a whole window is one node: its smallest doc_id is a minimum by key, combined before the shuffle, so that a passage of
+   very many documents costs one row a bucket and never a group.
+4. *Removal.* Smallest doc_ids go back to the buckets, which mark the words of later occurrences.
+
+Words and fragments are compared by content inside a subtree; whole-window prefixes by 128 bits of hash.
 
 Defined results: a null text has no words; rows with a null doc_id keep all their words and are no source for others;
 rows that repeat a doc_id are one document (a repeat needs a *smaller* doc_id); texts shorter than the window keep all;
@@ -26,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Words, _powers, mix, partitions, texts_of
+from textloom.llm.common import Words, _powers, cut, mix, numbered, partitions, texts_of
 
 BUCKET_BYTES = 4 << 20
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
+SHAPE = 1 << 10  # a fragment's windows * SHAPE + words before its anchor
+_OTHER_STEP = np.uint64(0xA0761D6478BD642F)
 
 
 class _Fragments:
@@ -38,14 +46,13 @@ class _Fragments:
     def __init__(self, texts: list[bytes], window: int, prefix: int):
         self.words = w = Words(texts)
         self.window = window
-        self.fp = self.first = self.count = self.key = np.zeros(0, np.uint64)
+        self.fp = self.key = np.zeros(0, np.uint64)
+        self.row = self.first = self.count = self.anchor = np.zeros(0, np.int64)
         if not len(w.hash):
-            self.row = np.zeros(0, np.int64)
             return
         gram, _ = w.grams(prefix)
         n = len(gram) - window + 1
         if n <= 0:
-            self.row = np.zeros(0, np.int64)
             return
         best, arg = gram[:n].copy(), np.arange(n)
         for k in range(1, window - prefix + 1):
@@ -54,16 +61,29 @@ class _Fragments:
             arg[less] = np.flatnonzero(less) + k
         p = np.flatnonzero(w.row[:n] == w.row[window - 1 :])
         if not len(p):
-            self.row = np.zeros(0, np.int64)
             return
         a = arg[p]
         new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])
-        self.first, self.count = p[new], np.diff(np.r_[new, len(p)])
+        self.first, self.count, self.anchor = p[new], np.diff(np.r_[new, len(p)]), a[new]
         self.fp, self.row = best[self.first], w.row[self.first]
-        up, down = _powers(len(w.hash) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * up[: len(w.hash)])))
-        last = self.first + self.count + window - 1
-        self.key = mix((sums[last] - sums[self.first]) * down[self.first] + self.count.astype(np.uint64))
+        self.up, self.down = _powers(len(w.hash) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * self.up[: len(w.hash)])))
+        self.key = self.span(self.first, self.first + self.count + window - 1)
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words a..b-1."""
+        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+
+    def whole(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows that start at p."""
+        h, other = self.words.hash, np.zeros(len(p), np.uint64)
+        for k in range(self.window):
+            other = other * _OTHER_STEP + h[p + k]
+        return self.span(p, p + self.window), mix(other)
+
+    def cut_to(self, level: np.ndarray) -> np.ndarray:
+        """First window start of each fragment that reaches as far as a prefix of ``level`` words; it and those behind do."""
+        return np.clip(self.anchor + level - self.window, self.first, self.first + self.count)
 
 
 def _ids(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -78,130 +98,185 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _prefix_counts(window: int, prefix: int):
+    kinds = pa.schema([("fp", pa.int64()), ("frags", pa.int32()), ("many", pa.bool_()), ("longer", pa.list_(pa.int32())), ("bucket", pa.int64())])
+
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         texts, ids, known = _ids(table)
         f = _Fragments([t if k else b"" for t, k in zip(texts, known)], window, prefix)
         if not len(f.fp):
-            return pa.table({"fp": _signed(f.fp[:0]), "bucket": pa.array([], pa.int64()), "frags": pa.array([], pa.int64()), "many": pa.array([], pa.bool_())})
+            return kinds.empty_table()
         order = np.lexsort((f.key, f.fp))
         fp, key, doc = f.fp[order], f.key[order], ids[f.row[order]]
         at = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-        fresh = np.r_[True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1])].astype(np.int64)
+        fresh = np.r_[True, (fp[1:] != fp[:-1]) | (key[1:] != key[:-1])]
+        frags = np.add.reduceat(fresh.astype(np.int64), at)
         many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-        return pa.table({"fp": _signed(fp[at]), "bucket": pa.array(np.full(len(at), bucket)), "frags": pa.array(np.add.reduceat(fresh, at)), "many": pa.array(many)})
+        # the most fragments under each longer prefix, where there is more than one fragment
+        longer = np.ones((len(at), window - prefix - 1), np.int32)
+        owner = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(fp)]))
+        some = np.flatnonzero(fresh & (frags[owner] > 1))
+        a, own, n = f.anchor[order][some], owner[some], len(f.words.hash)
+        for k in range(prefix + 1, window):
+            gram = f.span(a, np.minimum(a + k, n)) if len(a) else np.zeros(0, np.uint64)
+            sort = np.lexsort((gram, own))
+            g, o = gram[sort], own[sort]
+            edge = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (o[1:] != o[:-1])]) if len(g) else np.zeros(0, np.int64)
+            np.maximum.at(longer[:, k - prefix - 1], o[edge], np.diff(np.r_[edge, len(g)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(frags > 1, longer.shape[1], 0))].astype(np.int32)), pa.array(longer[frags > 1].ravel()))
+        return pa.table([_signed(fp[at]), pa.array(frags.astype(np.int32)), pa.array(many), lists, pa.array(np.full(len(at), bucket))], schema=kinds)
 
     return run
 
 
+def _least_most(sort: np.ndarray, keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key: a row that has it, its smallest and largest doc_id; ``sort`` brings equal keys together."""
+    change = np.zeros(len(sort), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[sort][1:] != k[sort][:-1]
+    at = np.flatnonzero(change)
+    return sort[at], np.minimum.reduceat(doc[sort], at), np.maximum.reduceat(doc[sort], at)
+
+
+def _with_levels(table: pa.Table, shared: pa.Table, window: int, prefix: int) -> tuple[_Fragments, np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket's fragments, its doc_ids, the fragments with a prefix in ``shared``, and the length of each one's prefix."""
+    texts, ids, known = _ids(table)
+    f = _Fragments([t if k else b"" for t, k in zip(texts, known)], window, prefix)
+    fps = np.asarray(shared.column("fp")).view(np.uint64)
+    order = np.argsort(fps)
+    at = np.minimum(np.searchsorted(fps[order], f.fp), len(fps) - 1)
+    take = np.flatnonzero(fps[order][at] == f.fp)
+    level = np.full(len(f.fp), prefix, np.int64)
+    level[take] = np.asarray(shared.column("level"))[order][at[take]]
+    return f, ids, take, level
+
+
 def _fragments(window: int, prefix: int):
+    """What goes to the subtrees; equal fragments of a bucket travel once, with their smallest and largest doc_id."""
+    kinds = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("key", pa.int64()), ("frag", pa.binary()), ("shape", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = {"part": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "frag": pa.array([], pa.binary()), "key": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "low": pa.array([], pa.int64()), "high": pa.array([], pa.int64())}
         if not table.num_rows or not shared.num_rows:
-            return pa.table(empty)
+            return kinds.empty_table()
         bucket = table.column("bucket")[0].as_py()
-        texts, ids, known = _ids(table)
-        f = _Fragments([t if k else b"" for t, k in zip(texts, known)], window, prefix)
-        fps = np.asarray(shared.column("fp")).view(np.uint64)
-        heavy = np.asarray(shared.column("heavy"))
-        order = np.argsort(fps)
-        fps, heavy = fps[order], heavy[order]
-        at = np.minimum(np.searchsorted(fps, f.fp), len(fps) - 1)
-        take = np.flatnonzero(fps[at] == f.fp)
-        if not len(take):
-            return pa.table(empty)
-        # equal fragments of the bucket travel once, with their smallest and largest doc_id
-        take = take[np.argsort(f.key[take], kind="stable")]
-        key, doc = f.key[take], ids[f.row[take]]
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        low, high = np.minimum.reduceat(doc, cuts), np.maximum.reduceat(doc, cuts)
-        rows = {k: [] for k in empty}
-        w = f.words
-        for i, lo, hi in zip(take[cuts], low.tolist(), high.tolist()):
-            start, n, part = int(f.first[i]), int(f.count[i]), int(f.fp[i].view(np.int64))
-            whole = w.joined(start, start + n + window - 1)
-            if not heavy[at[i]]:
-                pieces = [(part, whole, n, f.key[i])]
-            else:  # the prefix, lengthened to the whole window: every suffix is dealt by itself
-                parts = whole.split(b" ")
-                pieces = [(None, b" ".join(parts[k : k + window]), 1, mix(f.key[i : i + 1] + np.uint64(k + 1))[0]) for k in range(n)]
-            for where, text, many, name in pieces:
-                rows["part"].append(_text_part(text) if where is None else where)
-                rows["bucket"].append(bucket)
-                rows["frag"].append(text)
-                rows["key"].append(int(np.uint64(name).view(np.int64)))
-                rows["n"].append(many)
-                rows["low"].append(lo)
-                rows["high"].append(hi)
-        return pa.table({k: pa.array(v, empty[k].type) for k, v in rows.items()})
+        f, ids, take, level = _with_levels(table, shared, window, prefix)
+        start, end = f.cut_to(level), f.first + f.count
+        own = take[(start < end)[take]]
+        if not len(own):
+            return kinds.empty_table()
+        some, low, high = _least_most(np.argsort(f.key[own], kind="stable"), [f.key[own]], ids[f.row[own]])
+        i, w = own[some], f.words
+        frags = [w.data[a:b] for a, b in zip(w.start[start[i]].tolist(), w.end[end[i] + window - 2].tolist())]
+        part = f.fp[i].copy()
+        deep = np.flatnonzero(level[i] > prefix)
+        part[deep] = f.span(f.anchor[i[deep]], f.anchor[i[deep]] + level[i[deep]])
+        shape = (end[i] - start[i]) * SHAPE + f.anchor[i] - start[i]
+        return pa.table([_signed(part), pa.array(np.full(len(i), bucket)), _signed(f.key[i]), pa.array(frags, pa.binary()), pa.array(shape.astype(np.int32)), pa.array(low), pa.array(high)], schema=kinds)
 
     return run
 
 
-def _text_part(text: bytes) -> int:
-    import xxhash
+def _whole_windows(window: int, prefix: int):
+    """Windows that end before their lengthened prefix: one row a window and bucket, with its smallest and largest doc_id."""
+    kinds = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("bucket", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        if not table.num_rows or not shared.num_rows:
+            return kinds.empty_table()
+        bucket = table.column("bucket")[0].as_py()
+        f, ids, take, level = _with_levels(table, shared, window, prefix)
+        p = _ranges(f.first[take], (f.cut_to(level) - f.first)[take])
+        if not len(p):
+            return kinds.empty_table()
+        key, other = f.whole(p)
+        some, low, high = _least_most(np.lexsort((other, key)), [key, other], ids[f.words.row[p]])
+        return pa.table([_signed(key[some]), _signed(other[some]), pa.array(np.full(len(some), bucket)), pa.array(low), pa.array(high)], schema=kinds)
+
+    return run
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ..., n[i] numbers each."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class SuffixTree:
-    """The truncated suffix tree of some fragments, as its sorted leaves and the nodes at the depth of ``window`` words."""
-
-    def __init__(self, fragments: list[bytes], counts: list[int], window: int):
-        self.leaves: list[tuple[bytes, int]] = []
-        n = 0
-        for frag, count in zip(fragments, counts):
-            if count == 1:
-                self.leaves.append((frag, n))
-                n += 1
-                continue
-            at = [0]
-            find = frag.find
-            while (x := find(b" ", at[-1])) >= 0:
-                at.append(x + 1)
-            at.append(len(frag) + 1)
-            for k in range(count):
-                self.leaves.append((frag[at[k] : at[k + window] - 1], n))
-                n += 1
-        self.leaves.sort()
-
-    def deep_nodes(self):
-        """Leaf numbers below each node at the window's depth."""
-        leaves, i = self.leaves, 0
-        while i < len(leaves):
-            j = i + 1
-            while j < len(leaves) and leaves[j][0] == leaves[i][0]:
-                j += 1
-            yield [x[1] for x in leaves[i:j]]
-            i = j
-
-
-def _subtrees(window: int):
+    """The suffix tree of token rows, group by group: sorted leaves, and the LCP intervals that are its internal nodes.
+
+    ``order`` are the leaves, ``lcp`` the tokens that each shares with the one before (-1 at a group's first leaf).
+    """
+
+    def __init__(self, group: np.ndarray, tokens: np.ndarray):
+        self.order = np.lexsort((*tokens.T[::-1], group))
+        t, g = tokens[self.order], group[self.order]
+        self.lcp = np.full(len(t), -1, np.int64)
+        self.lcp[1:] = np.where(g[1:] == g[:-1], np.cumprod(t[1:] == t[:-1], axis=1).sum(axis=1), -1)
+
+    def node(self, depth: int) -> np.ndarray:
+        """For each row, the number of the node (or leaf) in which it lies at this depth."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.lcp < depth)
+        return out
+
+    def nodes(self, least: int) -> list[tuple[int, int, int]]:
+        """(depth, first leaf, last leaf) of the internal nodes of a depth of at least ``least``: the LCP intervals."""
+        out, open_ = [], []
+        for i, d in enumerate([*self.lcp.tolist(), -1]):
+            first = i - 1
+            while open_ and open_[-1][0] > d:
+                depth, first = open_.pop()
+                out.append((depth, first, i - 1))
+            if d >= least and (not open_ or open_[-1][0] < d):
+                open_.append((d, first))
+        return sorted(out, key=lambda x: (x[1], -x[2]))
+
+
+def repeats(group: np.ndarray, frags: list[bytes], before: np.ndarray, count: np.ndarray, low: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """The smallest ``low`` of each window of each fragment, fragments' windows in order.
+
+    A fragment has ``count`` windows; the first starts ``before`` words before the anchor.
+    """
+    w = Words(frags)
+    raw = np.frombuffer(w.data, np.uint8)
+    _, token = numbered(raw, w.start, w.end, w.hash)
+    first, end = w.first[:-1], w.first[1:]
+    anchor = first + before
+
+    def words(step: int, n: int) -> np.ndarray:
+        at = anchor[:, None] + (np.arange(n) if step > 0 else -1 - np.arange(n))[None, :]
+        inside = (at >= first[:, None]) & (at < end[:, None])
+        return np.where(inside, token[np.clip(at, 0, len(token) - 1)], -1)
+
+    right, left = SuffixTree(group, words(1, window)), SuffixTree(group, words(-1, window - prefix))
+    begin = np.cumsum(count) - count
+    least = np.repeat(low, count)
+    for l in range(window - prefix + 1):  # noqa: E741  windows with l words before the anchor
+        own = np.flatnonzero((before >= l) & (before - l < count))
+        if not len(own):
+            continue
+        node = right.node(window - l)[own] * (len(group) + 1) + left.node(l)[own]
+        order = np.argsort(node, kind="stable")
+        sorted_ = node[order]
+        at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        smallest = np.minimum.reduceat(low[own][order], at)
+        out = np.empty(len(own), np.int64)
+        out[order] = np.repeat(smallest, np.diff(np.r_[at, len(own)]))
+        least[(begin + before - l)[own]] = out
+    return least
+
+
+def _subtrees(window: int, prefix: int):
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("part")), kind="stable")
-        table = table.take(pa.array(order))
-        part = np.asarray(table.column("part"))
-        counts = np.asarray(table.column("n"))
+        counts, before = np.divmod(np.asarray(table.column("shape")).astype(np.int64), SHAPE)
         low, high = np.asarray(table.column("low")), np.asarray(table.column("high"))
-        frags = table.column("frag").to_pylist()
-        first = np.r_[0, np.cumsum(counts)]
-        least = np.repeat(low, counts)
-        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a == 1 and low[a] == high[a] and counts[a] == 1:
-                continue
-            tree = SuffixTree(frags[a:b], counts[a:b].tolist(), window)
-            base = first[a]
-            for node in tree.deep_nodes():
-                if len(node) > 1:
-                    at = np.asarray(node) + base
-                    least[at] = least[at].min()
-        later = np.minimum.reduceat(least, first[:-1]) < high
-        keep = np.flatnonzero(later)
+        least = repeats(np.asarray(table.column("part")), table.column("frag").to_pylist(), before, counts, low, window, prefix)
+        first = np.cumsum(counts) - counts
+        keep = np.flatnonzero(np.minimum.reduceat(least, first) < high)
         return pa.table({
             "bucket": table.column("bucket").take(pa.array(keep)).combine_chunks(),
             "key": table.column("key").take(pa.array(keep)).combine_chunks(),
-            "least": pa.array([least[first[i] : first[i + 1]].tobytes() for i in keep], pa.binary()),
+            "least": pa.array([least[first[i] : first[i] + counts[i]].tobytes() for i in keep], pa.binary()),
         })
 
     return run
@@ -216,22 +291,34 @@ def _remove(window: int, prefix: int):
         f = _Fragments([t if k else b"" for t, k in zip(texts, known)], window, prefix)
         w = f.words
         mark = np.zeros(len(w.hash) + 1, np.int64)
+
+        def later(start):
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + window, -1)
+
         if found.num_rows and len(f.key):
             keys = np.asarray(found.column("key")).view(np.uint64)
-            order = np.argsort(keys)
-            keys, least = keys[order], [found.column("least")[int(i)].as_py() for i in order]
-
-            def hit(names, first, count, row):
-                at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
-                for i in np.flatnonzero(keys[at] == names):
-                    starts = first[i] + np.flatnonzero(np.frombuffer(least[at[i]], np.int64)[: count[i]] < ids[row[i]])
-                    mark[starts] += 1
-                    mark[starts + window] -= 1
-
-            hit(f.key, f.first, f.count, f.row)
-            for k in range(int(f.count.max())):  # suffixes that were dealt by themselves
-                own = np.flatnonzero(f.count > k)
-                hit(mix(f.key[own] + np.uint64(k + 1)), f.first[own] + k, np.ones(len(own), np.int64), f.row[own])
+            other, low = found.column("other").combine_chunks(), np.asarray(found.column("low").fill_null(0))
+            whole = ~np.asarray(other.is_null())
+            other = np.asarray(other.fill_null(0)).view(np.uint64)
+            own = np.flatnonzero(~whole)
+            own = own[np.argsort(keys[own])]
+            if len(own):
+                at = np.minimum(np.searchsorted(keys[own], f.key), len(own) - 1)
+                hit = np.flatnonzero(keys[own][at] == f.key)
+                least = found.column("least").take(pa.array(own[at[hit]])).to_pylist()  # of a fragment's last windows
+                n = np.array([len(v) // 8 for v in least], np.int64)
+                start = _ranges((f.first + f.count)[hit] - n, n) if len(hit) else np.zeros(0, np.int64)
+                later(start[np.frombuffer(b"".join(least), np.int64) < ids[w.row[start]]])
+            own = np.flatnonzero(whole)
+            own = own[np.argsort(keys[own], kind="stable")]
+            if len(own):  # whole windows as prefixes; those of an equal first hash stand side by side
+                p = _ranges(f.first, f.count)
+                a, b = f.whole(p)
+                at = np.searchsorted(keys[own], a)
+                for step in range(int(np.unique(keys[own], return_counts=True)[1].max())):
+                    i = own[np.minimum(at + step, len(own) - 1)]
+                    later(p[(keys[i] == a) & (other[i] == b) & (low[i] < ids[w.row[p]])])
         gone = np.cumsum(mark[:-1]) > 0
         total, removed, kept = [], [], []
         for r in range(len(texts)):
@@ -257,17 +344,27 @@ def dedup_substrings(docs: DataFrame, window: int = 13, prefix: int = 5, group_r
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(4 * partitions(spark), -(-size // bucket_bytes))
     base = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).alias("bucket"), "doc_id", "text")
-    counts = base.groupBy("bucket").applyInArrow(_prefix_counts(window, prefix), "fp long, bucket long, frags long, many boolean")
+    counts = base.groupBy("bucket").applyInArrow(_prefix_counts(window, prefix), "fp long, frags int, many boolean, longer array<int>, bucket long")
     by = Window.partitionBy("fp")
-    shared = (
-        counts.select("*", F.count("*").over(by).alias("_in"), F.sum("frags").over(by).alias("_frags"))
-        .where("_in > 1 or many")
-        .select("bucket", "fp", (F.col("_frags") > group_rows).alias("heavy"))
+    # a bucket's share of a group, and the shortest prefix whose groups keep to it; ``window`` where none does
+    share = F.floor(F.lit(group_rows) / F.col("_in"))
+    fits = F.array_position(F.transform(F.coalesce("longer", F.array_repeat(F.lit(1), window - prefix - 1)), lambda n: n <= share), True)
+    own = F.when(F.col("frags") <= share, F.lit(prefix)).when(fits > 0, fits + prefix).otherwise(F.lit(window)).cast("int")
+    shared = cut(
+        counts.select("*", F.count("*").over(by).alias("_in")).where("_in > 1 or many")
+        .select("bucket", "fp", F.max(own).over(by).alias("level"))
     )
-    frags = base.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-        _fragments(window, prefix), "part long, bucket long, frag binary, key long, n int, low long, high long"
+    pieces = base.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
+        _fragments(window, prefix), "part long, bucket long, key long, frag binary, shape int, low long, high long"
     )
-    least = frags.groupBy(F.pmod("part", F.lit(buckets)).alias("_group")).applyInArrow(_subtrees(window), "bucket long, key long, least binary")
+    least = pieces.groupBy(F.pmod("part", F.lit(buckets)).alias("_group")).applyInArrow(_subtrees(window, prefix), "bucket long, key long, least binary")
+    least = least.select("*", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("low"))
+    grown = shared.where(F.col("level") > prefix)
+    if not grown.isEmpty():
+        whole = cut(base.groupBy("bucket").cogroup(grown.groupBy("bucket")).applyInArrow(_whole_windows(window, prefix), "key long, other long, bucket long, low long, high long"))
+        nodes = whole.groupBy("key", "other").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
+        back = whole.join(nodes, ["key", "other"]).where("first < high")
+        least = least.unionByName(back.select("bucket", "key", F.lit(None).cast("binary").alias("least"), "other", F.col("first").alias("low")))
     return base.groupBy("bucket").cogroup(least.groupBy("bucket")).applyInArrow(
         _remove(window, prefix), "doc_id long, n_words long, n_removed long, kept string"
     )
