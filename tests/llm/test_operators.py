@@ -219,6 +219,62 @@ def test_near_duplicates_brute_force(spark):
         assert got == {i: find(i) for i in range(len(texts))}
 
 
+def similar_groups(texts, shingle, num, den):
+    """Component of each text, all pairs compared."""
+    sets = [{tuple(w[p : p + shingle]) for p in range(max(1, len(w) - shingle + 1))} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def families(rng, n, words=100):
+    """Texts that fill in one form: most are alike below the threshold, some are above it, sizes differ."""
+    form = [f"f{x}" for x in range(words)]
+    texts = []
+    for i in range(n):
+        own = list(form[: words - i % 4])
+        for at in rng.choice(len(own), 4, replace=False):
+            own[at] = f"g{rng.integers(0, 30)}" if i % 3 else f"u{i}_{at}"
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            own[3] = f"near{i}"
+            texts.append(" ".join(own))
+    return texts
+
+
+def test_near_duplicates_of_crowded_buckets(spark):
+    texts = families(np.random.default_rng(8), 160)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shingle, (num, den) in ((3, (85, 100)), (5, (80, 100))):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle, (num, den)).collect()}
+        want = dict(enumerate(similar_groups(texts, shingle, num, den)))
+        assert got == want and 20 < len(set(want.values())) < len(texts)
+    # the prefix join alone finds all pairs at the threshold, across sizes
+    sets = [{tuple(w[p : p + 3]) for p in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    crowd = df.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"), "text")
+    pairs = {(r.a, r.b) for r in minhash.crowd_pairs(crowd, 3, 85, 100).collect()}
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links <= pairs and len(links) > 10
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with two texts is one document with the links of both."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(5, one), (7, one), (7, two), (9, two), (9, two), (11, "x y z")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == {(5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True)}
+
+
 def test_token_counts(spark, docs, none, real):
     import public_tokenizers
     from tokenizers import Tokenizer

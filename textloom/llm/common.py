@@ -197,6 +197,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = cut(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     )
+    state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -210,13 +211,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        after = cut(small)
-        changed = after.join(e, ["a", "b"], "left_anti").limit(1).count() + e.join(after, ["a", "b"], "left_anti").limit(1).count()
-        e = after
-        if not changed:
+        e = cut(small)
+        before, state = state, e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first()
+        if state == before:
             break
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
+
+
+def joined_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (id, component) with the components that ``edges`` (a, b) link made one; settled nodes stay as they are."""
+    side = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    named = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = cut(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return groups
+    more = cut(components(between))
+    new = more.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    moved = groups.join(new, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    return cut(moved.unionByName(more.join(groups, "id", "left_anti").select("id", "component")))

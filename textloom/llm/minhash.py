@@ -7,12 +7,16 @@ leading zeros and ten mantissa bits (16 bits). Empty buckets borrow from buckets
 1. Documents with equal sets form a class, which its smallest doc_id stands for: copies cost no pairs.
 2. Bands of registers are hashed; representatives with an equal band share a bucket. Each member of a bucket is paired
    with two members, the smallest doc_id and a random one, never with all. The register estimate, corrected for
-   registers that are equal by chance, drops pairs that are far below the threshold (five standard deviations).
+   registers that are equal by chance, drops pairs that are far below the threshold (six standard deviations).
 3. Pairs are verified on the full sets: first each document's best pair, then those pairs whose ends are still apart.
-4. Buckets whose members are still in different components give the remaining pairs across components. They are compared
-   inside the join by samples of their sets (whole sets up to 512 shingles), so that only pairs that may be links leave it,
-   and then estimated and verified alike. So no link between different texts that share a band is lost, and members that are
-   already together are not compared.
+4. Buckets whose members are still in different components give the remaining pairs across components. Of buckets of up to
+   ``LISTED`` members they are listed, by ids. The members of larger ones, families of texts that are alike but below the
+   threshold, meet by their rarest shingles instead: with shingles in one order (those of a single component first, then the
+   rarest), two sets at the threshold share one of the first n - o + 1 shingles of each, o being the overlap that their
+   sizes ask for, and the one they share lets o be reached. Sizes are dealt into classes, so that this count is exact to a few
+   percent and is part of the join's key. Texts that differ from all others in their own rare shingles so meet none of them.
+   Pairs are then estimated and verified as before. No link between different texts that share a band is lost, and members
+   that are already together are not compared.
 
 The number of registers a band has is the largest with which a pair at the threshold is missed with probability of at
 most 1e-6.
@@ -29,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Words, components, cut, grams, slices, texts_of
+from textloom.llm.common import Words, components, cut, grams, joined_groups, slices, texts_of
 
 BUCKETS = 256
-SAMPLE = 512
+LISTED = 16
+CLASS = 1.03  # ratio of the largest to the smallest size of a class
 USED = 252  # a multiple of many band widths
 MANTISSA = 10
 _PROBES = np.array([np.random.default_rng(7 + i).permutation(BUCKETS) for i in range(BUCKETS)], dtype=np.uint8)
@@ -98,7 +103,7 @@ def _sketch(shingle: int):
 def _estimate(threshold: float):
     """Keeps the pairs whose estimated similarity is not clearly below the threshold."""
     chance = 1 / (3 << MANTISSA)  # two different minima of sets alike in size: zeros agree with 1/3, mantissas with 2**-10
-    least = threshold - 5 * (threshold * (1 - threshold) / USED) ** 0.5
+    least = threshold - 6 * (threshold * (1 - threshold) / USED) ** 0.5
 
     def run(batches):
         for batch in batches:
@@ -130,26 +135,47 @@ def _confirm(shingle: int, num: int, den: int):
     return run
 
 
-def _samples(shingle: int):
-    """For the last comparison: of each set the hashes under a bound that halves until at most SAMPLE are expected."""
-
+def _sets(shingle: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                level, under, half, values = [], [], [], []
-                for s in shingle_sets(texts_of(part.column("text")), shingle):
-                    k = max(0, int(np.ceil(np.log2(max(1, len(s)) / SAMPLE))))
-                    low = s & np.uint64(0xFFFFFFFF)
-                    own = low < np.uint64(1 << (32 - k))
-                    level.append(k)
-                    under.append(int(own.sum()))
-                    half.append(int((low < np.uint64(1 << (31 - k))).sum()))
-                    values.append((s[own] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(level, pa.int32()), pa.array(under, pa.int32()), pa.array(half, pa.int32()), pa.array(values, pa.list_(pa.int32()))], names=["rep", "level", "under", "half", "sample"])
+                sets = [pa.array(x.view(np.int64)) for x in shingle_sets(texts_of(part.column("text")), shingle)]
+                ends = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+                values = pa.concat_arrays(sets) if sets else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("txt"), part.column("c"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["rep", "txt", "c", "tokens"])
 
     return run
 
 
+def crowd_pairs(crowd: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b) of texts (rep, c, text) in different components c that may reach the threshold: the prefix join of step 4."""
+    t = num / den
+    sets = cut(crowd.withColumn("txt", F.xxhash64("text")).select("rep", "txt", "c", "text").mapInArrow(_sets(shingle), "rep long, txt long, c long, tokens array<long>"))
+    each = sets.select("rep", "txt", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    # shingles of one component only need no row and come first in every set
+    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", "df")
+    ranked = each.join(shared, "token").groupBy("rep", "txt", "c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("rare"))
+    group = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)))
+    n, other = F.col("n"), F.col("other")
+    classes = F.sequence(group(F.ceil(n * t - 1e-9)), group(F.floor(n / t + 1e-9)))
+    smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), other)), F.ceil(n * t - 1e-9))  # of the sets of the other class
+    need = F.ceil((n + smallest) * (t / (1 + t)) - 1e-9)
+    first = (n - need + 1 - (n - F.size("rare"))).cast("int")  # of the shared shingles, that many are among the set's first ones
+    rows = (
+        ranked.withColumn("own", group(n)).withColumn("other", F.explode(classes)).withColumn("first", first).where("first > 0")
+        .select("rep", "c", "n", "own", "other", (n - F.size("rare")).alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.col("first"))).alias("pos", "g"))
+        .select("rep", "c", "n", "own", "other", (F.col("alone") + F.col("pos")).alias("pos"), "g.token")
+    )
+    x, y = rows.where("own <= other").alias("x"), rows.where("own >= other").alias("y")
+    overlap = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    return (
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+               & (F.col("x.c") != F.col("y.c")) & ((F.col("x.own") < F.col("x.other")) | (F.col("x.rep") < F.col("y.rep")))
+               & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (overlap >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-6))
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
+    )
+
+
 def band_width(threshold: float, miss: float = 1e-6) -> int:
     """Registers a band: the most with which a pair at the threshold shares no band with probability of at most ``miss``."""
     return max(r for r in range(1, 17) if (1 - threshold**r) ** (USED // r) <= miss or r == 1)
@@ -164,7 +190,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int, int]
     full = sketches.where("n > 0 and doc_id is not null")
     classes = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = cut(classes)
-    member = full.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    of = cut(full.select("doc_id", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep").distinct())
+    # a doc_id with several texts links the classes of all of them
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
+    several = of.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
 
     bands = USED // width
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(i, F.substring(F.col("regs"), i * F.lit(2 * width) + 1, F.lit(2 * width))).alias("band")))
@@ -194,32 +223,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int, int]
 
     candidates = cut(estimated(stars))
     best = candidates.groupBy("b").agg(F.max(F.struct("j", F.negative("a").alias("a"))).alias("m")).select(F.negative("m.a").alias("a"), "b")
-    links = cut(confirmed(best))
-    groups = cut(components(links.unionByName(member)))
-    links = cut(links.unionByName(confirmed(apart(candidates, groups))))
-    groups = cut(components(links.unionByName(member)))
+    groups = cut(components(confirmed(best).unionByName(several)))
+    groups = joined_groups(groups, confirmed(apart(candidates, groups)))
 
     # what is left: pairs of a bucket that are in different components and have not been looked at
     labelled = cut(members.select("band", "rep", "n").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c")))
-    open_ = labelled.groupBy("band").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo_c < hi_c").select("band")
-    samples = texts.mapInArrow(_samples(shingle), "rep long, level int, under int, half int, sample array<int>").dropDuplicates(["rep"])
-    rows = labelled.join(open_, "band", "left_semi").join(samples, "rep")
-    x, y = rows.alias("x"), rows.alias("y")
-    # the similarity from the sets' hashes under the smaller bound; whole sets, when both are small, leave no error
-    common = F.size(F.array_intersect("x.sample", "y.sample"))
-    of = lambda p, q: F.when(F.col(f"{p}.level") < F.col(f"{q}.level"), F.col(f"{p}.half")).otherwise(F.col(f"{p}.under"))
-    error = F.when(F.greatest("x.level", "y.level") == 0, F.lit(0.01)).otherwise(5 * (num / den * (1 - num / den) / (SAMPLE / 2)) ** 0.5)
-    rest = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
-               & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-               & (common >= (F.lit(num / den) - error) * (of("x", "y") + of("y", "x") - common)))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    rest = cut(estimated(rest))
-    links = cut(links.unionByName(confirmed(rest)))
-    groups = components(links.unionByName(member))
-    out = sketches.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    open_ = labelled.groupBy("band").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c"), F.count("*").alias("size")).where("lo_c < hi_c")
+    rows = cut(labelled.join(open_.select("band", (F.col("size") > LISTED).alias("large")), "band"))
+    x, y = rows.where("not large").alias("x"), rows.where("not large").alias("y")
+    listed = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))
+                    & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    crowd = rows.where("large").select("rep", "c").distinct()
+    rest = listed
+    if not crowd.isEmpty():
+        rest = listed.unionByName(crowd_pairs(texts.withColumnRenamed("doc_id", "rep").join(crowd, "rep"), shingle, num, den))
+    groups = joined_groups(groups, confirmed(cut(estimated(rest.distinct().join(stars, ["a", "b"], "left_anti")))))
+    names = of.join(groups, of["rep"] == groups["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = sketches.join(names, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
