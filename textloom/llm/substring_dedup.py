@@ -153,45 +153,43 @@ def _with_levels(table: pa.Table, shared: pa.Table, window: int, prefix: int) ->
 
 
 def _fragments(window: int, prefix: int):
-    """What goes to the subtrees; equal fragments of a bucket travel once, with their smallest and largest doc_id."""
-    kinds = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("key", pa.int64()), ("frag", pa.binary()), ("shape", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+    """What goes to the subtrees (``other`` is null), and the windows that end before their lengthened prefix.
 
-    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
-        if not table.num_rows or not shared.num_rows:
-            return kinds.empty_table()
-        bucket = table.column("bucket")[0].as_py()
-        f, ids, take, level = _with_levels(table, shared, window, prefix)
-        start, end = f.cut_to(level), f.first + f.count
-        own = take[(start < end)[take]]
-        if not len(own):
-            return kinds.empty_table()
-        some, low, high = _least_most(np.argsort(f.key[own], kind="stable"), [f.key[own]], ids[f.row[own]])
-        i, w = own[some], f.words
-        frags = [w.data[a:b] for a, b in zip(w.start[start[i]].tolist(), w.end[end[i] + window - 2].tolist())]
-        part = f.fp[i].copy()
-        deep = np.flatnonzero(level[i] > prefix)
-        part[deep] = f.span(f.anchor[i[deep]], f.anchor[i[deep]] + level[i[deep]])
-        shape = (end[i] - start[i]) * SHAPE + f.anchor[i] - start[i]
-        return pa.table([_signed(part), pa.array(np.full(len(i), bucket)), _signed(f.key[i]), pa.array(frags, pa.binary()), pa.array(shape.astype(np.int32)), pa.array(low), pa.array(high)], schema=kinds)
-
-    return run
-
-
-def _whole_windows(window: int, prefix: int):
-    """Windows that end before their lengthened prefix: one row a window and bucket, with its smallest and largest doc_id."""
-    kinds = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("bucket", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    Equal ones of a bucket travel once, with their smallest and largest doc_id.
+    """
+    kinds = pa.schema([
+        ("part", pa.int64()), ("other", pa.int64()), ("bucket", pa.int64()), ("key", pa.int64()), ("frag", pa.binary()), ("shape", pa.int32()), ("low", pa.int64()), ("high", pa.int64()),
+    ])
 
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return kinds.empty_table()
         bucket = table.column("bucket")[0].as_py()
         f, ids, take, level = _with_levels(table, shared, window, prefix)
-        p = _ranges(f.first[take], (f.cut_to(level) - f.first)[take])
-        if not len(p):
-            return kinds.empty_table()
-        key, other = f.whole(p)
-        some, low, high = _least_most(np.lexsort((other, key)), [key, other], ids[f.words.row[p]])
-        return pa.table([_signed(key[some]), _signed(other[some]), pa.array(np.full(len(some), bucket)), pa.array(low), pa.array(high)], schema=kinds)
+        start, end, w = f.cut_to(level), f.first + f.count, f.words
+        out = [kinds.empty_table()]
+        own = take[(start < end)[take]]
+        if len(own):
+            some, low, high = _least_most(np.argsort(f.key[own], kind="stable"), [f.key[own]], ids[f.row[own]])
+            i = own[some]
+            frags = [w.data[a:b] for a, b in zip(w.start[start[i]].tolist(), w.end[end[i] + window - 2].tolist())]
+            part = f.fp[i].copy()
+            deep = np.flatnonzero(level[i] > prefix)
+            part[deep] = f.span(f.anchor[i[deep]], f.anchor[i[deep]] + level[i[deep]])
+            shape = (end[i] - start[i]) * SHAPE + f.anchor[i] - start[i]
+            out.append(pa.table([
+                _signed(part), pa.nulls(len(i), pa.int64()), pa.array(np.full(len(i), bucket)), _signed(f.key[i]), pa.array(frags, pa.binary()), pa.array(shape.astype(np.int32)),
+                pa.array(low), pa.array(high),
+            ], schema=kinds))
+        p = _ranges(f.first[take], (start - f.first)[take])
+        if len(p):
+            key, other = f.whole(p)
+            some, low, high = _least_most(np.lexsort((other, key)), [key, other], ids[w.row[p]])
+            n = len(some)
+            out.append(pa.table([
+                _signed(key[some]), _signed(other[some]), pa.array(np.full(n, bucket)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(low), pa.array(high),
+            ], schema=kinds))
+        return pa.concat_tables(out)
 
     return run
 
@@ -354,17 +352,16 @@ def dedup_substrings(docs: DataFrame, window: int = 13, prefix: int = 5, group_r
         counts.select("*", F.count("*").over(by).alias("_in")).where("_in > 1 or many")
         .select("bucket", "fp", F.max(own).over(by).alias("level"))
     )
-    pieces = base.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
-        _fragments(window, prefix), "part long, bucket long, key long, frag binary, shape int, low long, high long"
+    pieces = cut(base.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
+        _fragments(window, prefix), "part long, other long, bucket long, key long, frag binary, shape int, low long, high long"
+    ))
+    trees = pieces.where("other is null").groupBy(F.pmod("part", F.lit(buckets)).alias("_group")).applyInArrow(_subtrees(window, prefix), "bucket long, key long, least binary")
+    whole = pieces.where("other is not null").select("part", "other", "bucket", "low", "high")
+    nodes = whole.groupBy("part", "other").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
+    back = whole.join(nodes, ["part", "other"]).where("first < high")
+    least = trees.select("*", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("low")).unionByName(
+        back.select("bucket", F.col("part").alias("key"), F.lit(None).cast("binary").alias("least"), "other", F.col("first").alias("low"))
     )
-    least = pieces.groupBy(F.pmod("part", F.lit(buckets)).alias("_group")).applyInArrow(_subtrees(window, prefix), "bucket long, key long, least binary")
-    least = least.select("*", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("low"))
-    grown = shared.where(F.col("level") > prefix)
-    if not grown.isEmpty():
-        whole = cut(base.groupBy("bucket").cogroup(grown.groupBy("bucket")).applyInArrow(_whole_windows(window, prefix), "key long, other long, bucket long, low long, high long"))
-        nodes = whole.groupBy("key", "other").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").drop("last")
-        back = whole.join(nodes, ["key", "other"]).where("first < high")
-        least = least.unionByName(back.select("bucket", "key", F.lit(None).cast("binary").alias("least"), "other", F.col("first").alias("low")))
     return base.groupBy("bucket").cogroup(least.groupBy("bucket")).applyInArrow(
         _remove(window, prefix), "doc_id long, n_words long, n_removed long, kept string"
     )
