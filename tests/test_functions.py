@@ -9,7 +9,7 @@ def one(spark, value, f):
 
 
 def test_skip_rules(spark):
-    for value, skip in (("2026-08-04", True), ("https://translation.example", True), ("123,456.00%", True), ("Agreement", False), ("12:30", True), ("a@b.co", True), ("v1.2", True), ("3.5 million", True), ("  ", True), (None, True), ("合同", False)):
+    for value, skip in (("2026-08-04", True), ("https://site.example", True), ("123,456.00%", True), ("Agreement", False), ("12:30", True), ("a@b.co", True), ("v1.2", True), ("3.5 million", True), ("  ", True), (None, True), ("合同", False)):
         assert one(spark, value, X.should_skip) is skip, value
     assert one(spark, "§", lambda c: X.should_skip(c, True)) is True
     assert one(spark, "合", lambda c: X.should_skip(c, True)) is False
@@ -28,6 +28,10 @@ def test_terms_and_cells(spark):
     assert one(spark, "=2+2", X.csv_safe) == "'=2+2"
     assert one(spark, "+8613800000000", X.csv_safe) == "'+8613800000000"
     assert one(spark, None, X.csv_safe) == ""
+    for cell in ("@department", "\u3000=1+1", "\u00a0@x", " \t-5", "\u2003+1"):
+        assert one(spark, cell, X.csv_safe) == "'" + cell
+    for cell in ("plain", "a=1", "\u3000x", "1-2"):
+        assert one(spark, cell, X.csv_safe) == cell
     assert one(spark, "<td>a <b>x</b></td><td> </td><TD>c</TD>", X.html_cells) == "a x | c"
     assert one(spark, "zh-Hant", X.language_pair_code) == "zh"
     assert one(spark, "zh-Hant", X.language_name) == "Traditional Chinese"
@@ -45,6 +49,43 @@ def test_memory_lookup(spark):
     mem = spark.createDataFrame([(1, "  LEGAL CLAUSE  "), (2, "legal clauses"), (3, "b")], "tm_id long, source_text string")
     got = {r.key: (r.tm_id, r.exact) for r in core.memory_lookup(seg, mem).collect()}
     assert got == {"legal clause": (1, True), "legal clauses x": (2, False), "a": (3, False)}
+    # equally similar sources: the first; equal sources: the latest; a source below the threshold is none
+    mem = spark.createDataFrame([(7, "abcdef y"), (5, "abcdef z"), (4, "unrelated memory"), (8, "Same"), (9, "same ")], "tm_id long, source_text string")
+    got = {r.key: (r.tm_id, r.similarity, r.exact) for r in core.memory_lookup(spark.createDataFrame([("abcdef x",), ("same",), ("quite another",)], "text string"), mem).collect()}
+    assert got == {"abcdef x": (5, 0.857, False), "same": (9, 1.0, True)}
+
+
+def test_fuzzy_join_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcde f") for _ in range(rng.randint(1, 40))) for _ in range(25)] + ["合同违约条款责任", "合同违约条款的责任", "a", "b", "", "😀😀ab"]
+    near = ["".join(c if rng.random() > 0.06 else rng.choice("abcxyz") for c in t) for t in base for _ in range(4)]
+    ls, rs = list(enumerate(base + near)), list(enumerate(near[::2] + base[::3]))
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    for threshold in (0.8, 0.55):
+        want = {(i, j) for i, a in ls for j, b in rs for x, y in [(grams(a), grams(b))] if x and y and 2 * len(x & y) >= threshold * (len(x) + len(y)) - 1e-12}
+        got = core.fuzzy_join(spark.createDataFrame(ls, "lid long, ltext string"), spark.createDataFrame(rs, "rid long, rtext string"), threshold)
+        assert {(r.lid, r.rid) for r in got.collect()} == want and len(want) > 100
+
+
+def test_glossary_hits(spark):
+    terms = ["act", "contract", "breach of contract", " breach ", "违约", "根本违约", "法", "a.b", "C++", "x (y)", "(z)", "--- ", "é", "ñ1", "Act", "an"]
+    glossary = [(i, t, "strict" if t in ("act", "x (y)") else "preferred") for i, t in enumerate(terms)] + [(99, "act", "preferred")]
+    texts = {
+        1: "The ACTUAL act was a Breach  of contract", 2: "material breach of contract, contract", 3: "构成根本违约。", 4: "违约 and 法", 5: "a.b aXb C++ x (y) (z) w(z)w a---b",
+        6: "", 7: None, 8: "Ñ1 ñ1 é", 9: "act_ react ACT",
+    }
+    got = {}
+    df = spark.createDataFrame(list(texts.items()), "seg_id long, text string")
+    for r in core.glossary_hits(df, spark.createDataFrame(glossary, "ord long, term string, priority string")).orderBy("seg_id", "ord").collect():
+        got.setdefault(r.seg_id, []).append(r.term)
+    assert got == {1: ["act", "contract", " breach ", "Act"], 2: ["breach of contract"], 3: ["根本违约"], 4: ["违约"], 5: ["a.b", "(z)", "--- "], 8: ["ñ1"], 9: ["act", "Act"]}
+    many = [(i, f"t{i:02}" + "x" * (i % 5), "strict" if i % 7 == 0 else "preferred") for i in range(60)]
+    one = spark.createDataFrame([(1, " ".join(t for _, t, _ in many))], "seg_id long, text string")
+    kept = [(r.ord, r.term) for r in core.glossary_hits(one, spark.createDataFrame(many, "ord long, term string, priority string")).collect()]
+    want = sorted(many, key=lambda m: (m[2] != "strict", -len(m[1]), m[0]))[:40]
+    assert sorted(kept) == sorted((i, t) for i, t, _ in want)
 
 
 def test_upsert_keeps_old_where_new_is_null(spark):

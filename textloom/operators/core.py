@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bigrams, dice, norm_text
+from textloom.functions.text import bigram_codes, dice, norm_text, strip
+from textloom.storage import cut
 
 Pair = tuple[str, str]
 
@@ -42,61 +43,146 @@ def upsert(base: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[s
     return b.join(n, on, "full_outer").select(*cols)
 
 
+def _bits(grams: Column) -> Column:
+    """Four longs: a set of 256 bits, one or more for each gram's hash."""
+    places = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(256)).cast("int"))
+    word = lambda k: F.aggregate(F.filter(places, lambda p: F.shiftright(p, 6) == k), F.lit(0).cast("bigint"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p % 64)))
+    return F.struct(*(word(k).alias(f"b{k}") for k in range(4)))
+
+
+def _alone(x: str, y: str) -> Column:
+    """A number that the grams of x that are not in y reach at least: bits of x that y lacks."""
+    return sum((F.bit_count(F.col(f"{x}.bits.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits.b{k}")))) for k in range(4)), F.lit(0))
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All pairs (lid, rid, similarity) of (lid, ltext) and (rid, rtext) with bigram Dice of at least ``threshold``.
 
-    Prefix filter: with threshold t a pair shares one of the rarest |A| - ceil(|A| t / (2 - t)) + 1 bigrams of each side,
-    and sizes differ by a factor of (2 - t) / t at most. Bigrams are ranked by their frequency on the right side; a
-    candidate row carries ids and sizes only, and pairs are verified on the bigram sets. Texts without bigrams (one
-    character) are matched by an equi-join, and texts of one character are all alike by definition.
+    Texts without bigrams (blank or of one character) give no pair here.
+
+    Prefix filter: with bigrams in one order, the rarest of both sides first, a pair shares one of the first
+    |A| - ceil(|A| t / (2 - t)) + 1 of each side. The join is on those; its condition asks that sizes, the places of the
+    shared bigram, and 256 hash bits of both sets let the threshold be reached, so that hardly a pair leaves it that is not
+    one. Pairs are ids; they are verified on the bigram sets. Each side's texts and sets are written once, so that the
+    planner knows the sides' sizes: a small side's prefixes are broadcast, larger ones are shuffled, hot bigrams split.
     """
     need = threshold / (2 - threshold)
-    # a bigram as one number, its two code points: sets of numbers are compared far faster than sets of strings
-    coded = lambda c: F.transform(bigrams(F.col(c)), lambda g: F.ascii(g).cast("bigint") * (1 << 21) + F.ascii(F.substring(g, 2, 1)))
-    ls = left.withColumn("lg", coded("ltext")).where("ltext <> ''")
-    rs = right.withColumn("rg", coded("rtext")).where("rtext <> ''")
-    freq = rs.select(F.explode("rg").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, key: str, grams: str) -> DataFrame:
-        x = df.where(F.size(grams) > 0).select(key, F.size(grams).alias("n"), F.explode(grams).alias("g")).join(freq, "g", "left")
-        ranked = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "g"))
-        return x.withColumn("r", ranked).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * need) + 1).select(key, "n", "g")
-
-    lp, rp = prefixes(ls, "lid", "lg"), prefixes(rs, "rid", "rg").withColumnRenamed("n", "m")
-    pairs = lp.join(rp, "g").where(F.least("n", "m") >= F.greatest("n", "m") * need).select("lid", "rid").distinct()
-    pairs = pairs.unionByName(ls.where("size(lg) = 0").withColumn("one", F.lit(1)).join(rs.where("size(rg) = 0").withColumn("one", F.lit(1)), "one").select("lid", "rid"))
+
+    def sets(df: DataFrame, key: str, text: str) -> DataFrame:
+        g = df.select(F.col(key).alias("id"), F.col(text).alias("text"), bigram_codes(F.col(text)).alias("grams")).where("size(grams) > 0")
+        return cut(g.withColumn("n", F.size("grams")).withColumn("bits", _bits(F.col("grams"))))
+
+    ls, rs = sets(left, "lid", "ltext"), sets(right, "rid", "rtext")
+    count = lambda df: df.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    freq = count(ls).unionByName(count(rs)).groupBy("g").agg(F.sum("df").alias("df"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        ranked = df.select("id", F.explode("grams").alias("g")).join(freq, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
+        first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1).cast("int"))
+        return df.select("id", "n", "bits").join(ranked, "id").select("id", "n", "bits", F.posexplode(first).alias("pos", "o")).select("id", "n", "bits", "pos", "o.g")
+
+    x, y = prefixes(ls).alias("x"), prefixes(rs).alias("y")
+    overlap = (F.col("x.n") + F.col("y.n")) * (threshold / 2) - 1e-6
+    near = (
+        (F.col("x.g") == F.col("y.g")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * need - 1e-6)
+        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= overlap)
+        & (F.col("x.n") - _alone("x", "y") >= overlap) & (F.col("y.n") - _alone("y", "x") >= overlap)
+    )
+    pairs = x.join(y, near).select(F.col("x.id").alias("lid"), F.col("y.id").alias("rid")).distinct()
+    side = lambda df, i, t, g: df.select(F.col("id").alias(i), F.col("text").alias(t), F.col("grams").alias(g))
     sim = dice(F.col("ltext"), F.col("rtext"), F.col("lg"), F.col("rg"))
-    return pairs.join(ls, "lid").join(rs, "rid").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("lid", "rid", "ltext", "rtext", "similarity")
+    checked = pairs.join(side(rs, "rid", "rtext", "rg"), "rid").join(side(ls, "lid", "ltext", "lg"), "lid").withColumn("similarity", sim)
+    return checked.where(F.col("similarity") >= threshold).select("lid", "rid", "ltext", "rtext", "similarity")
 
 
 def memory_lookup(segments: DataFrame, memory: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Best memory of each distinct segment text: exact first, else the most similar one of at least ``threshold``.
 
-    ``segments`` (text), ``memory`` (tm_id, source_text). Gives (key, tm_id, similarity, exact).
+    ``segments`` (text), ``memory`` (tm_id, source_text). Gives (key, tm_id, similarity, exact). Of equal sources the latest
+    (largest) tm_id stands; of equally similar sources the first (smallest). Texts of one character have no bigrams and are
+    alike by definition: such a segment takes the first memory of one character. No candidate is left out for its number.
     """
-    seg = segments.select(norm_text(F.col("text")).alias("key")).where("key <> ''").distinct()
-    mem = memory.select("tm_id", norm_text(F.col("source_text")).alias("src")).groupBy("src").agg(F.max("tm_id").alias("tm_id"))
+    seg = cut(segments.select(norm_text(F.col("text")).alias("key")).where("key <> ''").distinct())
+    mem = cut(memory.select("tm_id", norm_text(F.col("source_text")).alias("src")).where("src <> ''").groupBy("src").agg(F.max("tm_id").alias("tm_id")))
     exact = seg.join(mem, F.col("key") == F.col("src")).select("key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
     rest = seg.join(exact.select("key"), "key", "left_anti")
     name = F.struct(F.xxhash64("key").alias("a"), F.hash("key").alias("b"))  # candidate rows carry twelve bytes, not the text
     found = fuzzy_join(rest.select(name.alias("lid"), F.col("key").alias("ltext")), mem.select(F.col("tm_id").alias("rid"), F.col("src").alias("rtext")), threshold)
-    best = found.groupBy("lid", "ltext").agg(F.max(F.struct("similarity", F.col("rid").alias("rid"))).alias("m"))
-    fuzzy = best.select(F.col("ltext").alias("key"), F.col("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
-    return exact.unionByName(fuzzy)
+    best = found.groupBy("lid", "ltext").agg(F.max(F.struct("similarity", F.negative("rid").alias("rid"))).alias("m"))
+    fuzzy = best.select(F.col("ltext").alias("key"), F.negative("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
+    one = mem.where("length(src) = 1").agg(F.min("tm_id").alias("tm_id"))  # one row
+    short = rest.where("length(key) = 1").join(F.broadcast(one)).where("tm_id is not null").select("key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(False).alias("exact"))
+    return exact.unionByName(fuzzy).unionByName(short)
+
+
+def glossary_for_pairs(entries: DataFrame, wanted: DataFrame, dictionary: str = "法学") -> DataFrame:
+    """Entries (id, source_term, target_term, lang_pair, domain, priority) for each wanted pair of language codes (src, tgt).
+
+    Entries of the pair as they are, those of the reverse pair swapped; the source ``auto`` stands for every language. Entries
+    of the ``dictionary`` domain are left out, those without a domain stay. An entry meets pairs by its languages, never all.
+    """
+    ends = F.split("lang_pair", "→")
+    e = entries.where(F.col("domain").isNull() | (F.col("domain") != dictionary)).withColumn("a", ends[0]).withColumn("b", ends[1])
+    swap = {"source_term": "target_term", "target_term": "source_term", "a": "b", "b": "a"}
+    e = e.unionByName(e.select(*(F.col(swap.get(c, c)).alias(c) for c in e.columns)))
+    both = e.withColumn("src", F.explode(F.array(F.col("a"), F.lit("auto")))).withColumn("tgt", F.col("b")).drop("a", "b")
+    return both.join(wanted, ["src", "tgt"])
+
+
+W = r"[\p{L}\p{N}_]"  # characters of words
+
+
+def _grams(text: Column, size: int, of: str) -> Column:
+    """Distinct runs of ``size`` characters that match ``of``, overlapping ones too."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({of}))"), F.lit(1)))
 
 
 def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> DataFrame:
-    """(seg_id, term, ord) of single-word ASCII terms found on word boundaries, case-insensitively, in segments.
+    """(seg_id, term, priority, ord) of the glossary's terms in segments (seg_id, text); glossary (term, priority, ord).
+
+    Terms are stripped, and of equal ones the first (smallest ord) stands. An ASCII term of three characters or more is found
+    on word boundaries, case-insensitively; another one of two or more wherever its characters stand. A term that is part of
+    a longer hit of the segment goes, unless it is strict. Beyond ``most`` hits, strict and then longer terms are kept.
 
-    Words of a segment meet terms in an equi-join, so the cost follows the words, not segments times terms. Beyond
-    ``most`` hits, strict and then longer terms are kept; else the glossary's order holds.
+    No segment is compared with all terms: an ASCII term meets the segments that have its first word, a term beyond ASCII
+    those that have one of its bigrams beyond ASCII, a term of marks alone those that have its first three; candidates are
+    checked on the text. Which terms hold which others is found once, among terms.
     """
-    words = segments.select("seg_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
-    hit = words.join(glossary.withColumn("w", F.lower("term")), "w")
+    bare = strip(F.col("term"))
+    ascii_ = F.col("t").rlike(r"^[\x00-\x7F]*$")
+    terms = glossary.select(bare.alias("t"), "term", "priority", "ord").where(F.col("t") != "").groupBy("t").agg(F.min(F.struct("ord", "term", "priority")).alias("f"))
+    terms = terms.where(F.length("t") >= F.when(ascii_, 3).otherwise(2)).select("t", "f.*", ascii_.alias("ascii"))
+    wide = r"[^\x00-\x7F]."
+    word = F.lower(F.regexp_extract("t", "[A-Za-z0-9_]+", 0))
+    key = (
+        F.when(F.col("ascii") & (word != ""), F.concat(F.lit("w"), word)).when(F.col("ascii"), F.concat(F.lit("m"), F.left("t", F.lit(3))))
+        .otherwise(F.concat(F.lit("g"), F.regexp_extract("t", rf"(?s){wide}|.[^\x00-\x7F]", 0)))
+    )
+    terms = cut(terms.withColumn("key", key))
+    tag = lambda x, c: F.transform(c, lambda v: F.concat(F.lit(x), v))
+    text = F.col("text")
+    keys = F.array_distinct(F.concat(
+        tag("w", F.regexp_extract_all(F.lower(text), F.lit(f"{W}+"), F.lit(0))), tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), _grams(text, 2, rf"{wide}|.[^\x00-\x7F]")).otherwise(F.array())),
+        tag("m", _grams(text, 3, r"[^\p{L}\p{N}_]{3}")),
+    ))
+    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(segments.select("seg_id", "text"), "seg_id")
+    edge = lambda c, word, mark: F.when(c.rlike(W), word).otherwise(mark)
+    quoted = F.concat(F.lit(r"\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit("(?iu)"), edge(F.left("t", F.lit(1)), rf"(?<!{W})", rf"(?<={W})"), quoted, edge(F.right("t", F.lit(1)), rf"(?!{W})", rf"(?={W})"))
+    found = F.when(F.col("ascii"), F.lower(text).contains(F.lower("t")) & F.rlike(text, pattern)).otherwise(text.contains(F.col("t")))
+    hits = maybe.where(found).select("seg_id", "t", "term", "priority", "ord")
+    # terms inside longer ones, by their first two to four characters
+    start = terms.select("t", F.least(F.length("t"), F.lit(4)).alias("k")).select(F.col("t").alias("inner"), F.concat_ws(":", "k", F.left("t", F.col("k"))).alias("g"))
+    parts = F.concat(*(tag(f"{k}:", _grams(F.col("t"), k, "." * k)) for k in (2, 3, 4)))
+    inside = terms.select(F.col("t").alias("outer"), F.explode(parts).alias("g")).join(start, "g").where((F.length("outer") > F.length("inner")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
+    hits = cut(hits)
+    plain = hits.where("priority is null or priority <> 'strict'").select("seg_id", F.col("t").alias("inner")).join(inside, "inner")
+    shadowed = plain.join(hits.select("seg_id", F.col("t").alias("outer")), ["seg_id", "outer"], "left_semi").select("seg_id", F.col("inner").alias("t"))
+    left = hits.join(shadowed, ["seg_id", "t"], "left_anti")
     by = Window.partitionBy("seg_id")
-    hit = hit.withColumn("n", F.count("*").over(by))
-    rank = F.row_number().over(by.orderBy(F.when(F.col("n") > most, (F.col("priority") != "strict").cast("int")), F.when(F.col("n") > most, -F.length("term")), "ord", "term"))
-    return hit.withColumn("r", rank).where(F.col("r") <= most).select("seg_id", "term", "priority", "ord")
+    over = F.col("n") > most
+    rank = F.row_number().over(by.orderBy(F.when(over, (F.coalesce(F.col("priority"), F.lit("")) != "strict").cast("int")), F.when(over, -F.length("term")), "ord", "term"))
+    return left.withColumn("n", F.count("*").over(by)).withColumn("r", rank).where(F.col("r") <= most).select("seg_id", "term", "priority", "ord")
 
 
 def pack_chunks(sizes: Column, most: int = 6000, tail: int = 1500) -> Column:

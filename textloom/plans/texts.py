@@ -32,7 +32,7 @@ gb AS (SELECT src, tm_id, list_distinct([src[i:i + 1] for i in range(1, length(s
 p AS (SELECT key, tm_id, key = src AS exact, CASE WHEN key = src THEN 1.0 WHEN len(ga.g) + len(gb.g) = 0 THEN 1.0 WHEN len(ga.g) = 0 OR len(gb.g) = 0 THEN 0.0
   ELSE 2.0 * len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g)) END AS sim
   FROM ga JOIN gb ON least(len(ga.g), len(gb.g)) * 1.5 >= greatest(len(ga.g), len(gb.g))),
-r AS (SELECT key, tm_id, exact, sim, row_number() OVER (PARTITION BY key ORDER BY exact DESC, sim DESC, tm_id DESC) AS r FROM p WHERE sim >= 0.8)
+r AS (SELECT key, tm_id, exact, sim, row_number() OVER (PARTITION BY key ORDER BY exact DESC, sim DESC, tm_id) AS r FROM p WHERE sim >= 0.8)
 SELECT key, tm_id, round_even(sim, 3)::DOUBLE AS similarity, exact FROM r WHERE r = 1"""
 
 
@@ -55,25 +55,63 @@ def g1(spark, d):
     return s.join(best, s["k"] == best["key"], "left").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id", "similarity", route.alias("route"))
 
 
-GLOSSARY_SQL = r"SELECT term, upper(term) AS target, CASE WHEN min(item_id) % 2 = 0 THEN 'strict' ELSE 'preferred' END AS priority, min(item_id) * 100000 + min(p) AS ord FROM (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM benchmark)) GROUP BY term"
+#: Words and pairs of words of the memory, and words beyond ASCII of every fifth document.
+TERM_PATTERNS = (r"[A-Za-z]{3,}", r"[A-Za-z]+[,.]? [A-Za-z]{3,}")
+GLOSSARY_SQL = rf"""SELECT term, upper(term) AS target, CASE WHEN min(o) % 3 = 0 THEN 'strict' ELSE 'preferred' END AS priority, min(o) AS ord FROM (
+SELECT unnest(w) AS term, item_id * 100000 + generate_subscripts(w, 1) AS o FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[0]}') AS w FROM benchmark)
+UNION ALL SELECT unnest(w), 100000000 + item_id * 100000 + generate_subscripts(w, 1) FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[1]}') AS w FROM benchmark)
+UNION ALL SELECT unnest(w), 200000000 + doc_id * 100000 + generate_subscripts(w, 1) FROM (SELECT doc_id, regexp_extract_all(text, '\p{{L}}*[^\x00-\x7F]\p{{L}}* ?\p{{L}}*') AS w FROM documents WHERE doc_id % 5 = 0 AND lang = 'es')) GROUP BY term"""
 
 
 def glossary(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("p", "term"))
-    g = w.groupBy("term").agg(F.min("item_id").alias("i"), (F.min("p") + 1).alias("p"))
-    return g.select("term", F.upper("term").alias("target"), F.when(F.col("i") % 2 == 0, "strict").otherwise("preferred").alias("priority"), (F.col("i") * 100000 + F.col("p")).alias("ord"))
+    def found(name, key, pattern, first):
+        w = table(spark, d, name).select(F.col(key).alias("k"), F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("p", "term"))
+        return w.select("term", (F.col("k") * 100000 + F.col("p") + 1 + first).alias("o"))
 
+    wide = r"\p{L}*[^\x00-\x7F]\p{L}* ?\p{L}*"
+    docs = table(spark, d, "documents").where("doc_id % 5 = 0 and lang = 'es'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(wide), F.lit(0))).alias("p", "term"))
+    g = found("benchmark", "item_id", TERM_PATTERNS[0], 0).unionByName(found("benchmark", "item_id", TERM_PATTERNS[1], 100_000_000)).unionByName(docs.select("term", (F.col("doc_id") * 100000 + F.col("p") + 1 + 200_000_000).alias("o")))
+    g = g.groupBy("term").agg(F.min("o").alias("ord"))
+    return g.select("term", F.upper("term").alias("target"), F.when(F.col("ord") % 3 == 0, "strict").otherwise("preferred").alias("priority"), "ord")
 
-@query("j1_glossary_load", f"SELECT term AS source, target, priority, ord FROM ({GLOSSARY_SQL}) UNION ALL SELECT target, term, priority, ord + 1000000000 FROM ({GLOSSARY_SQL})")
+
+ENTRY_SQL = """SELECT p_partkey AS id, p_type AS source_term, p_name AS target_term, ['en→zh', 'zh→en', 'fr→zh', 'zh→fr', 'en→fr'][p_partkey % 5 + 1] AS lang_pair,
+CASE WHEN p_size < 10 THEN '法学' WHEN p_size % 4 > 0 THEN p_brand END AS domain, CASE WHEN p_size % 2 = 0 THEN 'strict' ELSE 'preferred' END AS priority, p_retailprice AS updated_at FROM part"""
+PAIRS = (("en", "zh"), ("zh-Hant", "EN"), ("auto", "zh"), ("auto", "fr"), ("de", "zh"))
+
+
+def entries(spark, d):
+    """Parts as the entries of a term table."""
+    pair = F.element_at(F.array(*map(F.lit, ("en→zh", "zh→en", "fr→zh", "zh→fr", "en→fr"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_type").alias("source_term"), F.col("p_name").alias("target_term"), pair.alias("lang_pair"),
+        F.when(F.col("p_size") < 10, "法学").when(F.col("p_size") % 4 > 0, F.col("p_brand")).alias("domain"), F.when(F.col("p_size") % 2 == 0, "strict").otherwise("preferred").alias("priority"),
+        F.col("p_retailprice").alias("updated_at"),
+    )
+
+
+@query("j1_glossary_load", f"""WITH e AS ({ENTRY_SQL}), r AS (SELECT * FROM (VALUES ('en', 'zh'), ('zh', 'en'), ('auto', 'zh'), ('auto', 'fr'), ('de', 'zh')) t(src, tgt)),
+k AS (SELECT *, string_split(lang_pair, '→')[1] AS a, string_split(lang_pair, '→')[2] AS b FROM e WHERE domain IS NULL OR domain <> '法学')
+SELECT src, tgt, id, source_term, target_term, priority FROM r JOIN k ON b = tgt AND (src = 'auto' OR a = src)
+UNION ALL SELECT src, tgt, id, target_term, source_term, priority FROM r JOIN k ON a = tgt AND (src = 'auto' OR b = src)""")
 def j1(spark, d):
-    g = glossary(spark, d)
-    return g.select(F.col("term").alias("source"), "target", "priority", "ord").unionByName(g.select(F.col("target").alias("source"), F.col("term").alias("target"), "priority", (F.col("ord") + 1_000_000_000).alias("ord")))
+    """Terms of five requested pairs in both directions, dictionary terms left out; ``auto`` takes every source language."""
+    wanted = spark.createDataFrame(PAIRS, "source string, target string")
+    wanted = wanted.select(*(X.language_pair_code(F.col(c)).alias(n) for c, n in (("source", "src"), ("target", "tgt"))))
+    return core.glossary_for_pairs(entries(spark, d), wanted).select("src", "tgt", "id", "source_term", "target_term", "priority")
 
 
+# a mark at each edge of a word: a term on word boundaries is then a substring
 HITS_SQL = rf"""
-WITH g AS ({GLOSSARY_SQL}), s AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS w FROM ({SEG_SQL})),
-h AS (SELECT doc_id, pos, term, priority, ord, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM s JOIN g ON w = term),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY CASE WHEN n > 40 THEN (priority <> 'strict')::INT END, CASE WHEN n > 40 THEN -length(term) END, ord, term) AS r FROM h)
+WITH g AS ({GLOSSARY_SQL}), t AS (SELECT trim(term) AS t, arg_min(term, ord) AS term, arg_min(priority, ord) AS priority, min(ord) AS ord FROM g GROUP BY 1),
+q AS (SELECT *, regexp_full_match(t, '[\x00-\x7F]*') AS is_ascii, CASE WHEN regexp_matches(t[1], '[\p{{L}}\p{{N}}_]') THEN '' ELSE chr(1) END || regexp_replace(lower(t), '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g')
+  || CASE WHEN regexp_matches(t[-1], '[\p{{L}}\p{{N}}_]') THEN '' ELSE chr(1) END AS marked FROM t WHERE length(t) >= CASE WHEN regexp_full_match(t, '[\x00-\x7F]*') THEN 3 ELSE 2 END),
+s AS (SELECT doc_id, pos, text, regexp_replace(lower(text), '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(1), 'g') AS low FROM ({SEG_SQL})),
+h AS (SELECT doc_id, pos, t, term, priority, ord FROM s JOIN q ON CASE WHEN is_ascii THEN contains(low, marked) ELSE contains(text, t) END),
+i AS (SELECT a.t AS t, b.t AS o FROM t a JOIN t b ON length(b.t) > length(a.t) AND contains(b.t, a.t)),
+x AS (SELECT DISTINCT h.doc_id, h.pos, h.t FROM h JOIN i ON h.t = i.t JOIN h h2 ON h2.doc_id = h.doc_id AND h2.pos = h.pos AND h2.t = i.o WHERE h.priority <> 'strict'),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, pos) AS n FROM h WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = h.doc_id AND x.pos = h.pos AND x.t = h.t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY CASE WHEN n > 40 THEN (priority <> 'strict')::INT END, CASE WHEN n > 40 THEN -length(term) END, ord, term) AS r FROM f)
 SELECT doc_id, pos::BIGINT AS pos, term, priority FROM r WHERE r <= 40"""
 
 
@@ -83,14 +121,11 @@ def j4(spark, d):
     return core.glossary_hits(s, glossary(spark, d)).select("seg_id.doc_id", F.col("seg_id.pos").cast("bigint").alias("pos"), "term", "priority")
 
 
-@query("j12_shadowed_terms", f"""
-WITH h AS ({HITS_SQL}), x AS (SELECT doc_id, pos, list(struct_pack(t := term, s := priority = 'strict')) AS l FROM h GROUP BY ALL)
-SELECT doc_id, pos, len(list_filter(l, lambda a: a.s OR len(list_filter(l, lambda b: length(b.t) > length(a.t) AND contains(b.t, a.t))) = 0))::BIGINT AS kept FROM x""")
+@query("j12_shadowed_terms", f"WITH h AS ({HITS_SQL}) SELECT doc_id, pos, count(*) AS kept, count(*) FILTER (priority = 'strict') AS strict, max(length(term)) AS longest FROM h GROUP BY ALL")
 def j12(spark, d):
-    s = segments(spark, d).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
-    hits = core.glossary_hits(s, glossary(spark, d)).groupBy("seg_id").agg(F.collect_list(F.struct("term", "priority")).alias("l"))  # at most 40
-    kept = F.filter("l", lambda a: (a["priority"] == "strict") | ~F.exists("l", lambda b: (F.length(b["term"]) > F.length(a["term"])) & F.contains(b["term"], a["term"])))
-    return hits.select("seg_id.doc_id", F.col("seg_id.pos").cast("bigint").alias("pos"), F.size(kept).cast("bigint").alias("kept"))
+    """Hits that no longer hit of their segment holds, strict ones always, by segment."""
+    hits = j4(spark, d).groupBy("doc_id", "pos")
+    return hits.agg(F.count("*").alias("kept"), n(F.col("priority") == "strict", "strict"), F.max(F.length("term")).cast("bigint").alias("longest"))
 
 
 @query("f11_prompt_lines", f"""WITH h AS ({HITS_SQL}) SELECT doc_id, pos, string_agg('- ' || CASE WHEN priority = 'strict' THEN '[STRICT] ' ELSE '' END || '"' || term || '" → "' || upper(term) || '"', chr(10) ORDER BY term) AS prompt FROM h GROUP BY doc_id, pos""")
