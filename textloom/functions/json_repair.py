@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
+
 NUMBER = r"\s*(\d+(?:\.\d*)?|\.\d+)\s*"
 BOX = rf'"bbox"\s*:[\s\[]*{",".join([NUMBER] * 4)}[\s\]]*'
 
@@ -49,3 +51,20 @@ def ocr_items(answer: Column) -> Column:
     )
     scanned = F.filter(scanned, lambda x: F.trim(x["text"]) != "")
     return F.coalesce(_valid(array), _some(_valid(mended(array))), _some(_valid(closed)), scanned)
+
+
+def answer_terms(answer: Column) -> Column:
+    """array<struct<source_term, target_term>> out of a model's answer: the JSON array from the first bracket to the last one,
+    fences aside. Items that are no objects, or without a source or a target, go; of sources that differ in case only, the
+    first stays. An answer without such an array, or a broken one, gives none."""
+    bare = F.regexp_replace(answer, r"(?m)^```(?:json)?|```$", "")
+    body = F.regexp_extract(bare, r"(?s)\[.*\]", 0)
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    items = F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "array<variant>"))
+    items = F.coalesce(items, F.array().cast("array<variant>"))
+    field = lambda v, k: F.coalesce(strip(F.try_variant_get(v, f"$.{k}", "string")), F.lit(""))
+    objects = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    terms = F.transform(objects, lambda v: F.struct(field(v, "source").alias("source_term"), field(v, "target").alias("target_term")))
+    full = F.filter(terms, lambda t: (t["source_term"] != "") & (t["target_term"] != ""))
+    keys = F.transform(full, lambda t: F.lower(t["source_term"]))
+    return F.filter(full, lambda t, i: F.array_position(keys, F.lower(t["source_term"])) == i + 1)

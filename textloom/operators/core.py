@@ -214,6 +214,58 @@ def pack_chunks(sizes: Column, most: int = 6000, tail: int = 1500) -> Column:
     return F.aggregate(sizes, start, step, finish)
 
 
+def compare_and_set(held: DataFrame, requests: DataFrame) -> DataFrame:
+    """``held`` (id, status, attempt) after ``requests`` (id, expected, attempt, new), one an id at most, with ``accepted``: a
+    request is accepted where the row has the expected status and the request's attempt; other rows keep their status."""
+    r = requests.select("id", "expected", F.col("attempt").alias("_attempt"), "new")
+    ok = F.coalesce((F.col("expected") == F.col("status")) & (F.col("_attempt") == F.col("attempt")), F.lit(False))
+    return held.join(r, "id", "left").withColumn("accepted", ok).withColumn("status", F.when(F.col("accepted"), F.col("new")).otherwise(F.col("status"))).drop("expected", "_attempt", "new")
+
+
+def reverse_dedup(terms: DataFrame, pair: str, reverse: str, dictionary: str = "法学") -> DataFrame:
+    """Terms (id, source_term, target_term, lang_pair, domain, priority, ...) with one of ``pair`` for each source, and
+    ``reversed``: no dictionary term if there is another, then strict, the shortest target, the latest. The others of a source
+    turn into terms of ``reverse``, one for each of their targets (the shortest source), where that one has no term yet."""
+    own = F.col("lang_pair") == pair
+    order = (F.col("domain").eqNullSafe(dictionary).cast("int"), (~F.col("priority").eqNullSafe("strict")).cast("int"), F.length("target_term"), F.desc("updated_at"), "id")
+    ranked = terms.where(own).withColumn("_rank", F.row_number().over(Window.partitionBy("source_term").orderBy(*order)))
+    kept = ranked.where("_rank = 1").drop("_rank").unionByName(terms.where(~F.coalesce(own, F.lit(False)))).withColumn("reversed", F.lit(False))
+    there = terms.where(F.col("lang_pair") == reverse).select(F.col("source_term").alias("target_term"))
+    turned = ranked.where("_rank > 1").drop("_rank").join(there, "target_term", "left_anti")
+    turned = keep_latest(turned, ["target_term"], [F.length("source_term"), F.col("priority"), F.col("id")])
+    swap = {"source_term": F.col("target_term"), "target_term": F.col("source_term"), "lang_pair": F.lit(reverse)}
+    return kept.unionByName(turned.select(*(swap.get(c, F.col(c)).alias(c) for c in terms.columns), F.lit(True).alias("reversed")))
+
+
+def directory_merge(accounts: DataFrame, employees: DataFrame, reserved: str = "admin") -> DataFrame:
+    """What a directory's ``employees`` do to ``accounts``: (login, action, employed, ...), one row a login.
+
+    A login's later rows stand for its earlier ones (``ord``); blank logins go. The reserved name, names of local accounts
+    without a directory id, and ids that another name holds are conflicts and change nothing; an id that no account holds goes to
+    the first login that has it. Others are inserted, or updated where a stated field, the id, the employment or the effective
+    activity (the override before the employment) differs.
+    """
+    e = employees.withColumn("login", strip(F.col("login"))).where("login <> ''")
+    fields = F.struct(*(c for c in e.columns if c not in ("login", "ord")))
+    e = e.groupBy("login").agg(F.min("ord").alias("_first"), F.max_by(fields, "ord").alias("x")).select("login", "_first", "x.*")
+    e = e.withColumn("employed", F.coalesce((F.col("status") == "A") & (F.col("service") == "在职"), F.lit(False)))
+    own = accounts.select(F.col("username").alias("login"), F.lit(True).alias("known"), *(F.col(c).alias(f"own_{c}") for c in accounts.columns if c != "username"))
+    holder = accounts.where("oa_id is not null").select(F.col("oa_id").alias("id"), F.col("username").alias("holder"))
+    m = e.join(own, "login", "left").join(holder, "id", "left")
+    bad = F.when(F.col("login") == reserved, "conflict_reserved").when(F.col("known") & (F.col("own_auth_source") != "oa") & F.col("own_oa_id").isNull(), "conflict_local")
+    m = m.withColumn("bad", bad)
+    free = m.where("bad is null and id is not null and holder is null").groupBy("id").agg(F.min("_first").alias("_turn"))
+    m = m.join(free, "id", "left")
+    bound = F.coalesce(F.col("holder") != F.col("login"), F.lit(False)) | (F.col("holder").isNull() & F.coalesce(F.col("_turn") < F.col("_first"), F.lit(False)))
+    other = lambda a, b: ~F.col(a).eqNullSafe(b)
+    changed = (
+        (F.col("own_auth_source") != "oa") | ((F.coalesce("name", F.lit("")) != "") & other("own_display_name", F.col("name"))) | (F.col("department").isNotNull() & other("own_department", F.col("department")))
+        | (F.col("id").isNotNull() & other("own_oa_id", F.col("id"))) | other("own_oa_employed", F.col("employed")) | other("own_is_active", F.coalesce("own_active_override", "employed"))
+    )
+    action = F.coalesce("bad", F.when(bound, "conflict_bound").when(F.col("known").isNull(), "insert").when(changed, "update").otherwise("unchanged"))
+    return m.withColumn("action", action)
+
+
 def overlap_anti_join(boxes: DataFrame, tables: DataFrame, share: float = 0.5) -> DataFrame:
     """Boxes (page, x1, y1, x2, y2) of which no table box of the page covers more than ``share`` of the own area."""
     b, t = boxes.alias("b"), tables.alias("t")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import core
 from textloom.plans import query
+from textloom.sources import termbases
 
 TASKS_SQL = "SELECT o_orderkey AS id, o_custkey AS owner, o_orderdate AS created_at, o_orderstatus AS status, o_orderpriority AS ext FROM orders"
 
@@ -318,12 +319,15 @@ def d2(spark, d):
 
 
 @query("d3_compare_and_set", """
-SELECT user_id, count(*) FILTER (event_type = 'view' AND (prev IS NULL OR prev <> 'view')) AS accepted, count(*) FILTER (event_type = 'view' AND prev = 'view') AS rejected
-FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY user_id""")
+WITH r AS (SELECT l_orderkey AS id, l_linestatus AS expected, l_suppkey % 3 AS attempt, CASE WHEN l_returnflag = 'R' THEN 'F' ELSE 'O' END AS new FROM lineitem WHERE l_linenumber = 1)
+SELECT o_orderkey AS id, CASE WHEN expected = o_orderstatus AND attempt = o_custkey % 3 THEN new ELSE o_orderstatus END AS status, coalesce(expected = o_orderstatus AND attempt = o_custkey % 3, false) AS accepted
+FROM orders LEFT JOIN r ON id = o_orderkey""")
 def d3(spark, d):
-    prev = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    view, free = F.col("event_type") == "view", F.col("prev").isNull() | (F.col("prev") != "view")
-    return table(spark, d, "events").withColumn("prev", prev).groupBy("user_id").agg(n(view & free, "accepted"), n(view & ~free, "rejected"))
+    """A request changes a task only from the state that it expects and under the attempt that it knows."""
+    requests = table(spark, d, "lineitem").where("l_linenumber = 1").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("expected"), (F.col("l_suppkey") % 3).alias("attempt"), F.when(F.col("l_returnflag") == "R", "F").otherwise("O").alias("new"))
+    held = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 3).alias("attempt"))
+    return core.compare_and_set(held, requests).select("id", "status", "accepted")
 
 
 @query("d5_bulk_delete", "SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM (SELECT event_id AS gone FROM events WHERE event_type = 'error') WHERE gone = event_id)")
@@ -352,14 +356,25 @@ def d10(spark, d):
     return p.join(best, "p_brand").select("p_partkey", (F.col("p_partkey") == F.col("m.p_partkey")).alias("is_active"))
 
 
-@query("d12_reverse_dedup", """
-WITH e AS (SELECT DISTINCT user_id AS a, event_type AS b, value FROM events), f AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY value) AS r FROM e) WHERE r = 1),
-r AS (SELECT b, min(a) AS a FROM f GROUP BY b)
-SELECT 'reverse' AS kind, b AS src, a::VARCHAR AS tgt FROM r UNION ALL SELECT 'forward', a::VARCHAR, b FROM f""")
+TERMS_SQL = """SELECT p_partkey AS id, p_brand || p_size % 7 AS source_term, split_part(p_name, ' ', 1) AS target_term, CASE WHEN p_partkey % 9 = 0 THEN 'en→zh' ELSE 'zh→en' END AS lang_pair,
+CASE WHEN p_size < 15 THEN '法学' ELSE p_type END AS domain, CASE WHEN p_size % 2 = 0 THEN 'strict' ELSE 'preferred' END AS priority, p_retailprice AS updated_at FROM part"""
+
+
+@query("d12_reverse_dedup", f"""
+WITH t0 AS ({TERMS_SQL}), t AS (SELECT id, CASE WHEN lang_pair = 'en→zh' THEN target_term ELSE source_term END AS source_term, CASE WHEN lang_pair = 'en→zh' THEN source_term ELSE target_term END AS target_term, lang_pair, domain, priority, updated_at FROM t0),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_term ORDER BY CASE WHEN domain = '法学' THEN 1 ELSE 0 END, CASE WHEN priority = 'strict' THEN 0 ELSE 1 END, length(target_term), updated_at DESC, id) AS rn FROM t WHERE lang_pair = 'zh→en'),
+r AS (SELECT *, row_number() OVER (PARTITION BY target_term ORDER BY length(source_term), priority, id) AS n FROM k WHERE rn > 1)
+SELECT id, source_term, target_term, lang_pair, domain, priority, false AS reversed FROM t WHERE id NOT IN (SELECT id FROM k WHERE rn > 1)
+UNION ALL SELECT id, target_term, source_term, 'en→zh', domain, priority, true FROM r WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.lang_pair = 'en→zh' AND t.source_term = r.target_term)""")
 def d12(spark, d):
-    f = table(spark, d, "events").groupBy(F.col("user_id").alias("a"), F.col("event_type").alias("b")).agg(F.min("value").alias("value"))
-    rev = f.groupBy("b").agg(F.min("a").alias("a")).select(F.lit("reverse").alias("kind"), F.col("b").alias("src"), F.col("a").cast("string").alias("tgt"))
-    return rev.unionByName(f.select(F.lit("forward").alias("kind"), F.col("a").cast("string").alias("src"), F.col("b").alias("tgt")))
+    p = table(spark, d, "part")
+    back = F.col("p_partkey") % 9 == 0
+    zh, en = F.concat("p_brand", (F.col("p_size") % 7).cast("string")), F.split_part("p_name", F.lit(" "), F.lit(1))
+    t = p.select(
+        F.col("p_partkey").alias("id"), F.when(back, en).otherwise(zh).alias("source_term"), F.when(back, zh).otherwise(en).alias("target_term"), F.when(back, "en→zh").otherwise("zh→en").alias("lang_pair"),
+        F.when(F.col("p_size") < 15, "法学").otherwise(F.col("p_type")).alias("domain"), F.when(F.col("p_size") % 2 == 0, "strict").otherwise("preferred").alias("priority"), F.col("p_retailprice").alias("updated_at"),
+    )
+    return core.reverse_dedup(t, "zh→en", "en→zh").drop("updated_at")
 
 
 @query("d23_override_backfill", f"SELECT id, CASE WHEN employed IS DISTINCT FROM override THEN employed END AS active_override FROM ({USER_SQL})")
@@ -389,11 +404,17 @@ def j8(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(o, "l_orderkey").join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("l_orderkey", "l_linenumber", "c_name")
 
 
-@query("j9_concept_pairs", "WITH x AS (SELECT n_regionkey AS concept, n_name AS term, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) SELECT a.concept, a.term AS first_term, b.term AS other_term FROM x a JOIN x b ON a.concept = b.concept AND a.r = 1 AND b.r > 1")
+@query("j9_concept_pairs", """
+WITH t AS (SELECT n_regionkey AS concept, n_nationkey AS pos, n_name AS term, ['en', 'zh', 'fr'][n_nationkey % 3 + 1] AS code FROM nation WHERE n_regionkey <> 3 OR n_nationkey % 3 <> 1),
+h AS (SELECT concept, arg_min(term, pos) AS f, arg_min(code, pos) AS fc, min(pos) AS fp, arg_min(term, pos) FILTER (code = 'zh') AS z, count(*) FILTER (code <> 'zh') AS o FROM t GROUP BY concept)
+SELECT concept::VARCHAR AS concept, CASE WHEN z IS NOT NULL AND o > 0 THEN z ELSE f END AS source_term, term AS target_term, CASE WHEN z IS NOT NULL AND o > 0 THEN 'zh' ELSE fc END || '→' || code AS lang_pair
+FROM t JOIN h USING (concept) WHERE CASE WHEN z IS NOT NULL AND o > 0 THEN code <> 'zh' ELSE pos > fp END""")
 def j9(spark, d):
-    nation = table(spark, d, "nation")
-    first = nation.groupBy("n_regionkey").agg(F.min(F.struct("n_nationkey", "n_name")).alias("f"))
-    return nation.join(first, "n_regionkey").where("n_nationkey <> f.n_nationkey").select(F.col("n_regionkey").alias("concept"), F.col("f.n_name").alias("first_term"), F.col("n_name").alias("other_term"))
+    """The first Chinese term of a concept with each term of another language; without both, the first with each later one."""
+    lang = F.element_at(F.array(F.lit("en"), F.lit("zh"), F.lit("fr")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    terms = table(spark, d, "nation").where("n_regionkey <> 3 or n_nationkey % 3 <> 1").select(
+        F.lit("n").alias("path"), F.col("n_regionkey").cast("string").alias("concept"), F.col("n_nationkey").alias("pos"), lang.alias("lang"), F.col("n_name").alias("term"))
+    return termbases.term_pairs(terms).select("concept", "source_term", "target_term", "lang_pair")
 
 
 @query("j10_positional_zip", """
@@ -410,13 +431,34 @@ def j10(spark, d):
     return z.withColumn("t", t).groupBy("conv_id").agg(n(~bad, "imported"), n(bad, "skipped"))
 
 
-@query("j11_directory_merge", """
-SELECT action, count(*) AS users FROM (SELECT CASE WHEN c_custkey IS NULL THEN 'insert' WHEN s_suppkey IS NULL THEN 'keep' WHEN c_nationkey = s_nationkey THEN 'unchanged' WHEN c_acctbal < 0 THEN 'conflict' ELSE 'update' END AS action
-FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2) GROUP BY action""")
+ACCOUNT_SQL = """SELECT CASE WHEN c_custkey = 7 THEN 'admin' ELSE 'u' || c_custkey END AS username, CASE WHEN c_custkey % 5 = 0 THEN 'local' ELSE 'oa' END AS auth_source, CASE WHEN c_custkey % 10 <> 0 THEN 'o' || c_custkey END AS oa_id,
+c_name AS display_name, c_mktsegment AS department, c_acctbal > 0 AS oa_employed, CASE WHEN c_custkey % 11 = 0 THEN c_custkey % 2 = 0 END AS active_override, c_acctbal > 500 AS is_active FROM customer"""
+EMPLOYEE_SQL = """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 501 = 0 THEN 'admin' WHEN o_orderkey % 777 = 0 THEN ' ' WHEN o_orderkey % 11 = 0 THEN ' u' || (o_custkey + 1000000) ELSE 'u' || o_custkey END AS login,
+CASE WHEN o_orderkey % 13 > 0 THEN 'o' || CASE WHEN o_orderkey % 17 = 0 THEN o_custkey % 50 + 1 ELSE o_custkey END END AS id, CASE WHEN o_orderkey % 3 > 0 THEN 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') END AS name,
+CASE WHEN o_orderkey % 4 > 0 THEN 'BUILDING' END AS department, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS status, CASE WHEN o_orderkey % 6 > 0 THEN '在职' ELSE '离职' END AS service FROM orders"""
+
+
+@query("j11_directory_merge", f"""
+WITH u AS ({ACCOUNT_SQL}), e0 AS (SELECT *, trim(login) AS l FROM ({EMPLOYEE_SQL})), e1 AS (SELECT * FROM e0 WHERE l <> ''),
+e AS (SELECT l, min(ord) AS first, arg_max({{'id': id, 'name': name, 'department': department, 'status': status, 'service': service}}, ord) AS x FROM e1 GROUP BY l),
+m AS (SELECT l, first, x.id AS id, x.name AS name, x.department AS department, x.status = 'A' AND x.service = '在职' AS employed, u.* FROM e LEFT JOIN u ON u.username = l),
+c AS (SELECT m.*, CASE WHEN l = 'admin' THEN 'reserved' WHEN m.username IS NOT NULL AND m.auth_source <> 'oa' AND m.oa_id IS NULL THEN 'local' END AS bad, o.username AS holder FROM m LEFT JOIN u o ON o.oa_id = m.id),
+f AS (SELECT *, CASE WHEN bad IS NULL AND id IS NOT NULL AND holder IS NULL THEN row_number() OVER (PARTITION BY bad, id, holder ORDER BY first) END AS turn FROM c)
+SELECT l AS login, CASE WHEN bad IS NOT NULL THEN 'conflict_' || bad WHEN holder <> l OR turn > 1 THEN 'conflict_bound' WHEN username IS NULL THEN 'insert'
+WHEN auth_source <> 'oa' OR (name IS NOT NULL AND name <> '' AND display_name IS DISTINCT FROM name) OR (department IS NOT NULL AND f.department IS DISTINCT FROM own_department) OR (id IS NOT NULL AND oa_id IS DISTINCT FROM id)
+OR oa_employed IS DISTINCT FROM employed OR is_active IS DISTINCT FROM coalesce(active_override, employed) THEN 'update' ELSE 'unchanged' END AS action, employed FROM (SELECT * EXCLUDE (department_1), department_1 AS own_department FROM f) f""")
 def j11(spark, d):
-    j = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey") * 2, "full_outer")
-    action = F.when(F.col("c_custkey").isNull(), "insert").when(F.col("s_suppkey").isNull(), "keep").when(F.col("c_nationkey") == F.col("s_nationkey"), "unchanged").when(F.col("c_acctbal") < 0, "conflict").otherwise("update")
-    return j.groupBy(action.alias("action")).agg(F.count("*").alias("users"))
+    """Orders as a directory's employees (later rows stand for their login), customers as the accounts."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    accounts = c.select(
+        F.when(k == 7, "admin").otherwise(F.concat(F.lit("u"), k.cast("string"))).alias("username"), F.when(k % 5 == 0, "local").otherwise("oa").alias("auth_source"), F.when(k % 10 != 0, F.concat(F.lit("o"), k.cast("string"))).alias("oa_id"),
+        F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("department"), (F.col("c_acctbal") > 0).alias("oa_employed"), F.when(k % 11 == 0, k % 2 == 0).alias("active_override"), (F.col("c_acctbal") > 500).alias("is_active"))
+    o, who = F.col("o_orderkey"), F.col("o_custkey")
+    employees = table(spark, d, "orders").select(
+        o.alias("ord"), F.when(o % 501 == 0, "admin").when(o % 777 == 0, " ").when(o % 11 == 0, F.concat(F.lit(" u"), (who + 1_000_000).cast("string"))).otherwise(F.concat(F.lit("u"), who.cast("string"))).alias("login"),
+        F.when(o % 13 > 0, F.concat(F.lit("o"), F.when(o % 17 == 0, who % 50 + 1).otherwise(who).cast("string"))).alias("id"), F.when(o % 3 > 0, F.concat(F.lit("Customer#"), F.lpad(who.cast("string"), 9, "0"))).alias("name"),
+        F.when(o % 4 > 0, "BUILDING").alias("department"), F.when(F.col("o_orderstatus") == "F", "A").otherwise("B").alias("status"), F.when(o % 6 > 0, "在职").otherwise("离职").alias("service"))
+    return core.directory_merge(accounts, employees).select("login", "action", "employed")
 
 
 BOX_SQL = "SELECT vec_id, label AS page, least(embedding[1], embedding[3])::DOUBLE AS x1, least(embedding[2], embedding[4])::DOUBLE AS y1, greatest(embedding[1], embedding[3])::DOUBLE AS x2, greatest(embedding[2], embedding[4])::DOUBLE AS y2 FROM embeddings"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import json_repair
 from textloom.functions import text as X
 from textloom.operators import core
 from textloom.plans import query
@@ -264,9 +265,27 @@ def f17(spark, d):
     return table(spark, d, "pages").select("page_id", X.html_cells(F.col("html"), "li").alias("cells"))
 
 
-@query("f19_json_fields", "SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
+#: Answers that list a conversation's turns as terms: in fences, with words around, with blank and repeated terms, broken by row.
+ANSWER_SQL = r"""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '```json' || chr(10) || b || chr(10) || '```' WHEN 1 THEN 'Terms: ' || b || ' end' WHEN 2 THEN b ELSE replace(b, '}', '') END AS answer FROM (
+SELECT conv_id, turn, '[' || array_to_string(list_transform(list_concat(l, [upper(l[1]), ' ']), lambda x: '{"source": "' || x || ' ", "target": "' || CASE WHEN length(x) % 5 = 0 THEN ' ' ELSE upper(x) END || '"}'), ', ') || ', 5, "x"]' AS b
+FROM (SELECT conv_id, turn, string_split(replace(replace(text, chr(34), ''), chr(92), ''), chr(10)) AS l FROM conversations))"""
+
+
+@query("f19_json_fields", rf"""
+WITH a AS ({ANSWER_SQL}), c AS (SELECT conv_id, turn, trim(regexp_replace(answer, '(?m)^```(?:json)?|```$', '', 'g')) AS r FROM a),
+j AS (SELECT conv_id, turn, CASE WHEN position('[' IN r) > 0 THEN substr(r, position('[' IN r), length(r) - position(']' IN reverse(r)) - position('[' IN r) + 2) END AS b FROM c),
+i AS (SELECT conv_id, turn, unnest(CASE WHEN json_valid(b) THEN json_extract(b, '$[*]') ELSE [] END) AS x, generate_subscripts(CASE WHEN json_valid(b) THEN json_extract(b, '$[*]') ELSE [] END, 1) AS p FROM j),
+t AS (SELECT conv_id, turn, p, trim(json_extract_string(x, '$.source')) AS s, trim(json_extract_string(x, '$.target')) AS t FROM i WHERE json_type(x) = 'OBJECT')
+SELECT conv_id, turn, arg_min(s, p) AS source_term, arg_min(t, p) AS target_term FROM t WHERE s <> '' AND t <> '' GROUP BY conv_id, turn, lower(s)""")
 def f19(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("k"))
+    """Terms out of a model's JSON answers, one for each source whatever its case."""
+    lines = F.split(F.translate("text", '"\\', ""), "\n")
+    item = lambda x: F.concat(F.lit('{"source": "'), x, F.lit(' ", "target": "'), F.when(F.length(x) % 5 == 0, " ").otherwise(F.upper(x)), F.lit('"}'))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.concat("l", F.array(F.upper(F.col("l")[0]), F.lit(" "))), item), ", "), F.lit(', 5, "x"]'))
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), "b", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Terms: "), "b", F.lit(" end"))).when(kind == 2, F.col("b")).otherwise(F.translate("b", "}", ""))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", lines.alias("l")).withColumn("b", body).select("conv_id", "turn", answer.alias("answer"))
+    return rows.select("conv_id", "turn", F.explode(json_repair.answer_terms(F.col("answer"))).alias("t")).select("conv_id", "turn", "t.source_term", "t.target_term")
 
 
 @query("f20_box_normalise", "SELECT vec_id, greatest(0, least(1, least(embedding[1], embedding[2])::DOUBLE + 0.5))::DOUBLE AS lo, greatest(0, least(1, greatest(embedding[1], embedding[2])::DOUBLE + 0.5))::DOUBLE AS hi FROM embeddings")
@@ -307,10 +326,19 @@ def g5(spark, d):
     return table(spark, d, "documents").where(F.length(F.trim("text")) >= 1500).select("doc_id")
 
 
-@query("d13_bulk_clean", "SELECT s_suppkey, CASE WHEN t = '' THEN s_name ELSE t END AS name, t = '' AS skipped FROM (SELECT s_suppkey, s_name, trim(string_split(s_name, '#')[1]) AS t FROM supplier)")
+RAW_SQL = "SELECT p_partkey, ['n.', ' vt. ', '', 'Adj.'][p_partkey % 4 + 1] || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END || [';second', ', other', ' ４８', '; v. x, y'][p_partkey % 4 + 1] AS raw FROM part"
+POS_SQL = "'^(?i:n|v|vt|vi|adj|adv|prep|conj|pron|art|abbr|num|aux)\\.', ''"
+
+
+@query("d13_bulk_clean", f"""WITH r AS ({RAW_SQL}), a AS (SELECT *, trim(regexp_replace(trim(string_split(trim(raw), ';')[1]), {POS_SQL})) AS f FROM r),
+c AS (SELECT *, translate(trim(regexp_replace(trim(string_split(f, ',')[1]), {POS_SQL})), '０１２３４５６７８９', '0123456789') AS t FROM a)
+SELECT p_partkey, CASE WHEN t = '' THEN raw ELSE t END AS term, t = '' AS skipped, t <> '' AND t <> raw AS changed FROM c""")
 def d13(spark, d):
-    t = F.trim(F.substring_index("s_name", "#", 1))
-    return table(spark, d, "supplier").select("s_suppkey", F.when(t == "", F.col("s_name")).otherwise(t).alias("name"), (t == "").alias("skipped"))
+    """Terms cleaned; those of which nothing is left stay as they are."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    raw = F.concat(pick("n.", " vt. ", "", "Adj."), F.when(F.col("p_partkey") % 10 == 0, "").otherwise(F.col("p_name")), pick(";second", ", other", " ４８", "; v. x, y"))
+    t = table(spark, d, "part").select("p_partkey", raw.alias("raw")).withColumn("t", X.clean_term(F.col("raw")))
+    return t.select("p_partkey", F.when(F.col("t") == "", F.col("raw")).otherwise(F.col("t")).alias("term"), (F.col("t") == "").alias("skipped"), ((F.col("t") != "") & (F.col("t") != F.col("raw"))).alias("changed"))
 
 
 @query("u5_bigram_sets", "SELECT doc_id, len(list_distinct([text[i:i + 1] for i in range(1, length(text))]))::BIGINT AS bigrams FROM documents")
