@@ -47,11 +47,13 @@ def formula_ranges(formula: Column) -> Column:
 
 
 def translatable_cells(cells: DataFrame) -> DataFrame:
-    """(path, sheet, row, col, value) of text cells to translate, from ``sources.office.sheet_cells``.
+    """(path, sheet, row, col, value) of text cells to translate, out of (path, sheet, row, col, kind, value, formula).
+
+    Kinds are text, number, formula and sheet_name (value is the name of the sheet of that number).
 
     Left out are formulas, blanks, numbers, and cells that equal a text of one of the file's formulas and lie in a range that
     one refers to. Ranges meet only the cells that equal a text, on (path, sheet).
-    The cells are read five times, so hand in a written table rather than files to be parsed.
+    The cells are read five times, so hand in a written table.
     """
     texts = cells.where("kind = 'text'").where((strip(F.col("value")) != "") & ~is_number(F.col("value"))).select("path", "sheet", "row", "col", "value")
     formulas = cells.where("kind = 'formula'").select("path", "sheet", "formula")

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions.json_repair import ocr_items
+from textloom.functions.text import strip
 from textloom.operators import sheets
 from textloom.plans import query
 from textloom.plans.relational import table
-from textloom.sources import bundle, csv_cells, office, office_files, termbases, text_files
+from textloom.sources import bundle, csv_cells, termbases, text_files
+from textloom.storage import checkpoint_folder, cut
 from textloom.streaming import limiter
 
 
 def shared_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
-    return f"{base}/tables-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 @query("s5_decoded_texts", "SELECT doc_id, text FROM documents")
@@ -39,48 +39,47 @@ def s7(spark, d):
 PART_ROWS_SQL = "SELECT (p_partkey // 1000)::VARCHAR AS path, row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) AS r, p_name, p_type FROM part"
 
 
-def part_files(spark, d, row):
-    """(path, rows) of a thousand parts a file, in order of their keys."""
-    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 1000).cast("string").alias("path"), F.struct("p_partkey", row.alias("row")).alias("x"))
-    return p.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]).alias("rows"))
+def part_rows(spark, d, *columns):
+    """Parts as rows of a thousand a path, numbered from 1 in order of their keys."""
+    p = table(spark, d, "part").withColumn("path", F.floor(F.col("p_partkey") / 1000).cast("string"))
+    return p.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("p_partkey"))).select("path", "r", *columns)
 
 
 @query("s8_csv_cells", f"SELECT path, (r - 1)::BIGINT AS \"row\", u.col::BIGINT AS col, u.value FROM (SELECT *, unnest([{{'col': 0, 'value': p_name}}, {{'col': 1, 'value': p_type}}]) AS u FROM ({PART_ROWS_SQL}))")
 def s8(spark, d):
-    """Parts as files with semicolons, read again; numbers are no cells to translate."""
-    files = part_files(spark, d, F.concat_ws(";", "p_name", "p_type", "p_size"))
-    return csv_cells.translatable(csv_cells.csv_cells(files.select("path", F.encode(F.array_join("rows", "\n"), "UTF-8").alias("content"))))
+    """Lines with semicolons as cells; numbers are no cells to translate."""
+    lines = part_rows(spark, d, F.concat_ws(";", "p_name", "p_type", "p_size").alias("line")).withColumn("row", (F.col("r") - 1).cast("bigint"))
+    cells = csv_cells.translatable(csv_cells.csv_cells(lines, 3, ";"))
+    return cells.select("path", "row", F.col("col").cast("bigint").alias("col"), "value")
 
 
 @query("s9_sheet_cells", f"""SELECT path, r::INT AS "row", u.col::INT AS col, u.value FROM (SELECT *, unnest([{{'col': 1, 'value': p_name}}, {{'col': 2, 'value': p_type}}]) AS u FROM ({PART_ROWS_SQL}))
 WHERE NOT (u.col = 2 AND u.value = 'ECONOMY' AND r <= 500)""")
 def s9(spark, d):
-    """Parts as spreadsheets, read again; the first half of the types is looked up by a formula, so its key stays."""
+    """Parts as a spreadsheet's cells; the first half of the types is looked up by a formula, so its key stays."""
     look = F.when(F.col("p_partkey") % 1000 == 0, '=COUNTIF(B1:B500,"ECONOMY")')
-    rows = part_files(spark, d, F.array("p_name", "p_type", F.col("p_size").cast("string"), look))
-    folder = shared_folder(spark)  # the choice below reads the cells several times, the files once
-    office.sheet_cells(office_files.xlsx_files(rows)).write.parquet(folder)
-    cells = spark.read.schema(office.CELLS).parquet(folder)
+    cell = lambda col, kind, value, formula: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), formula.cast("string").alias("formula"))
+    none = F.lit(None)
+    row = F.array(cell(1, "text", F.col("p_name"), none), cell(2, "text", F.col("p_type"), none), cell(3, "number", F.col("p_size"), none), cell(4, "formula", none, look))
+    cells = part_rows(spark, d, F.explode(row).alias("c")).where("c.kind <> 'formula' or c.formula is not null")
+    cells = cut(cells.select("path", F.lit(1).alias("sheet"), F.col("r").cast("int").alias("row"), "c.*"))  # the choice below reads them several times
     return sheets.translatable_cells(cells).select("path", "row", "col", "value")
 
 
 @query("s11_docx_paragraphs", r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_replace(t, '\s', '', 'g') <> ''")
 def s11(spark, d):
-    """Documents as Word files, read again."""
-    files = office_files.docx_files(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split("text", "\n").alias("paragraphs")))
-    return office.docx_paragraphs(files).select(F.col("path").cast("long").alias("doc_id"), "pos", "text")
+    """A document's paragraphs that are not blank, numbered in order."""
+    lines = F.filter(F.split("text", "\n"), lambda x: strip(x) != "")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("pos", "text"))
 
 
 @query("s17_term_rows", f"""WITH t AS (SELECT path, r, p_type AS source_term, p_name AS target_term, CASE WHEN r % 3 = 0 THEN 'en→zh' ELSE 'zh→en' END AS lang_pair FROM ({PART_ROWS_SQL}))
 SELECT path, source_term, target_term, lang_pair FROM (SELECT *, row_number() OVER (PARTITION BY path, lang_pair, source_term ORDER BY r DESC) AS n FROM t) WHERE n = 1""")
 def s17(spark, d):
-    """Part types as terms of CSV files, a later row standing for the earlier ones of its key."""
+    """Part types as rows of term imports, a later row standing for the earlier ones of its key."""
     third = F.when((F.col("p_partkey") % 1000 + 1) % 3 == 0, "en→zh").otherwise("")
-    files = part_files(spark, d, F.concat_ws(",", "p_type", "p_name", third))
-    cells = csv_cells.csv_cells(files.select("path", F.encode(F.array_join("rows", "\n"), "UTF-8").alias("content")))
-    fields = F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"])
-    rows = cells.groupBy("path", "row").agg(fields.alias("fields"))
-    return termbases.import_rows(rows).where("not skipped").select("path", "source_term", "target_term", "lang_pair")
+    rows = part_rows(spark, d, F.array("p_type", "p_name", third).alias("fields")).withColumn("row", F.col("r").cast("bigint"))
+    return termbases.import_rows(rows.select("path", "row", "fields")).where("not skipped").select("path", "source_term", "target_term", "lang_pair")
 
 
 @query("d18_bundle_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -113,9 +112,15 @@ def f18(spark, d):
     return rows.select("conv_id", "turn", F.size("i").cast("bigint").alias("items"), F.array_join("i.text", "|").alias("texts"))
 
 
-@query("t6_login_limiter")
+@query("t6_login_limiter", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, NULL::VARCHAR AS decision, 0 AS n, 0::DOUBLE AS until, 0::DOUBLE AS locked FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, event_id, CASE WHEN t < locked THEN 'rejected' WHEN NOT bad THEN 'success' WHEN k >= 5 THEN 'locked' ELSE 'failure' END,
+CASE WHEN t < locked THEN n WHEN NOT bad OR k >= 5 THEN 0 ELSE k END, CASE WHEN t < locked OR (bad AND k > 1) THEN until WHEN bad THEN t + 86400 ELSE 0 END,
+CASE WHEN t < locked THEN locked WHEN NOT bad THEN 0 WHEN k >= 5 THEN t + 7200 ELSE locked END
+FROM (SELECT s.user_id, e.r, e.event_id, e.t, e.bad, s.n, s.until, s.locked, CASE WHEN s.n = 0 OR e.t >= s.until THEN 1 ELSE s.n + 1 END AS k FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1))
+SELECT event_id, decision FROM s WHERE r > 0""")
 def t6(spark, d):
-    """No SQL: the lock depends on the attempts before; a test holds it against brute force."""
     tries = table(spark, d, "events").where(F.col("event_type").isin("error", "signup"))
     return limiter.limit_attempts(tries, "user_id", F.col("event_type") == "error", 86400.0, 5, 7200.0)
 

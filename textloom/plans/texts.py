@@ -148,9 +148,17 @@ def s16(spark, d):
     return s.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("w8_chunk_packing")
+@query("w8_chunk_packing", f"""
+WITH RECURSIVE x AS (SELECT doc_id, pos + 1 AS i, length(text) AS n, count(*) OVER (PARTITION BY doc_id) AS last FROM ({SEG_SQL})),
+s AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS chunk, 0::BIGINT AS c, 0::BIGINT AS size, NULL::STRUCT(n BIGINT, size BIGINT) AS done FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT x.doc_id, x.i, s.chunk + CASE WHEN x.n > 6000 AND s.c = 0 OR s.c > 0 AND s.size + x.n > 6000 THEN 1 ELSE 0 END,
+CASE WHEN x.n > 6000 AND s.c = 0 THEN 0 WHEN s.c > 0 AND s.size + x.n > 6000 THEN 1 ELSE s.c + 1 END, CASE WHEN x.n > 6000 AND s.c = 0 THEN 0 WHEN s.c > 0 AND s.size + x.n > 6000 THEN x.n ELSE s.size + x.n END,
+CASE WHEN x.n > 6000 AND s.c = 0 THEN {{'n': 1, 'size': x.n}} WHEN s.c > 0 AND s.size + x.n > 6000 THEN {{'n': s.c, 'size': s.size}} END FROM s JOIN x ON x.doc_id = s.doc_id AND x.i = s.i + 1),
+d AS (SELECT doc_id, chunk - 1 AS chunk, done.n AS n, done.size AS size FROM s WHERE done IS NOT NULL),
+e AS (SELECT s.doc_id, s.chunk, s.c, s.size, s.c > 0 AND s.size < 1500 AND s.chunk > 0 AS joined FROM s JOIN (SELECT DISTINCT doc_id, last FROM x) l ON l.doc_id = s.doc_id AND l.last = s.i)
+SELECT d.doc_id, d.chunk, (d.n + CASE WHEN e.joined AND d.chunk = e.chunk - 1 THEN e.c ELSE 0 END)::BIGINT AS paragraphs, (d.size + CASE WHEN e.joined AND d.chunk = e.chunk - 1 THEN e.size ELSE 0 END)::BIGINT AS chars FROM d JOIN e ON d.doc_id = e.doc_id
+UNION ALL SELECT doc_id, chunk, c, size FROM e WHERE c > 0 AND NOT joined""")
 def w8(spark, d):
-    """No SQL: a fold with a state; tests hold it against brute force."""
     sizes = F.transform(F.split("text", "\n"), F.length)
     return table(spark, d, "documents").select("doc_id", F.posexplode(core.pack_chunks(sizes)).alias("chunk", "c")).select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("c.n").alias("paragraphs"), F.col("c.size").alias("chars"))
 
@@ -267,7 +275,7 @@ def f17(spark, d):
 
 #: Answers that list a conversation's turns as terms: in fences, with words around, with blank and repeated terms, broken by row.
 ANSWER_SQL = r"""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN '```json' || chr(10) || b || chr(10) || '```' WHEN 1 THEN 'Terms: ' || b || ' end' WHEN 2 THEN b ELSE replace(b, '}', '') END AS answer FROM (
-SELECT conv_id, turn, '[' || array_to_string(list_transform(list_concat(l, [upper(l[1]), ' ']), lambda x: '{"source": "' || x || ' ", "target": "' || CASE WHEN length(x) % 5 = 0 THEN ' ' ELSE upper(x) END || '"}'), ', ') || ', 5, "x"]' AS b
+SELECT conv_id, turn, '[' || array_to_string(list_transform(list_concat(l, [lower(l[1]), ' ']), lambda x: '{"source": "' || x || ' ", "target": "' || CASE WHEN length(x) % 5 = 0 THEN ' ' ELSE 't ' || x END || '"}'), ', ') || ', 5, "x"]' AS b
 FROM (SELECT conv_id, turn, string_split(replace(replace(text, chr(34), ''), chr(92), ''), chr(10)) AS l FROM conversations))"""
 
 
@@ -280,8 +288,8 @@ SELECT conv_id, turn, arg_min(s, p) AS source_term, arg_min(t, p) AS target_term
 def f19(spark, d):
     """Terms out of a model's JSON answers, one for each source whatever its case."""
     lines = F.split(F.translate("text", '"\\', ""), "\n")
-    item = lambda x: F.concat(F.lit('{"source": "'), x, F.lit(' ", "target": "'), F.when(F.length(x) % 5 == 0, " ").otherwise(F.upper(x)), F.lit('"}'))
-    body = F.concat(F.lit("["), F.array_join(F.transform(F.concat("l", F.array(F.upper(F.col("l")[0]), F.lit(" "))), item), ", "), F.lit(', 5, "x"]'))
+    item = lambda x: F.concat(F.lit('{"source": "'), x, F.lit(' ", "target": "'), F.when(F.length(x) % 5 == 0, " ").otherwise(F.concat(F.lit("t "), x)), F.lit('"}'))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.concat("l", F.array(F.lower(F.col("l")[0]), F.lit(" "))), item), ", "), F.lit(', 5, "x"]'))
     kind = (F.col("conv_id") + F.col("turn")) % 4
     answer = F.when(kind == 0, F.concat(F.lit("```json\n"), "b", F.lit("\n```"))).when(kind == 1, F.concat(F.lit("Terms: "), "b", F.lit(" end"))).when(kind == 2, F.col("b")).otherwise(F.translate("b", "}", ""))
     rows = table(spark, d, "conversations").select("conv_id", "turn", lines.alias("l")).withColumn("b", body).select("conv_id", "turn", answer.alias("answer"))

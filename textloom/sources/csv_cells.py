@@ -1,51 +1,19 @@
-"""CSV files of unknown charset and delimiter as cells."""
+"""Cells of CSV lines, read by Spark's own CSV functions."""
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import is_number, strip
-from textloom.sources.text_files import decode_bytes
-
-#: Delimiters that are looked for, and the characters in which.
-DELIMITERS, LOOK = ",;\t|", 4096
-BATCH = 100_000
-
-
-def csv_cells(files: DataFrame) -> DataFrame:
-    """(path, row, col, value) of every cell of files (path, content), rows and columns from 0, values as they stand.
-
-    The charset comes by the ladder, the delimiter from the file's head; where that shows none, comma. A file is one task's
-    stream of cells; fields have no length limit. Null content and empty files give no cells.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(2**31 - 1)
-        for pdf in batches:
-            for path, text in zip(pdf["path"], pdf["text"]):
-                if not text:
-                    continue
-                try:
-                    dialect = csv.Sniffer().sniff(text[:LOOK], delimiters=DELIMITERS)
-                except csv.Error:
-                    dialect = csv.excel
-                rows: list[tuple] = []
-                for i, fields in enumerate(csv.reader(io.StringIO(text, newline=""), dialect=dialect)):
-                    rows += [(path, i, j, v) for j, v in enumerate(fields)]
-                    if len(rows) >= BATCH:
-                        yield pd.DataFrame(rows, columns=["path", "row", "col", "value"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "row", "col", "value"])
 
-    texts = decode_bytes(files.select("path", "content")).select("path", "text")
-    return texts.mapInPandas(run, "path string, row long, col long, value string")
+def csv_cells(lines: DataFrame, columns: int, sep: str = ",") -> DataFrame:
+    """(path, row, col, value) of the cells of lines (path, row, line): rows as given, columns from 0, at most ``columns`` of
+    them. Null and empty lines, and fields that a line does not have, give no cell."""
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(columns)), {"sep": sep})
+    cells = lines.where("line <> ''").select("path", "row", fields.alias("f"))
+    return cells.select("path", "row", F.posexplode(F.array(*(f"f.c{i}" for i in range(columns)))).alias("col", "value")).where("value is not null")
 
 
 def translatable(cells: DataFrame) -> DataFrame:

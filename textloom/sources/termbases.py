@@ -1,93 +1,20 @@
-"""Term databases (SQLite files) as rows of terms, and their pairing within concepts."""
+"""Term databases as tables: their terms, the pairing of terms within concepts, and rows of term imports."""
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import language_pair_code, strip
 
-# Limits of an import, and the layouts with their concept table, its key and the reference to it.
-MOST_BYTES, MOST_TABLES, MOST_COLUMNS, MOST_ROWS, MOST_STEPS = 50 << 20, 128, 256, 50_000, 10_000_000
-LAYOUTS = (("mt", "mt_concept", "entry_id", "id", "concept_id"), ("tbx", "tbx_entry", "id", "id", "entry_id"))
-
-
-class _Refused(Exception):
-    """A limit of imports is exceeded."""
-
-
-def _quoted(name: str) -> str:
-    return '"' + name.replace('"', '""') + '"'
-
-
-def _taken(rows: sqlite3.Cursor, left: int) -> list:
-    got = rows.fetchmany(left + 1)
-    if len(got) > left:
-        raise _Refused("rows")
-    return got
-
-
-def _terms(content: bytes) -> list[tuple]:
-    """(concept, lang, term) of a database's first layout that gives any, in arrival order."""
-    if len(content) > MOST_BYTES:
-        raise _Refused("bytes")
-    con = sqlite3.connect(":memory:")
-    try:
-        con.deserialize(content)
-        con.execute("PRAGMA query_only = ON")
-        con.execute("PRAGMA trusted_schema = OFF")
-        steps = iter(range(MOST_STEPS // 1000))
-        con.set_progress_handler(lambda: next(steps, None) is None, 1000)
-        tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchmany(MOST_TABLES + 1)]
-        if len(tables) > MOST_TABLES:
-            raise _Refused("tables")
-        for kind, concept, name, key, to in LAYOUTS:
-            if {f"{kind}_term", f"{kind}_lang", concept} <= set(tables):
-                joined = f"SELECT e.{name}, l.lang, t.term FROM {kind}_term t JOIN {kind}_lang l ON t.lang_id = l.id JOIN {concept} e ON l.{to} = e.{key} ORDER BY 1, 2"
-                if rows := _taken(con.execute(joined), MOST_ROWS):
-                    return rows
-        out: list[tuple] = []
-        for t in (t for t in tables if t.startswith("I_")):
-            columns = [r[1] for r in con.execute(f"PRAGMA table_info({_quoted(t)})")]
-            if len(columns) > MOST_COLUMNS:
-                raise _Refused("columns")
-            term = [c for c in columns if "origterm" in c.lower() or c.lower() == "term"]
-            concept = [c for c in columns if "conceptid" in c.lower() or c.lower() == "id"]
-            if term and concept:
-                rows = _taken(con.execute(f"SELECT {_quoted(concept[-1])}, {_quoted(term[-1])} FROM {_quoted(t)}"), MOST_ROWS - len(out))
-                out += [(c, t[2:].lower(), x) for c, x in rows]
-        return out
-    finally:
-        con.close()
-
-
-def termbase_terms(files: DataFrame) -> DataFrame:
-    """(path, pos, concept, lang, term, problem) of SQLite term databases (path, content), in arrival order.
-
-    The database is opened in memory, read-only, within the limits above. A file beyond them, or that cannot be read or holds
-    no known layout, gives one row with its ``problem`` instead of terms; null content gives no row.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                if content is None:
-                    continue
-                try:
-                    found = _terms(bytes(content))
-                    rows = [(path, i, str(c), None if g is None else str(g), "" if t is None else str(t).strip(), None) for i, (c, g, t) in enumerate(found)]
-                    rows = rows or [(path, None, None, None, None, "no terms")]
-                except _Refused as e:
-                    rows = [(path, None, None, None, None, f"too many {e}")]
-                except (sqlite3.Error, UnicodeDecodeError):
-                    rows = [(path, None, None, None, None, "unreadable")]
-                yield pd.DataFrame(rows, columns=["path", "pos", "concept", "lang", "term", "problem"], dtype=object)
 
-    return files.select("path", "content").mapInPandas(run, "path string, pos int, concept string, lang string, term string, problem string")
+def termbase_terms(concepts: DataFrame, langs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(path, pos, concept, lang, term) of databases' three tables: concepts (path, id, entry), langs (path, id, lang,
+    concept_id) and terms (path, pos, lang_id, term). Terms whose language or concept is missing give no row."""
+    of = langs.select("path", F.col("id").alias("lang_id"), "lang", "concept_id")
+    entry = concepts.select("path", F.col("id").alias("concept_id"), F.col("entry").cast("string").alias("concept"))
+    found = terms.join(of, ["path", "lang_id"]).join(entry, ["path", "concept_id"])
+    return found.select("path", "pos", "concept", "lang", F.coalesce(strip(F.col("term")), F.lit("")).alias("term"))
 
 
 def term_pairs(terms: DataFrame) -> DataFrame:
