@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, line_dedup, minhash, mixing, quality_cnn
-from textloom.llm.common import ensure_checkpoint_dir
+from textloom.storage import checkpoint_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more; the model is learned from the labelled documents among ``docs``."""
-    model = quality_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_cnn.fit(docs, labels.where(quality_cnn.remainder(F.col("doc_id")) != 0))  # held-out labels stay unseen
     return quality_cnn.score_quality(docs, model).where("__qc_score >= 0.3").select(*docs.columns)
 
 
@@ -73,8 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written as Parquet and read again by the next."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -43,11 +43,13 @@ def norm_sql(c: Column) -> Column:
 
 def norm_text(c: Column) -> Column:
     """Probe key: lower case, all Unicode white space stripped."""
-    return F.lower(F.regexp_replace(c, EDGE, ""))
+    return F.lower(strip(c))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE, "")
+    """Unicode white space stripped; texts that begin and end in a visible ASCII character, most ones, need no pattern."""
+    bare = F.ascii(F.left(c, F.lit(1))).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(bare, c).otherwise(F.regexp_replace(c, EDGE, ""))
 
 
 def bigram_codes(c: Column) -> Column:

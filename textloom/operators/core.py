@@ -144,32 +144,37 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> D
     on word boundaries, case-insensitively; another one of two or more wherever its characters stand. A term that is part of
     a longer hit of the segment goes, unless it is strict. Beyond ``most`` hits, strict and then longer terms are kept.
 
-    No segment is compared with all terms: an ASCII term meets the segments that have its first word, a term beyond ASCII
-    those that have one of its bigrams beyond ASCII, a term of marks alone those that have its first three; candidates are
+    No segment is compared with all terms: an ASCII term meets the segments that have its longest word, a term beyond ASCII
+    those that have up to four of its characters in a row, a term of marks alone those that have its first three; candidates are
     checked on the text. Which terms hold which others is found once, among terms.
     """
     bare = strip(F.col("term"))
     ascii_ = F.col("t").rlike(r"^[\x00-\x7F]*$")
     terms = glossary.select(bare.alias("t"), "term", "priority", "ord").where(F.col("t") != "").groupBy("t").agg(F.min(F.struct("ord", "term", "priority")).alias("f"))
     terms = terms.where(F.length("t") >= F.when(ascii_, 3).otherwise(2)).select("t", "f.*", ascii_.alias("ascii"))
-    wide = r"[^\x00-\x7F]."
-    word = F.lower(F.regexp_extract("t", "[A-Za-z0-9_]+", 0))
+    runs = F.transform(F.regexp_extract_all("t", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w")))
+    word = F.coalesce(F.array_max(runs)["w"], F.lit(""))
+    # up to four characters of a term, its first one beyond ASCII among them
+    size = F.least(F.length("t"), F.lit(4))
+    first = F.least(F.length(F.regexp_extract("t", r"^[\x00-\x7F]*", 0)) + 1, F.length("t") - size + 1)
     key = (
         F.when(F.col("ascii") & (word != ""), F.concat(F.lit("w"), word)).when(F.col("ascii"), F.concat(F.lit("m"), F.left("t", F.lit(3))))
-        .otherwise(F.concat(F.lit("g"), F.regexp_extract("t", rf"(?s){wide}|.[^\x00-\x7F]", 0)))
+        .otherwise(F.concat(F.lit("g"), F.substring(F.col("t"), first, size)))
     )
-    terms = cut(terms.withColumn("key", key))
+    terms = cut(terms.withColumn("key", key).withColumn("low", F.lower("t")))
     tag = lambda x, c: F.transform(c, lambda v: F.concat(F.lit(x), v))
     text = F.col("text")
-    keys = F.array_distinct(F.concat(
-        tag("w", F.regexp_extract_all(F.lower(text), F.lit(f"{W}+"), F.lit(0))), tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), _grams(text, 2, rf"{wide}|.[^\x00-\x7F]")).otherwise(F.array())),
-        tag("m", _grams(text, 3, r"[^\p{L}\p{N}_]{3}")),
-    ))
-    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(segments.select("seg_id", "text"), "seg_id")
+    # texts give only the kinds of keys that terms have: words, marks, and runs of two to four characters
+    kinds = {r[0] for r in terms.select(F.when(F.left("key", F.lit(1)) == "g", F.length("key") - 1).otherwise(F.when(F.left("key", F.lit(1)) == "m", 1).otherwise(0))).distinct().collect()}
+    found_in = {0: tag("w", F.regexp_extract_all(F.lower(text), F.lit(f"{W}+"), F.lit(0))), 1: tag("m", _grams(text, 3, r"[^\p{L}\p{N}_]{3}"))}
+    for k in (2, 3, 4):
+        found_in[k] = tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(_grams(text, k, "." * k), lambda g: g.rlike(r"[^\x00-\x7F]"))).otherwise(F.array()))
+    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *(found_in[k] for k in sorted(kinds))))
+    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(segments.select("seg_id", "text", F.lower("text").alias("low_text")), "seg_id")
     edge = lambda c, word, mark: F.when(c.rlike(W), word).otherwise(mark)
     quoted = F.concat(F.lit(r"\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     pattern = F.concat(F.lit("(?iu)"), edge(F.left("t", F.lit(1)), rf"(?<!{W})", rf"(?<={W})"), quoted, edge(F.right("t", F.lit(1)), rf"(?!{W})", rf"(?={W})"))
-    found = F.when(F.col("ascii"), F.lower(text).contains(F.lower("t")) & F.rlike(text, pattern)).otherwise(text.contains(F.col("t")))
+    found = F.when(F.col("ascii"), F.col("low_text").contains(F.col("low")) & F.rlike(text, pattern)).otherwise(text.contains(F.col("t")))
     hits = maybe.where(found).select("seg_id", "t", "term", "priority", "ord")
     # terms inside longer ones, by their first two to four characters
     start = terms.select("t", F.least(F.length("t"), F.lit(4)).alias("k")).select(F.col("t").alias("inner"), F.concat_ws(":", "k", F.left("t", F.col("k"))).alias("g"))

@@ -56,12 +56,12 @@ def g1(spark, d):
     return s.join(best, s["k"] == best["key"], "left").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id", "similarity", route.alias("route"))
 
 
-#: Words and pairs of words of the memory, and words beyond ASCII of every fifth document.
+#: Words and pairs of words of the memory, and each turn's first word beyond ASCII.
 TERM_PATTERNS = (r"[A-Za-z]{3,}", r"[A-Za-z]+[,.]? [A-Za-z]{3,}")
 GLOSSARY_SQL = rf"""SELECT term, upper(term) AS target, CASE WHEN min(o) % 3 = 0 THEN 'strict' ELSE 'preferred' END AS priority, min(o) AS ord FROM (
 SELECT unnest(w) AS term, item_id * 100000 + generate_subscripts(w, 1) AS o FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[0]}') AS w FROM benchmark)
 UNION ALL SELECT unnest(w), 100000000 + item_id * 100000 + generate_subscripts(w, 1) FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[1]}') AS w FROM benchmark)
-UNION ALL SELECT unnest(w), 200000000 + doc_id * 100000 + generate_subscripts(w, 1) FROM (SELECT doc_id, regexp_extract_all(text, '\p{{L}}*[^\x00-\x7F]\p{{L}}* ?\p{{L}}*') AS w FROM documents WHERE doc_id % 5 = 0 AND lang = 'es')) GROUP BY term"""
+UNION ALL SELECT w, 200000000 + conv_id * 1000 + turn FROM (SELECT conv_id, turn, regexp_extract(text, '\p{{L}}*[^\x00-\x7F]\p{{L}}* ?\p{{L}}*') AS w FROM conversations) WHERE w <> '') GROUP BY term"""
 
 
 def glossary(spark, d):
@@ -70,8 +70,8 @@ def glossary(spark, d):
         return w.select("term", (F.col("k") * 100000 + F.col("p") + 1 + first).alias("o"))
 
     wide = r"\p{L}*[^\x00-\x7F]\p{L}* ?\p{L}*"
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0 and lang = 'es'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(wide), F.lit(0))).alias("p", "term"))
-    g = found("benchmark", "item_id", TERM_PATTERNS[0], 0).unionByName(found("benchmark", "item_id", TERM_PATTERNS[1], 100_000_000)).unionByName(docs.select("term", (F.col("doc_id") * 100000 + F.col("p") + 1 + 200_000_000).alias("o")))
+    said = table(spark, d, "conversations").select(F.regexp_extract("text", wide, 0).alias("term"), (F.col("conv_id") * 1000 + F.col("turn") + 200_000_000).alias("o")).where("term <> ''")
+    g = found("benchmark", "item_id", TERM_PATTERNS[0], 0).unionByName(found("benchmark", "item_id", TERM_PATTERNS[1], 100_000_000)).unionByName(said)
     g = g.groupBy("term").agg(F.min("o").alias("ord"))
     return g.select("term", F.upper("term").alias("target"), F.when(F.col("ord") % 3 == 0, "strict").otherwise("preferred").alias("priority"), "ord")
 
