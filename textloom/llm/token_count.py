@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import mix, slices, span_hash
+from textloom.llm.common import mix, numbered, slices, span_hash
 
 LETTER, DIGIT, SPACE, WHITE, OTHER = range(5)
 #: Characters with the White_Space property, and the splitter's contractions.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 MOST_STATES = 400_000
-MOST_PIECES = 2_000_000
+MOST_PIECES = 1_000_000
 CHUNK = 1 << 16
 
 
@@ -105,7 +105,7 @@ class Machine:
         self.split = {a + b: (a, b, i) for (a, b), i in reversed(self.rank.items())}
         self.spines: dict[tuple, list] = {}
         self.valid: dict[tuple, bool] = {}
-        self.pieces: dict[int, int] = {}
+        self.pieces: dict[bytes, int] = {}
         self.clear()
 
     def clear(self):
@@ -275,15 +275,18 @@ class Counter:
         s = np.flatnonzero(piece_starts(cp, self.kind, begins))
         e = np.r_[s[1:], len(cp)]
         h = span_hash(self.codes, cp, s, e)
-        names, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        first, inverse = numbered(cp, s, e, h)
         pieces = self.machine.pieces
         if len(pieces) > MOST_PIECES:
             pieces.clear()
-        counts = np.empty(len(names), np.int64)
-        for i, (name, at) in enumerate(zip(names.tolist(), first.tolist())):
-            n = pieces.get(name)
+        counts = np.empty(len(first), np.int64)
+        for i, at in enumerate(first.tolist()):
+            piece = cp[s[at] : e[at]].tobytes()
+            n = pieces.get(piece)
             if n is None:
-                n = pieces[name] = self.machine.count(cp[s[at] : e[at]].tobytes().decode("utf-32-le").encode())
+                n = self.machine.count(piece.decode("utf-32-le").encode())
+                if len(piece) <= 256:  # long ones are rare and would fill the table's memory
+                    pieces[piece] = n
             counts[i] = n
         sums = np.r_[0, np.cumsum(counts[inverse])]
         edge = np.searchsorted(s, begin)
