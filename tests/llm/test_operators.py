@@ -290,6 +290,34 @@ def test_token_counts(spark, docs, none, real):
     assert token_count.count_tokens(none, path).count() == 0
 
 
+@pytest.mark.parametrize("size", (1, 2, 3, 7, 40))
+def test_token_count_state_maps(monkeypatch, size):
+    """Texts cut into chunks of any size count as the library counts them whole; maps compose in any bracketing."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, counter = Tokenizer.from_file(path), token_count.Counter(token_count.load(path))
+    monkeypatch.setattr(token_count, "CHUNK", size)
+    rng = np.random.default_rng(size)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'", "'s", "'re", "'r", "'l", "'ve", "don't", "5", "12", "，", "中文", "é", "!", "\u3000", "word", "e", "<|endoftext|>", "😀"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 25))) for _ in range(400)]
+    assert counter.counts(texts) == [len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+    text = "it's  'll re-read\n\n they'r 12中文，x' "
+    chunks = [text[a : a + size] for a in range(0, len(text), size)]
+    maps = []
+    for i, chunk in enumerate(chunks):
+        m, middle = counter.state_map(chunk, i == 0, i + 1 == len(chunks))
+        m.count += int(counter.plain([middle])[0])
+        maps.append(m)
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = left.then(m, counter.walk)
+    for m in reversed(maps[:-1]):
+        right = m.then(right, counter.walk)
+    assert left.count == right.count == len(lib.encode(text, add_special_tokens=False).ids)
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

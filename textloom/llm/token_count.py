@@ -9,10 +9,11 @@ The tokenizer is byte-level BPE behind a splitter. Both are run as finite-state
   is before it, agrees with it. A state holds the longest suffix that may still grow into a token, with the last token and
   the token count at each of its places; reading a byte leads to one next state and emits the change of the count. States
   are compiled when they are first reached and kept in a table of bounded size.
-* *Chunks.* A text is cut into chunks. A chunk's state map is the characters before its first certain piece start (how they
-  are split depends on the state the chunk is entered in), the count between its first and last certain start, and the
-  characters from there on. Maps compose associatively: what is left open at the seam is counted. A text's count is the
-  prefix scan of its chunks' maps, so chunks need not know what is before them.
+* *Chunks.* Every text is cut into chunks. A state is the splitter's and the transducer's; a chunk's state map gives, for the
+  state it is entered in, the state it is left in and the tokens emitted. Behind the first character that starts a piece in
+  every state, all entries agree, so only the few characters before it are run once more for the one entry state that occurs.
+  Maps compose in any bracketing, and a text's count is their pairwise scan, so chunks need not know what is before them. A
+  text within one chunk is the case of one map, whose entry is the start.
 
 Special tokens' strings inside texts are that one token each, as the library does by default.
 
@@ -34,12 +35,17 @@ from pyspark.sql import types as T
 from textloom.llm.common import mix, numbered, slices, span_hash
 
 LETTER, DIGIT, SPACE, WHITE, OTHER = range(5)
+#: Further states of the splitter: before a piece, in white space, behind an apostrophe that starts a piece.
+BEGIN, BLANK, QUOTE = 5, 6, 7
 #: Characters with the White_Space property, and the splitter's contractions.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+PAIRS = {w[0]: w[1] for w in CONTRACTIONS if len(w) == 2}
+#: The state before a text: no piece is open, nothing waits, and the transducer has read nothing.
+START = (BEGIN, "", (b"", (), ()))
 MOST_STATES = 400_000
 MOST_PIECES = 1_000_000
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 
 
 def classes() -> np.ndarray:
@@ -223,36 +229,27 @@ def load(path: str) -> dict:
 
 
 class StateMap:
-    """A chunk's map from what is before it: open characters at both ends, and the count between.
+    """A chunk's map from the state it is entered in to the state it is left in and the tokens emitted between.
 
-    ``head`` has the characters before the first certain piece start, ``tail`` those from the last one on; with no certain
-    start, ``whole`` holds all characters.
+    ``head`` holds the characters before the first place where a piece starts in every state: on them the map depends on the
+    entry, so it is evaluated for the states that occur, one a seam. From there on all entries agree: ``count`` tokens, and
+    ``exit``, the state at the end. A chunk without such a place has no ``exit``; its map is its head.
     """
 
-    def __init__(self, head="", count=0, tail="", whole=None):
-        self.head, self.count, self.tail, self.whole = head, count, tail, whole
+    def __init__(self, head: str, count: int = 0, exit: tuple | None = None):
+        self.head, self.count, self.exit = head, count, exit
 
-    def then(self, other: "StateMap", counted) -> "StateMap":
-        if self.whole is not None and other.whole is not None:
-            return StateMap(whole=self.whole + other.whole)
-        if self.whole is not None:
-            return StateMap(self.whole + other.head, other.count, other.tail)
-        if other.whole is not None:
-            return StateMap(self.head, self.count, self.tail + other.whole)
-        return StateMap(self.head, self.count + counted(self.tail + other.head) + other.count, other.tail)
+    def after(self, state: tuple, walk) -> tuple[tuple, int]:
+        """Exit state and emitted count of an entry state."""
+        state, n = walk(state, self.head, self.exit is not None)
+        return self.exit or state, n + self.count
 
-
-def certain_starts(chunk: str) -> tuple[int, int]:
-    """First and last place where a piece starts whatever is before the chunk or behind it: a space between two letters."""
-    import re
-
-    first = re.search(r"(?<=[a-zA-Z]) (?=[a-zA-Z])", chunk)
-    if not first:
-        return -1, -1
-    last = max(chunk.rfind(" ", 0, len(chunk) - 1), first.start())
-    while not (chunk[last - 1].isascii() and chunk[last - 1].isalpha() and chunk[last] == " " and chunk[last + 1].isascii() and chunk[last + 1].isalpha()):
-        last = chunk.rfind(" ", 0, last)
-    return first.start(), last
+    def then(self, other: "StateMap", walk) -> "StateMap":
+        """This map and the one behind it as one: maps compose in any bracketing."""
+        if self.exit is None:
+            return StateMap(self.head + other.head, other.count, other.exit)
+        state, n = other.after(self.exit, walk)
+        return StateMap(self.head, self.count + n, state)
 
 
 class Counter:
@@ -292,29 +289,96 @@ class Counter:
         edge = np.searchsorted(s, begin)
         return sums[edge[1:]] - sums[edge[:-1]]
 
-    def one(self, text: str) -> int:
-        return int(self.plain([text])[0])
-
-    def scanned(self, text: str) -> int:
-        """Count of a long text: chunk maps, composed pairwise in order."""
-        maps, middles = [], []
-        for a in range(0, len(text), CHUNK):
-            chunk = text[a : a + CHUNK]
-            first, last = certain_starts(chunk)
-            if first < 0:
-                maps.append(StateMap(whole=chunk))
-            else:
-                maps.append(StateMap(chunk[:first], 0, chunk[last:]))
-                middles.append((maps[-1], chunk[first:last]))
-        for (m, _), n in zip(middles, self.plain([x for _, x in middles]).tolist()):
-            m.count = n
-        while len(maps) > 1:
-            maps = [maps[i].then(maps[i + 1], self.one) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return self.one(m.whole) if m.whole is not None else m.count + self.one(m.head) + self.one(m.tail)
+    def certain_starts(self, chunk: str) -> tuple[int, int]:
+        """First and last character that starts a piece whatever is before the chunk or behind it; -1 without one.
+
+        Where the class changes a piece starts, unless white space may be attached or an apostrophe may take letters.
+        """
+        c = self.kind[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)]
+        c = np.where(c == WHITE, SPACE, c)
+        sure = np.flatnonzero((c[1:] != c[:-1]) & (c[:-1] != SPACE) & ((c[:-1] != OTHER) | (c[1:] != LETTER))) + 1
+        return (int(sure[0]), int(sure[-1])) if len(sure) else (-1, -1)
+
+    def walk(self, state: tuple, text: str, end: bool = False) -> tuple[tuple, int]:
+        """Runs splitter and transducer over characters: the state after them and the tokens emitted; ``end`` closes the piece.
+
+        A state is the splitter's (the open piece's class, BEGIN, BLANK or QUOTE), the character that waits for what follows
+        it (the last of white space; the first letter of a contraction of two), and the transducer's.
+        """
+        mode, waits, key = state
+        machine, kind, total = self.machine, self.kind, 0
+        if len(machine.states) > MOST_STATES:
+            machine.clear()
+        s = machine._state(key)
+
+        def feed(ch: str):
+            nonlocal s, total
+            for byte in ch.encode():
+                s, delta = machine.next.get((s, byte)) or machine.step(s, byte)
+                total += delta
+
+        for ch in text:
+            k = int(kind[ord(ch)])
+            white = k in (SPACE, WHITE)
+            attached = False
+            if mode == BLANK:
+                if white:
+                    feed(waits)
+                    waits = ch
+                    continue
+                s = machine.start
+                feed(waits)
+                attached, mode, waits = waits == " ", BEGIN, ""
+            elif mode == QUOTE:
+                if waits and ch == PAIRS[waits]:
+                    feed(waits + ch)
+                    mode, waits = BEGIN, ""
+                    continue
+                if waits:  # no contraction: the apostrophe was a piece, and the letter starts one
+                    s = machine.start
+                    feed(waits)
+                    mode, waits = LETTER, ""
+                elif ch in PAIRS:
+                    waits = ch
+                    continue
+                elif ch in CONTRACTIONS:
+                    feed(ch)
+                    mode = BEGIN
+                    continue
+                else:
+                    mode = OTHER
+            if white:
+                s, mode, waits = machine.start, BLANK, ch
+                continue
+            if k != mode:
+                if not attached:
+                    s = machine.start
+                mode = QUOTE if ch == "'" and not attached else k
+            feed(ch)
+        if end:
+            if mode == QUOTE and waits:
+                s = machine.start
+            feed(waits)
+            return START, total
+        return (mode, waits, machine.states[s]), total
+
+    def state_map(self, chunk: str, opens: bool, closes: bool) -> tuple[StateMap, str]:
+        """A chunk's map without the count of its middle, and that middle: the characters between certain starts.
+
+        A text's first character and its end are certain, so a text of one chunk is all middle.
+        """
+        first, last = (0, len(chunk)) if opens and closes else self.certain_starts(chunk)
+        if first < 0:
+            if not opens:
+                return StateMap(chunk, 0, START if closes else None), ""
+            first = last = 0
+        first, last = 0 if opens else first, len(chunk) if closes else last
+        exit, n = self.walk(START, chunk[last:], closes)
+        return StateMap(chunk[:first], n, exit), chunk[first:last]
 
     def counts(self, texts: list[str]) -> list[int]:
-        flat, owner, total = [], [], [0] * len(texts)
+        """Token counts: each text's chunks become state maps, which a pairwise scan composes in order."""
+        total, owner, maps, middles = [0] * len(texts), [], [], []
         for i, t in enumerate(texts):
             parts = [t]
             for special in self.special:
@@ -322,13 +386,18 @@ class Counter:
                 total[i] += sum(len(p) - 1 for p in cut)
                 parts = [x for p in cut for x in p]
             for p in parts:
-                if len(p) > CHUNK:
-                    total[i] += self.scanned(p)
-                else:
-                    flat.append(p)
-                    owner.append(i)
-        for i, n in zip(owner, self.plain(flat).tolist()):
-            total[i] += n
+                owner.append(i)
+                maps.append([])
+                for a in range(0, max(len(p), 1), CHUNK):
+                    m, middle = self.state_map(p[a : a + CHUNK], a == 0, a + CHUNK >= len(p))
+                    maps[-1].append(m)
+                    middles.append((m, middle))
+        for (m, _), n in zip(middles, self.plain([x for _, x in middles]).tolist()):
+            m.count += n
+        for i, chain in zip(owner, maps):
+            while len(chain) > 1:
+                chain = [chain[j].then(chain[j + 1], self.walk) if j + 1 < len(chain) else chain[j] for j in range(0, len(chain), 2)]
+            total[i] += chain[0].count
         return total
 
 
