@@ -132,6 +132,14 @@ def glossary_for_pairs(entries: DataFrame, wanted: DataFrame, dictionary: str =
 W = r"[\p{L}\p{N}_]"  # characters of words
 
 
+MARK = "\x01"
+
+
+def _marked(text: Column) -> Column:
+    """Lower-case text with a mark at both edges of each word: what stands on word boundaries is then a plain substring."""
+    return F.regexp_replace(F.translate(F.lower(text), MARK, "\x02"), f"({W}+)", f"{MARK}$1{MARK}")
+
+
 def _grams(text: Column, size: int, of: str) -> Column:
     """Distinct runs of ``size`` characters that match ``of``, overlapping ones too."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({of}))"), F.lit(1)))
@@ -161,20 +169,21 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> D
         F.when(F.col("ascii") & (word != ""), F.concat(F.lit("w"), word)).when(F.col("ascii"), F.concat(F.lit("m"), F.left("t", F.lit(3))))
         .otherwise(F.concat(F.lit("g"), F.substring(F.col("t"), first, size)))
     )
-    terms = cut(terms.withColumn("key", key).withColumn("low", F.lower("t")))
+    edge = lambda c: F.when(c.rlike(W), "").otherwise(MARK)
+    bounded = F.concat(edge(F.left("t", F.lit(1))), _marked(F.col("t")), edge(F.right("t", F.lit(1))))
+    terms = cut(terms.withColumn("key", key).withColumn("bounded", bounded))
     tag = lambda x, c: F.transform(c, lambda v: F.concat(F.lit(x), v))
     text = F.col("text")
     # texts give only the kinds of keys that terms have: words, marks, and runs of two to four characters
     kinds = {r[0] for r in terms.select(F.when(F.left("key", F.lit(1)) == "g", F.length("key") - 1).otherwise(F.when(F.left("key", F.lit(1)) == "m", 1).otherwise(0))).distinct().collect()}
     found_in = {0: tag("w", F.regexp_extract_all(F.lower(text), F.lit(f"{W}+"), F.lit(0))), 1: tag("m", _grams(text, 3, r"[^\p{L}\p{N}_]{3}"))}
     for k in (2, 3, 4):
-        found_in[k] = tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(_grams(text, k, "." * k), lambda g: g.rlike(r"[^\x00-\x7F]"))).otherwise(F.array()))
+        beyond = "|".join("." * i + r"[^\x00-\x7F]" + "." * (k - 1 - i) for i in range(k))
+        found_in[k] = tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), _grams(text, k, beyond)).otherwise(F.array()))
     keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *(found_in[k] for k in sorted(kinds))))
-    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(segments.select("seg_id", "text", F.lower("text").alias("low_text")), "seg_id")
-    edge = lambda c, word, mark: F.when(c.rlike(W), word).otherwise(mark)
-    quoted = F.concat(F.lit(r"\Q"), F.replace("t", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pattern = F.concat(F.lit("(?iu)"), edge(F.left("t", F.lit(1)), rf"(?<!{W})", rf"(?<={W})"), quoted, edge(F.right("t", F.lit(1)), rf"(?!{W})", rf"(?={W})"))
-    found = F.when(F.col("ascii"), F.col("low_text").contains(F.col("low")) & F.rlike(text, pattern)).otherwise(text.contains(F.col("t")))
+    side = segments.select("seg_id", "text", _marked(text).alias("marked"))
+    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(side, "seg_id")
+    found = F.when(F.col("ascii"), F.col("marked").contains(F.col("bounded"))).otherwise(text.contains(F.col("t")))
     hits = maybe.where(found).select("seg_id", "t", "term", "priority", "ord")
     # terms inside longer ones, by their first two to four characters
     start = terms.select("t", F.least(F.length("t"), F.lit(4)).alias("k")).select(F.col("t").alias("inner"), F.concat_ws(":", "k", F.left("t", F.col("k"))).alias("g"))

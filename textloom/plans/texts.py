@@ -10,6 +10,7 @@ from textloom.functions import text as X
 from textloom.operators import core
 from textloom.plans import query
 from textloom.plans.relational import n, table
+from textloom.storage import spread
 
 SEG_SQL = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 TM_SQL = "SELECT item_id * 1000 + pos - 1 AS tm_id, text AS source_text FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark)"
@@ -17,7 +18,11 @@ NORM = r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))"
 
 
 def segments(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return lines(table(spark, d, "documents"))
+
+
+def lines(docs):
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
 
 
 def memory(spark, d):
@@ -39,7 +44,7 @@ SELECT key, tm_id, round_even(sim, 3)::DOUBLE AS similarity, exact FROM r WHERE
 
 @query("j3_tm_fuzzy", BEST_SQL)
 def j3(spark, d):
-    return core.memory_lookup(segments(spark, d).select("text"), memory(spark, d))
+    return core.memory_lookup(lines(spread(table(spark, d, "documents"))).select("text"), memory(spark, d))
 
 
 @query("j2_tm_exact", rf"SELECT doc_id, pos::BIGINT AS pos, max(tm_id) AS tm_id FROM (SELECT doc_id, pos, {NORM} AS k FROM ({SEG_SQL})) JOIN (SELECT tm_id, {NORM.replace('text', 'source_text')} AS k FROM ({TM_SQL})) USING (k) WHERE k <> '' GROUP BY doc_id, pos")
@@ -50,8 +55,9 @@ def j2(spark, d):
 
 @query("g1_tm_routing", rf"WITH best AS ({BEST_SQL}) SELECT doc_id, pos::BIGINT AS pos, tm_id, similarity, CASE WHEN {NORM} = '' THEN 'blank' WHEN exact THEN 'exact' WHEN tm_id IS NOT NULL THEN 'reference' ELSE 'model' END AS route FROM ({SEG_SQL}) LEFT JOIN best ON key = {NORM}")
 def g1(spark, d):
-    best = core.memory_lookup(segments(spark, d).select("text"), memory(spark, d))
-    s = segments(spark, d).withColumn("k", X.norm_text(F.col("text")))
+    own = lines(spread(table(spark, d, "documents")))
+    best = core.memory_lookup(own.select("text"), memory(spark, d))
+    s = own.withColumn("k", X.norm_text(F.col("text")))
     route = F.when(F.col("k") == "", "blank").when(F.col("exact"), "exact").when(F.col("tm_id").isNotNull(), "reference").otherwise("model")
     return s.join(best, s["k"] == best["key"], "left").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id", "similarity", route.alias("route"))
 
@@ -118,7 +124,7 @@ SELECT doc_id, pos::BIGINT AS pos, term, priority FROM r WHERE r <= 40"""
 
 @query("j4_glossary_matches", HITS_SQL)
 def j4(spark, d):
-    s = segments(spark, d).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
+    s = lines(spread(table(spark, d, "documents"))).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
     return core.glossary_hits(s, glossary(spark, d)).select("seg_id.doc_id", F.col("seg_id.pos").cast("bigint").alias("pos"), "term", "priority")
 
 
@@ -131,7 +137,7 @@ def j12(spark, d):
 
 @query("f11_prompt_lines", f"""WITH h AS ({HITS_SQL}) SELECT doc_id, pos, string_agg('- ' || CASE WHEN priority = 'strict' THEN '[STRICT] ' ELSE '' END || '"' || term || '" → "' || upper(term) || '"', chr(10) ORDER BY term) AS prompt FROM h GROUP BY doc_id, pos""")
 def f11(spark, d):
-    s = segments(spark, d).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
+    s = lines(spread(table(spark, d, "documents"))).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
     hits = core.glossary_hits(s, glossary(spark, d)).groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("term", "priority"))).alias("l"))
     line = lambda x: F.concat(F.lit("- "), F.when(x["priority"] == "strict", "[STRICT] ").otherwise(""), F.lit('"'), x["term"], F.lit('" → "'), F.upper(x["term"]), F.lit('"'))
     return hits.select("seg_id.doc_id", F.col("seg_id.pos").cast("bigint").alias("pos"), F.array_join(F.transform("l", line), "\n").alias("prompt"))

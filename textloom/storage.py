@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many tasks as the session runs at a time: a table of fewer file splits (one row group, say) is
+    dealt anew before costly work on its rows, a larger one is left as it lies."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
