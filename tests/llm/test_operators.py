@@ -394,6 +394,32 @@ def test_secrets(spark, docs, none, real):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
+def linked_spans(t, scope):
+    """All spans of a text, every weak candidate compared with every other part."""
+    find = lambda p, k, good=lambda m: True: [(m.start(), k, m.end()) for m in re.finditer(p, t, re.ASCII) if good(m)]
+    base = find(secret_scan.ASSIGN, 0, lambda m: len(m[2]) >= 12) + find(secret_scan.ACCESS, 1, lambda m: len(m[0]) >= 18) + find(secret_scan.HEX, 2)
+    weak = find(secret_scan.KEY40, 3) + find(secret_scan.ENDPOINT, 4)
+    out = list(base)
+    for w in weak:
+        near = {p[1] for p in base + weak if p[:2] != w[:2] and p[0] - w[2] <= scope and w[0] - p[2] <= scope}
+        if 1 in near and (w[1] == 3 or near & {0, 2, 3}):
+            out.append(w)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scope", (7, 200))
+def test_linked_secrets_brute_force(spark, real, scope):
+    rng = np.random.default_rng(scope)
+    atoms = ["AKIA" + "Q" * 16, "k" * 40, "a/B+" * 10, "https://db.example/x", "http://h", "password = abcdefghijkl0", "0123456789abcdef0", "token:" + "z" * 40, "AKIAshort", "日本 😀", "="]
+    texts = ["".join(atoms[i] + " " * int(rng.choice([1, scope - 1, scope, scope + 1])) for i in rng.integers(0, len(atoms), rng.integers(0, 30))) for _ in range(150)]
+    texts += [r.text or "" for r in real]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: [(x["start"], x["rank"], x["end"]) for x in r.spans] for r in secret_scan.scan_secrets(df, scope).collect()}
+    want = {i: linked_spans(t, scope) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(x[1] >= 3 for v in want.values() for x in v) > 50
+
+
 def test_top_k(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.5]), (50, [0.5, -0.5]), (1, [0.1, 0.2]), (1, [0.1, 0.2]), (2, None), (3, [nan, 0.0]), (4, [inf, 0.0]), (None, [0.1, 0.1]), (5, [None, 0.1])]
