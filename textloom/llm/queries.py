@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, html_text, line_dedup, minhash, mixing, quality_cnn, secret_scan, substring_dedup, token_count, topk
+from textloom.llm import decontaminate, html_text, line_dedup, merkle, minhash, mixing, quality_cnn, secret_scan, substring_dedup, token_count, topk
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_near_dedup": minhash.op8,
         "op9_source_mixing": mixing.op9,
         "op10_secret_scan": secret_scan.op10,
+        "op11_merkle_manifest": merkle.op11,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontaminate.OP4_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op8_near_dedup": minhash.OP8_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
     }
