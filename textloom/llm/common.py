@@ -158,6 +158,17 @@ def slices(batch: pa.RecordBatch, most: int = 16 << 20):
         yield batch.slice(at)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted working names, each with as many underscores added as it takes to be no column's name (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
