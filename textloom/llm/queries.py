@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, html_text, line_dedup, merkle, minhash, mixing, quality_cnn, runs, secret_scan, substring_dedup, token_count, topk
+from textloom.llm import decontaminate, html_text, line_dedup, merkle, minhash, mixing, pii, quality_cnn, runs, secret_scan, substring_dedup, token_count, topk
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_secret_scan": secret_scan.op10,
         "op11_merkle_manifest": merkle.op11,
         "op12_periodic_runs": runs.op12,
+        "op13_personal_data": pii.op13,
         "pipeline": corpus_pipeline.run,
     }
 
