@@ -106,7 +106,7 @@ def test_suffix_tree_nodes():
 def test_lines(spark, docs, none):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "__ld_removed"]
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.__ld_removed if False else r["__ld_removed"]) for r in out.collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r["__ld_removed"]) for r in out.collect())
     assert got == [(-1, 0), (1, 0), (2, 4), (2, 4), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0)]
     assert line_dedup.dedup_lines(none).count() == 0
     three = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\n\nb\n c \ny"), (3, "b\nc\nq")], "doc_id long, text string")

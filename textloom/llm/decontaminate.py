@@ -11,7 +11,7 @@ before the next begins and its broadcast is then freed, so that one part at a ti
 Defined results: null or empty texts have no words and no hits; items with a null text or no word, and items with a null
 id, give no windows; items that share windows are all reported; repeated rows are judged one by one; an empty table, or
 an empty benchmark, gives rows without hits; every column of the documents passes through unchanged, whatever its name
-(working columns start with ``__dc_``).
+(working columns take names that are free).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import ALNUM_BYTES, Words, cut, slices, texts_of
+from textloom.llm.common import ALNUM_BYTES, Words, cut, free_names, slices, texts_of
 
 #: Bytes of windows and items of one broadcast part; the hash tables made of them take some five times as much.
 PART_BYTES = 48 << 20
@@ -64,7 +64,7 @@ def _window_set(rows: list[tuple[bytes, str]]) -> dict[int, tuple[np.ndarray, di
     return out
 
 
-def _scan(shared, names: list[str], first: bool):
+def _scan(shared, names: list[str], added: list[str], first: bool):
     def run(batches):
         windows = shared.value
         for batch in batches:
@@ -73,11 +73,11 @@ def _scan(shared, names: list[str], first: bool):
                 rows = part.num_rows
                 mark = np.zeros(len(w.hash) + 1, np.int64)
                 if not first:
-                    for r, old in enumerate(part.column("__dc_hits").to_pylist()):
+                    for r, old in enumerate(part.column(added[1]).to_pylist()):
                         for p in np.frombuffer(old or b"", np.int32):
                             mark[w.first[r] + p] += 1
                             mark[w.first[r] + p + 1] -= 1
-                items = [set() for _ in range(rows)] if first else [set(x) for x in part.column("__dc_items").to_pylist()]
+                items = [set() for _ in range(rows)] if first else [set(x) for x in part.column(added[2]).to_pylist()]
                 for n, (hashes, by_hash) in windows.items():
                     h, ok = w.grams(n)
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -91,16 +91,17 @@ def _scan(shared, names: list[str], first: bool):
                 hits = [np.flatnonzero(hit[a:b]).astype(np.int32).tobytes() for a, b in zip(w.first[:-1], w.first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.array(np.diff(w.first).astype(np.int64)), pa.array(hits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=[*names, "__dc_words", "__dc_hits", "__dc_items"],
+                    names=[*names, *added],
                 )
 
     return run
 
 
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with __dc_words (number of words), __dc_hits (positions of hit words, int32 bytes) and __dc_items."""
+    """``docs`` with __dc_words (number of words), __dc_hits (positions of hit words, int32 bytes) and __dc_items, the last three
+    columns; each has an underscore more for every column of ``docs`` that is in its way."""
     spark = docs.sparkSession
-    names = docs.columns
+    names, added = docs.columns, free_names(docs.columns, "__dc_words", "__dc_hits", "__dc_items")
     bench = benchmark.where("text is not null and item_id is not null").select(F.col("text").cast("string").alias("text"), F.col("item_id").cast("string").alias("item"))
     windows = cut(bench.mapInArrow(_windows(ngram), "gram binary, item string").distinct())
     size = windows.agg(F.coalesce(F.sum(F.octet_length("gram") + F.octet_length("item") + 32), F.lit(0))).first()[0]
@@ -109,13 +110,13 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, p
     windows = windows.withColumn("part", F.pmod(F.xxhash64("gram", "item"), F.lit(parts)))
     schema = T.StructType([
         *docs.schema.fields,
-        T.StructField("__dc_words", T.LongType()), T.StructField("__dc_hits", T.BinaryType()), T.StructField("__dc_items", T.ArrayType(T.StringType())),
+        *(T.StructField(c, t) for c, t in zip(added, (T.LongType(), T.BinaryType(), T.ArrayType(T.StringType())))),
     ])
     out = docs
     for part in range(parts):
         rows = [(bytes(r.gram), r.item) for r in windows.where(F.col("part") == part).select("gram", "item").collect()]
         shared = spark.sparkContext.broadcast(_window_set(rows))
-        out = out.mapInArrow(_scan(shared, names, part == 0), schema)
+        out = out.mapInArrow(_scan(shared, names, added, part == 0), schema)
         if part + 1 < parts:
             out = cut(out)
             shared.destroy()
@@ -132,12 +133,12 @@ def without_spans(text: str, hits: np.ndarray, start: np.ndarray, end: np.ndarra
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def _strip(names: list[str]):
+def _strip(names: list[str], found: str):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                hits = part.column("__dc_hits").to_pylist()
+                hits = part.column(found).to_pylist()
                 rows = [i for i, h in enumerate(hits) if h]
                 w = Words([texts[i].encode() for i in rows], ALNUM_BYTES, lower=True)
                 for k, i in enumerate(rows):
@@ -152,11 +153,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ngram: int = 10, max_hi
     """``docs`` without contamination: documents with a larger share of hit words than ``max_hit_share`` go; from the
     others, the hit spans are cut. With 0, the default, every contaminated document goes."""
     marked = mark_contamination(docs, benchmark, ngram, part_bytes)
-    share = F.octet_length("__dc_hits") / F.lit(4) / F.greatest("__dc_words", F.lit(1))
+    words, hits = marked.columns[-3:-1]
+    share = F.octet_length(hits) / F.lit(4) / F.greatest(words, F.lit(1))
     kept = marked.where(share <= max_hit_share)
     if max_hit_share <= 0:
         return kept.select(*docs.columns)
-    return kept.select(*docs.columns, "__dc_hits").mapInArrow(_strip(docs.columns), docs.schema)
+    return kept.select(*docs.columns, hits).mapInArrow(_strip(docs.columns, hits), docs.schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

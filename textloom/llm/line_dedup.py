@@ -14,7 +14,7 @@ pairs of positions are never listed.
 
 Defined results: null and empty texts stay as they are; rows with a null doc_id stay and are no source; rows equal in
 doc_id and text are one document; an empty table gives an empty one; every other column passes through unchanged, whatever
-its name (working columns start with ``__ld_``).
+its name (working columns take names that are free).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import cut, texts_of
+from textloom.llm.common import cut, free_names, texts_of
 
 
 OWN = "array<struct<pos:int,n:int,key:binary,again:boolean>>"
@@ -41,7 +41,7 @@ def _anchors(min_lines: int, single_words: int | None):
         line_hash, window_hash = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             out = {"fp": [], "doc": [], "txt": [], "own": []}
-            for doc, txt, text in zip(batch.column("__ld_doc").to_pylist(), batch.column("__ld_txt").to_pylist(), texts_of(batch.column("text"))):
+            for doc, txt, text in zip(batch.column("doc").to_pylist(), batch.column("txt").to_pylist(), texts_of(batch.column("text"))):
                 lines = [x for x in (y.strip() for y in text.split(b"\n")) if x]
                 h = np.array([line_hash(x) for x in lines], dtype=np.uint64)
                 alone = [single(x) for x in lines]
@@ -66,11 +66,11 @@ def _anchors(min_lines: int, single_words: int | None):
     return run
 
 
-def _delete(names: list[str]):
+def _delete(names: list[str], places: str, count: str):
     def run(batches):
         for batch in batches:
             texts, removed = [], []
-            for text, later in zip(batch.column("text").to_pylist(), batch.column("__ld_pos").to_pylist()):
+            for text, later in zip(batch.column("text").to_pylist(), batch.column(places).to_pylist()):
                 if not later:
                     texts.append(text)
                     removed.append(0)
@@ -87,17 +87,19 @@ def _delete(names: list[str]):
                 texts.append("\n".join(kept))
                 removed.append(len(gone))
             cols = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*names, "__ld_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*names, count])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, single_words: int | None = 2) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from ``text``, and ``__ld_removed``, the lines deleted."""
+    """``docs`` with later repeated runs of lines deleted from ``text``, and ``__ld_removed``, the lines deleted, as last column
+    (with an underscore more for every column of ``docs`` that is in its way)."""
     names = docs.columns
-    keyed = docs.withColumn("__ld_doc", F.col("doc_id").cast("long")).withColumn("__ld_txt", F.xxhash64("text"))
+    doc, txt, pos, removed = free_names(names, "__ld_doc", "__ld_txt", "__ld_pos", "__ld_removed")
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(txt, F.xxhash64("text"))
     # written tables: texts are cut into lines once, and joins on hot keys stand right above exchanges that can be split
-    anchors = cut(keyed.where("__ld_doc is not null and text is not null").select("__ld_doc", "__ld_txt", "text").mapInArrow(
+    anchors = cut(keyed.where(F.col(doc).isNotNull() & F.col("text").isNotNull()).select(F.col(doc).alias("doc"), F.col(txt).alias("txt"), "text").mapInArrow(
         _anchors(min_lines, single_words), f"fp long, doc long, txt long, own {OWN}"
     ))
     again = cut(anchors.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
@@ -106,11 +108,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, single_words: int | None =
     later = (
         windows.join(first, "key")
         .where("doc > first or again")  # rows that share a doc_id but not the text have no order
-        .groupBy("doc", "txt").agg(F.collect_set(F.struct("pos", "n")).alias("__ld_pos"))
-        .withColumnsRenamed({"doc": "__ld_doc", "txt": "__ld_txt"})
+        .groupBy("doc", "txt").agg(F.collect_set(F.struct("pos", "n")).alias(pos))
+        .withColumnsRenamed({"doc": doc, "txt": txt})
     )
-    schema = T.StructType([*docs.schema.fields, T.StructField("__ld_removed", T.LongType())])
-    return keyed.join(later, ["__ld_doc", "__ld_txt"], "left").select(*names, "__ld_pos").mapInArrow(_delete(names), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(removed, T.LongType())])
+    return keyed.join(later, [doc, txt], "left").select(*names, pos).mapInArrow(_delete(names, pos, removed), schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

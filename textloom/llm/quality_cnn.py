@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import slices, texts_of
+from textloom.llm.common import free_names, slices, texts_of
 
 WIDTH, STRIDE = 8, 4
 HOP = 64  # places of half a chunk
@@ -148,20 +148,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int
     return train([r.text.encode() for r in chosen], np.array([r.q for r in chosen]), **how)
 
 
-def _score(shared, names: list[str]):
+def _score(shared, names: list[str], names_out: list[str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 s = scores(shared.value, texts_of(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s, pa.float64())], names=[*names, "__qc_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s, pa.float64())], names=names_out)
 
     return run
 
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``__qc_score``, the probability of label 1."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__qc_score", T.DoubleType())])
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns), schema)
+    """``docs`` with ``__qc_score``, the probability of label 1, as last column (with an underscore more for every column of ``docs``
+    that is in its way)."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(*free_names(docs.columns, "__qc_score"), T.DoubleType())])
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), docs.columns, schema.names), schema)
 
 
 def remainder(col: Column) -> Column:

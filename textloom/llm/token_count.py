@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import mix, numbered, slices, span_hash
+from textloom.llm.common import free_names, mix, numbered, slices, span_hash
 
 LETTER, DIGIT, SPACE, WHITE, OTHER = range(5)
 #: Further states of the splitter: before a piece, in white space, behind an apostrophe that starts a piece.
@@ -401,7 +401,7 @@ class Counter:
         return total
 
 
-def _count(shared, names: list[str]):
+def _count(shared, names: list[str], names_out: list[str]):
     def run(batches):
         spec = shared.value  # one object a worker process: the compiled machine stays with it
         if "counter" not in spec:
@@ -409,16 +409,17 @@ def _count(shared, names: list[str]):
         for batch in batches:
             for part in slices(batch, 8 << 20):
                 counts = spec["counter"].counts([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts, pa.int64())], names=[*names, "__tc_tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts, pa.int64())], names=names_out)
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``docs`` with ``__tc_tokens``, the number of tokens of ``text``."""
+    """``docs`` with ``__tc_tokens``, the number of tokens of ``text``, as last column (with an underscore more for every column of
+    ``docs`` that is in its way)."""
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__tc_tokens", T.LongType())])
-    return docs.mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(load(tokenizer_path)), names), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(*free_names(names, "__tc_tokens"), T.LongType())])
+    return docs.mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(load(tokenizer_path)), names, schema.names), schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
