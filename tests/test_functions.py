@@ -45,16 +45,53 @@ def test_wait_seconds(spark):
 
 
 def test_memory_lookup(spark):
-    seg = spark.createDataFrame([("legal clause",), ("legal clauses x",), ("nothing alike",), ("a",)], "text string")
-    mem = spark.createDataFrame([(1, "  LEGAL CLAUSE  "), (2, "legal clauses"), (3, "b")], "tm_id long, source_text string")
+    seg = spark.createDataFrame([(t, "en→zh") for t in ("legal clause", "legal clauses x", "nothing alike", "a")], "text string, scope string")
+    mem = spark.createDataFrame([(1, "  LEGAL CLAUSE  "), (2, "legal clauses"), (3, "b")], "tm_id long, source_text string").withColumn("lang_pair", F.lit("en→zh"))
     got = {r.key: (r.tm_id, r.exact) for r in core.memory_lookup(seg, mem).collect()}
     assert got == {"legal clause": (1, True), "legal clauses x": (2, False), "a": (3, False)}
     # equally similar sources: the first; equal sources: the latest; a source below the threshold is none
-    mem = spark.createDataFrame([(7, "abcdef y"), (5, "abcdef z"), (4, "unrelated memory"), (8, "Same"), (9, "same ")], "tm_id long, source_text string")
-    got = {r.key: (r.tm_id, r.similarity, r.exact) for r in core.memory_lookup(spark.createDataFrame([("abcdef x",), ("same",), ("quite another",)], "text string"), mem).collect()}
+    mem = spark.createDataFrame([(7, "abcdef y"), (5, "abcdef z"), (4, "unrelated memory"), (8, "Same"), (9, "same ")], "tm_id long, source_text string").withColumn("lang_pair", F.lit("en→zh"))
+    seg = spark.createDataFrame([("abcdef x",), ("same",), ("quite another",)], "text string").withColumn("scope", F.lit("en→zh"))
+    got = {r.key: (r.tm_id, r.similarity, r.exact) for r in core.memory_lookup(seg, mem).collect()}
     assert got == {"abcdef x": (5, 0.857, False), "same": (9, 1.0, True)}
 
 
+def test_memory_lookup_by_language_pair(spark):
+    """Two targets of one source; an unknown source language takes every pair of its target, and no pair of another."""
+    mem = spark.createDataFrame([(1, "good day", "en→zh"), (2, "good day", "en→fr"), (3, "good day", "de→zh"), (4, "good days", "fr→zh"), (5, "x", "en→fr")], "tm_id long, source_text string, lang_pair string")
+    seg = spark.createDataFrame([("good day", s, t) for s in ("en", "zh-Hant", "auto", "FR", "de") for t in ("zh-CN", "fr")] + [("y", "en", "zh"), ("y", "en", "fr")], "text string, s string, t string")
+    seg = seg.select("text", core.scope_of(F.col("s"), F.col("t")).alias("scope"))
+    got = {(r.scope, r.key): (r.tm_id, r.exact) for r in core.memory_lookup(seg, mem).collect()}
+    assert got == {
+        ("en→zh", "good day"): (1, True), ("en→fr", "good day"): (2, True), ("auto→zh", "good day"): (3, True), ("auto→fr", "good day"): (2, True),
+        ("de→zh", "good day"): (3, True), ("fr→zh", "good day"): (4, False), ("en→fr", "y"): (5, False),
+    }
+
+
+def test_trigram_top_brute_force(spark):
+    """Every step of the threshold, ties at the last place, scopes, and texts without words."""
+    import random
+    import re
+
+    rng = random.Random(2)
+
+    def grams(text):
+        return {p[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for p in [f"  {w} "] for i in range(len(p) - 2)}
+
+    words = ["abc", "abd", "bcd", "xyz", "xy", "é"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+    ls = [(i, text(), f"s{i % 2}") for i in range(60)] + [(60, "--", "s0"), (61, "Abc, ABC_abc", "s1")]
+    rs = [(i, text(), f"s{i % 2}") for i in range(150)]
+    for most, least in ((50, 0.3), (3, 0.3), (1, 0.5)):
+        got = core.trigram_top(spark.createDataFrame(ls, "lid long, ltext string, scope string"), spark.createDataFrame(rs, "rid long, rtext string, scope string"), most, least)
+        want = []
+        for lid, a, s in ls:
+            x = grams(a)
+            near = sorted((-len(x & grams(b)) / len(x | grams(b)), rid) for rid, b, t in rs if s == t and x and grams(b) and len(x & grams(b)) >= least * len(x | grams(b)))
+            want += [(lid, k + 1, rid, round(-sim, 9)) for k, (sim, rid) in enumerate(near[:most])]
+        assert sorted((r.lid, r["rank"], r.rid, round(r.similarity, 9)) for r in got.collect()) == want
+
+
 def test_fuzzy_join_brute_force(spark):
     import random
 

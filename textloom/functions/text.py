@@ -52,6 +52,21 @@ def strip(c: Column) -> Column:
     return F.when(bare, c).otherwise(F.regexp_replace(c, EDGE, ""))
 
 
+def trigrams(c: Column) -> Column:
+    """Distinct trigrams of a text's words, each in lower case with two spaces before it and one behind."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+
+
+def sheet_title(title: Column, original: Column, most: int = 31) -> Column:
+    """A sheet's title without characters that sheets can't have, quotes at its ends and what is beyond ``most`` characters; the
+    original if nothing is left or the name is reserved."""
+    bare = F.regexp_replace(strip(title), r"[\\\\/*?:\[\]]", "_")
+    bare = strip(F.left(F.regexp_replace(bare, "^'+|'+$", ""), F.lit(most)))
+    return F.when((bare == "") | (F.lower(bare) == "history"), original).otherwise(bare)
+
+
 def bigram_codes(c: Column) -> Column:
     """Distinct character bigrams as numbers, the two code points of each; numbers are compared far faster than strings."""
     codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("bigint"))

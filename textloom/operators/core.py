@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bigram_codes, dice, norm_text, strip
+from textloom.functions.text import bigram_codes, dice, language_pair_code, norm_text, strip, trigrams
 from textloom.storage import cut
 
 Pair = tuple[str, str]
@@ -55,63 +55,120 @@ def _alone(x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"{x}.bits.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits.b{k}")))) for k in range(4)), F.lit(0))
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """All pairs (lid, rid, similarity) of (lid, ltext) and (rid, rtext) with bigram Dice of at least ``threshold``.
-
-    Texts without bigrams (blank or of one character) give no pair here.
+def element_sets(df: DataFrame, key: str, text: str, grams: Column) -> DataFrame:
+    """(id, scope, text, grams, n, bits) of a side of a set join, written once; texts without elements go."""
+    scope = F.col("scope") if "scope" in df.columns else F.lit("")
+    g = df.select(F.col(key).alias("id"), scope.alias("scope"), F.col(text).alias("text"), grams.alias("grams")).where("size(grams) > 0")
+    return cut(g.withColumn("n", F.size("grams")).withColumn("bits", _bits(F.col("grams"))))
 
-    Prefix filter: with bigrams in one order, the rarest of both sides first, a pair shares one of the first
-    |A| - ceil(|A| t / (2 - t)) + 1 of each side. The join is on those; its condition asks that sizes, the places of the
-    shared bigram, and 256 hash bits of both sets let the threshold be reached, so that hardly a pair leaves it that is not
-    one. Pairs are ids; they are verified on the bigram sets. Each side's texts and sets are written once, so that the
-    planner knows the sides' sizes: a small side's prefixes are broadcast, larger ones are shuffled, hot bigrams split.
-    """
-    need = threshold / (2 - threshold)
 
-    def sets(df: DataFrame, key: str, text: str) -> DataFrame:
-        g = df.select(F.col(key).alias("id"), F.col(text).alias("text"), bigram_codes(F.col(text)).alias("grams")).where("size(grams) > 0")
-        return cut(g.withColumn("n", F.size("grams")).withColumn("bits", _bits(F.col("grams"))))
+def set_pairs(ls: DataFrame, rs: DataFrame, need: float) -> DataFrame:
+    """Pairs (lid, rid) of one scope, among them all whose element sets have a Jaccard similarity of at least ``need``.
 
-    ls, rs = sets(left, "lid", "ltext"), sets(right, "rid", "rtext")
+    Prefix filter: with elements in one order, the rarest of both sides first, a pair shares one of the first |A| - ceil(|A| need)
+    + 1 of each side. The join is on those; its condition asks that sizes, the places of the shared element, and 256 hash bits
+    of both sets let the threshold be reached, so that hardly a pair leaves it that is not one. A small side's prefixes are
+    broadcast by the planner, which knows both written sides' sizes; larger ones are shuffled, hot elements split.
+    """
     count = lambda df: df.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
     freq = count(ls).unionByName(count(rs)).groupBy("g").agg(F.sum("df").alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
         ranked = df.select("id", F.explode("grams").alias("g")).join(freq, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("order"))
         first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1).cast("int"))
-        return df.select("id", "n", "bits").join(ranked, "id").select("id", "n", "bits", F.posexplode(first).alias("pos", "o")).select("id", "n", "bits", "pos", "o.g")
+        return df.select("id", "scope", "n", "bits").join(ranked, "id").select("id", "scope", "n", "bits", F.posexplode(first).alias("pos", "o")).select("id", "scope", "n", "bits", "pos", "o.g")
 
     x, y = prefixes(ls).alias("x"), prefixes(rs).alias("y")
-    overlap = (F.col("x.n") + F.col("y.n")) * (threshold / 2) - 1e-6
+    overlap = (F.col("x.n") + F.col("y.n")) * (need / (1 + need)) - 1e-6
     near = (
-        (F.col("x.g") == F.col("y.g")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * need - 1e-6)
+        (F.col("x.g") == F.col("y.g")) & (F.col("x.scope") == F.col("y.scope")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * need - 1e-6)
         & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= overlap)
         & (F.col("x.n") - _alone("x", "y") >= overlap) & (F.col("y.n") - _alone("y", "x") >= overlap)
     )
-    pairs = x.join(y, near).select(F.col("x.id").alias("lid"), F.col("y.id").alias("rid")).distinct()
+    return x.join(y, near).select(F.col("x.id").alias("lid"), F.col("y.id").alias("rid")).distinct()
+
+
+def _with_sets(pairs: DataFrame, ls: DataFrame, rs: DataFrame) -> DataFrame:
     side = lambda df, i, t, g: df.select(F.col("id").alias(i), F.col("text").alias(t), F.col("grams").alias(g))
+    return pairs.join(side(rs, "rid", "rtext", "rg"), "rid").join(side(ls, "lid", "ltext", "lg"), "lid")
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """All pairs (lid, rid, similarity) of (lid, ltext) and (rid, rtext) with bigram Dice of at least ``threshold``; where both
+    sides have a column ``scope``, those of one scope. Texts without bigrams (blank or of one character) give no pair here."""
+    ls, rs = element_sets(left, "lid", "ltext", bigram_codes(F.col("ltext"))), element_sets(right, "rid", "rtext", bigram_codes(F.col("rtext")))
     sim = dice(F.col("ltext"), F.col("rtext"), F.col("lg"), F.col("rg"))
-    checked = pairs.join(side(rs, "rid", "rtext", "rg"), "rid").join(side(ls, "lid", "ltext", "lg"), "lid").withColumn("similarity", sim)
+    checked = _with_sets(set_pairs(ls, rs, threshold / (2 - threshold)), ls, rs).withColumn("similarity", sim)
     return checked.where(F.col("similarity") >= threshold).select("lid", "rid", "ltext", "rtext", "similarity")
 
 
+def trigram_top(left: DataFrame, right: DataFrame, most: int = 50, least: float = 0.3, steps: tuple[float, ...] = (0.8, 0.6, 0.45)) -> DataFrame:
+    """(lid, rank, rid, similarity): for each text of ``left`` (lid, ltext) its ``most`` nearest of ``right`` (rid, rtext) by the
+    Jaccard similarity of padded-word trigrams, ``least`` or more, ties to the smaller rid; with ``scope`` on both sides, of one
+    scope. Texts without a word have no trigrams and no row.
+
+    The threshold falls by ``steps`` and rises a text at a time: a step finds every pair at its threshold, and a text that has
+    ``most`` of them is done, for its last place is at the threshold or above and no pair below can take it. Only texts with
+    fewer go on to the next step, whose longer prefixes are the costly ones.
+    """
+    ls, rs = element_sets(left, "lid", "ltext", trigrams(F.col("ltext"))), element_sets(right, "rid", "rtext", trigrams(F.col("rtext")))
+    common = F.size(F.array_intersect("lg", "rg"))
+    either = F.size("lg") + F.size("rg") - common
+    parts, open_ = [], ls
+    for step in [x for x in steps if x > least] + [least]:
+        checked = _with_sets(set_pairs(open_, rs, step), open_, rs).select("lid", "rid", common.alias("common"), either.alias("either"))
+        found = checked.where(F.col("common") >= F.col("either") * step - 1e-9)
+        if step == least:
+            parts.append(found)
+            break
+        found = cut(found)
+        full = found.groupBy("lid").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("lid")
+        parts.append(found.join(full, "lid", "left_semi"))
+        open_ = cut(open_.join(full, open_["id"] == full["lid"], "left_anti"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    out = out.withColumn("similarity", F.col("common") / F.col("either"))
+    rank = F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("similarity"), "rid"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= most).select("lid", "rank", "rid", "similarity")
+
+
+def memory_scopes(memory: DataFrame) -> DataFrame:
+    """(scope, src, tm_id): the memory by normalised source within each language pair and, for unknown source languages, within
+    all pairs of a target (``auto→target``); of equal sources the latest (largest) tm_id. ``memory`` has (tm_id, source_text,
+    lang_pair)."""
+    any_source = F.concat(F.lit("auto→"), F.split_part("lang_pair", F.lit("→"), F.lit(2)))
+    m = memory.select("tm_id", norm_text(F.col("source_text")).alias("src"), F.explode(F.array("lang_pair", any_source)).alias("scope"))
+    return m.where("src <> ''").groupBy("scope", "src").agg(F.max("tm_id").alias("tm_id"))
+
+
+def scope_of(source: Column, target: Column) -> Column:
+    """The scope that a request of two language codes looks into."""
+    return F.concat(language_pair_code(source), F.lit("→"), language_pair_code(target))
+
+
 def memory_lookup(segments: DataFrame, memory: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Best memory of each distinct segment text: exact first, else the most similar one of at least ``threshold``.
+    """Best memory of each distinct (scope, text): exact first, else the most similar one of at least ``threshold``.
 
-    ``segments`` (text), ``memory`` (tm_id, source_text). Gives (key, tm_id, similarity, exact). Of equal sources the latest
-    (largest) tm_id stands; of equally similar sources the first (smallest). Texts of one character have no bigrams and are
-    alike by definition: such a segment takes the first memory of one character. No candidate is left out for its number.
+    ``segments`` (text, scope), the scope a language pair or ``auto→target``; ``memory`` (tm_id, source_text, lang_pair). Gives
+    (scope, key, tm_id, similarity, exact). A memory of another pair is never handed on. Of equal sources the latest (largest)
+    tm_id stands; of equally similar sources the first (smallest). Texts of one character have no bigrams and are alike by
+    definition: such a segment takes the first memory of one character. No candidate is left out for its number.
     """
-    seg = cut(segments.select(norm_text(F.col("text")).alias("key")).where("key <> ''").distinct())
-    mem = cut(memory.select("tm_id", norm_text(F.col("source_text")).alias("src")).where("src <> ''").groupBy("src").agg(F.max("tm_id").alias("tm_id")))
-    exact = seg.join(mem, F.col("key") == F.col("src")).select("key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
-    rest = seg.join(exact.select("key"), "key", "left_anti")
-    name = F.struct(F.xxhash64("key").alias("a"), F.hash("key").alias("b"))  # candidate rows carry twelve bytes, not the text
-    found = fuzzy_join(rest.select(name.alias("lid"), F.col("key").alias("ltext")), mem.select(F.col("tm_id").alias("rid"), F.col("src").alias("rtext")), threshold)
-    best = found.groupBy("lid", "ltext").agg(F.max(F.struct("similarity", F.negative("rid").alias("rid"))).alias("m"))
-    fuzzy = best.select(F.col("ltext").alias("key"), F.negative("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
-    one = mem.where("length(src) = 1").agg(F.min("tm_id").alias("tm_id"))  # one row
-    short = rest.where("length(key) = 1").join(F.broadcast(one)).where("tm_id is not null").select("key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(False).alias("exact"))
+    seg = cut(segments.select("scope", norm_text(F.col("text")).alias("key")).where("key <> ''").distinct())
+    mem = cut(memory_scopes(memory))
+    same = mem.withColumnRenamed("src", "key")
+    exact = seg.join(same, ["scope", "key"]).select("scope", "key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(True).alias("exact"))
+    rest = seg.join(exact.select("scope", "key"), ["scope", "key"], "left_anti")
+    # candidate rows carry hashes, not the text
+    name = F.struct(F.xxhash64("scope", "key").alias("a"), F.hash("scope", "key").alias("b"))
+    scoped = lambda df: df.withColumn("scope", F.xxhash64("scope"))
+    rid = F.struct("tm_id", F.xxhash64("scope").alias("s"))
+    found = fuzzy_join(scoped(rest.select(name.alias("lid"), F.col("key").alias("ltext"), "scope")), scoped(mem.select(rid.alias("rid"), F.col("src").alias("rtext"), "scope")), threshold)
+    best = found.groupBy("lid").agg(F.max(F.struct("similarity", F.negative("rid.tm_id").alias("rid"))).alias("m"))
+    fuzzy = rest.withColumn("lid", name).join(best, "lid").select("scope", "key", F.negative("m.rid").alias("tm_id"), F.bround("m.similarity", 3).alias("similarity"), F.lit(False).alias("exact"))
+    one = mem.where("length(src) = 1").groupBy("scope").agg(F.min("tm_id").alias("tm_id"))
+    short = rest.where("length(key) = 1").join(one, "scope").select("scope", "key", "tm_id", F.lit(1.0).alias("similarity"), F.lit(False).alias("exact"))
     return exact.unionByName(fuzzy).unionByName(short)
 
 

@@ -13,7 +13,11 @@ from textloom.plans.relational import n, table
 from textloom.storage import spread
 
 SEG_SQL = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
-TM_SQL = "SELECT item_id * 1000 + pos - 1 AS tm_id, text AS source_text FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark)"
+#: Lines of the benchmark as a memory of four language pairs.
+TM_SQL = """SELECT item_id * 1000 + pos - 1 AS tm_id, text AS source_text, CASE WHEN item_id % 4 = 3 THEN 'de' ELSE 'en' END || '→' || CASE WHEN item_id % 3 = 0 THEN 'fr' ELSE 'zh' END AS lang_pair
+FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark)"""
+#: The scope that a document asks for: every third does not know its language, every second wants French.
+SCOPE = "CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE lang END || '→' || CASE WHEN doc_id % 2 = 0 THEN 'fr' ELSE 'zh' END"
 NORM = r"lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))"
 
 
@@ -25,46 +29,71 @@ def lines(docs):
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
 
 
+def scoped_lines(docs):
+    source = F.when(F.col("doc_id") % 3 == 0, "auto").otherwise(F.col("lang"))
+    target = F.when(F.col("doc_id") % 2 == 0, "fr").otherwise("zh")
+    return docs.select("doc_id", core.scope_of(source, target).alias("scope"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+
+
 def memory(spark, d):
     lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "source_text"))
-    return lines.select((F.col("item_id") * 1000 + F.col("pos")).alias("tm_id"), "source_text")
+    pair = F.concat(F.when(F.col("item_id") % 4 == 3, "de").otherwise("en"), F.lit("→"), F.when(F.col("item_id") % 3 == 0, "fr").otherwise("zh"))
+    return lines.select((F.col("item_id") * 1000 + F.col("pos")).alias("tm_id"), "source_text", pair.alias("lang_pair"))
 
 
+SCOPED_SQL = f"SELECT doc_id, {SCOPE} AS scope, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
+MEMORY_SQL = rf"""SELECT scope, {NORM.replace('text', 'source_text')} AS src, max(tm_id) AS tm_id
+FROM (SELECT tm_id, source_text, unnest([lang_pair, 'auto→' || string_split(lang_pair, '→')[2]]) AS scope FROM ({TM_SQL})) GROUP BY 1, 2 HAVING src <> ''"""
 BEST_SQL = rf"""
-WITH s AS (SELECT DISTINCT {NORM} AS key FROM ({SEG_SQL}) WHERE {NORM} <> ''),
-m AS (SELECT {NORM.replace('text', 'source_text')} AS src, max(tm_id) AS tm_id FROM ({TM_SQL}) GROUP BY 1),
-ga AS (SELECT key, length(key) AS n, list_distinct([key[i:i + 1] for i in range(1, length(key))]) AS g FROM s),
-gb AS (SELECT src, tm_id, list_distinct([src[i:i + 1] for i in range(1, length(src))]) AS g FROM m WHERE src <> ''),
-p AS (SELECT key, tm_id, key = src AS exact, CASE WHEN key = src THEN 1.0 WHEN len(ga.g) + len(gb.g) = 0 THEN 1.0 WHEN len(ga.g) = 0 OR len(gb.g) = 0 THEN 0.0
+WITH s AS (SELECT DISTINCT scope, {NORM} AS key FROM ({SCOPED_SQL}) WHERE {NORM} <> ''), m AS ({MEMORY_SQL}),
+ga AS (SELECT scope, key, list_distinct([key[i:i + 1] for i in range(1, length(key))]) AS g FROM s),
+gb AS (SELECT scope, src, tm_id, list_distinct([src[i:i + 1] for i in range(1, length(src))]) AS g FROM m),
+p AS (SELECT ga.scope, key, tm_id, key = src AS exact, CASE WHEN key = src THEN 1.0 WHEN len(ga.g) + len(gb.g) = 0 THEN 1.0 WHEN len(ga.g) = 0 OR len(gb.g) = 0 THEN 0.0
   ELSE 2.0 * len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g)) END AS sim
-  FROM ga JOIN gb ON least(len(ga.g), len(gb.g)) * 1.5 >= greatest(len(ga.g), len(gb.g))),
-r AS (SELECT key, tm_id, exact, sim, row_number() OVER (PARTITION BY key ORDER BY exact DESC, sim DESC, tm_id) AS r FROM p WHERE sim >= 0.8)
-SELECT key, tm_id, round_even(sim, 3)::DOUBLE AS similarity, exact FROM r WHERE r = 1"""
+  FROM ga JOIN gb ON ga.scope = gb.scope AND least(len(ga.g), len(gb.g)) * 1.5 >= greatest(len(ga.g), len(gb.g))),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY exact DESC, sim DESC, tm_id) AS r FROM p WHERE sim >= 0.8)
+SELECT scope, key, tm_id, round_even(sim, 3)::DOUBLE AS similarity, exact FROM r WHERE r = 1"""
 
 
 @query("j3_tm_fuzzy", BEST_SQL)
 def j3(spark, d):
-    return core.memory_lookup(lines(spread(table(spark, d, "documents"))).select("text"), memory(spark, d))
+    return core.memory_lookup(scoped_lines(spread(table(spark, d, "documents"))).select("scope", "text"), memory(spark, d))
 
 
-@query("j2_tm_exact", rf"SELECT doc_id, pos::BIGINT AS pos, max(tm_id) AS tm_id FROM (SELECT doc_id, pos, {NORM} AS k FROM ({SEG_SQL})) JOIN (SELECT tm_id, {NORM.replace('text', 'source_text')} AS k FROM ({TM_SQL})) USING (k) WHERE k <> '' GROUP BY doc_id, pos")
+@query("j2_tm_exact", rf"SELECT doc_id, pos::BIGINT AS pos, tm_id FROM (SELECT doc_id, pos, scope, {NORM} AS k FROM ({SCOPED_SQL})) s JOIN ({MEMORY_SQL}) m ON s.scope = m.scope AND k = src")
 def j2(spark, d):
-    m = memory(spark, d).groupBy(X.norm_text(F.col("source_text")).alias("k")).agg(F.max("tm_id").alias("tm_id")).where("k <> ''")
-    return segments(spark, d).withColumn("k", X.norm_text(F.col("text"))).join(m, "k").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id")
+    m = core.memory_scopes(memory(spark, d)).withColumnRenamed("src", "k")
+    return scoped_lines(table(spark, d, "documents")).withColumn("k", X.norm_text(F.col("text"))).join(m, ["scope", "k"]).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id")
 
 
-@query("g1_tm_routing", rf"WITH best AS ({BEST_SQL}) SELECT doc_id, pos::BIGINT AS pos, tm_id, similarity, CASE WHEN {NORM} = '' THEN 'blank' WHEN exact THEN 'exact' WHEN tm_id IS NOT NULL THEN 'reference' ELSE 'model' END AS route FROM ({SEG_SQL}) LEFT JOIN best ON key = {NORM}")
+@query("g1_tm_routing", rf"WITH best AS ({BEST_SQL}) SELECT doc_id, pos::BIGINT AS pos, tm_id, similarity, CASE WHEN {NORM} = '' THEN 'blank' WHEN exact THEN 'exact' WHEN tm_id IS NOT NULL THEN 'reference' ELSE 'model' END AS route FROM ({SCOPED_SQL}) s LEFT JOIN best ON key = {NORM} AND best.scope = s.scope")
 def g1(spark, d):
-    own = lines(spread(table(spark, d, "documents")))
-    best = core.memory_lookup(own.select("text"), memory(spark, d))
-    s = own.withColumn("k", X.norm_text(F.col("text")))
-    route = F.when(F.col("k") == "", "blank").when(F.col("exact"), "exact").when(F.col("tm_id").isNotNull(), "reference").otherwise("model")
-    return s.join(best, s["k"] == best["key"], "left").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id", "similarity", route.alias("route"))
+    own = scoped_lines(spread(table(spark, d, "documents")))
+    best = core.memory_lookup(own.select("scope", "text"), memory(spark, d))
+    s = own.withColumn("key", X.norm_text(F.col("text")))
+    route = F.when(F.col("key") == "", "blank").when(F.col("exact"), "exact").when(F.col("tm_id").isNotNull(), "reference").otherwise("model")
+    return s.join(best, ["scope", "key"], "left").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tm_id", "similarity", route.alias("route"))
+
+
+TRIGRAM_SQL = r"list_distinct(flatten([[('  ' || w || ' ')[i:i + 2] for i in range(1, length(w) + 2)] for w in regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')]))"
+
+
+@query("o4_trigram_top", rf"""
+WITH s AS (SELECT scope, key, {TRIGRAM_SQL.format('key')} AS g FROM (SELECT DISTINCT scope, {NORM} AS key FROM ({SCOPED_SQL}))),
+m AS (SELECT scope, tm_id, {TRIGRAM_SQL.format('src')} AS g FROM ({MEMORY_SQL})),
+p AS (SELECT scope, key, tm_id, len(list_intersect(s.g, m.g)) AS c, len(s.g) + len(m.g) AS n FROM s JOIN m USING (scope) WHERE len(s.g) > 0 AND len(m.g) > 0 AND least(len(s.g), len(m.g)) >= 0.3 * greatest(len(s.g), len(m.g)) - 1e-6),
+r AS (SELECT scope, key, tm_id, c / (n - c) AS similarity, row_number() OVER (PARTITION BY scope, key ORDER BY c / (n - c) DESC, tm_id) AS r FROM p WHERE 10 * c >= 3 * (n - c))
+SELECT scope, key, r::INT AS rank, tm_id, similarity FROM r WHERE r <= 50""")
+def o4(spark, d):
+    """The 50 nearest memories of each distinct segment in its scope, by trigrams."""
+    s = scoped_lines(spread(table(spark, d, "documents"))).select("scope", X.norm_text(F.col("text")).alias("key")).distinct()
+    near = core.trigram_top(s.select(F.struct("scope", "key").alias("lid"), F.col("key").alias("ltext"), "scope"), core.memory_scopes(memory(spark, d)).select(F.struct("tm_id", "scope").alias("rid"), F.col("src").alias("rtext"), "scope"))
+    return near.select("lid.scope", "lid.key", "rank", "rid.tm_id", "similarity")
 
 
 #: Words and pairs of words of the memory, and each turn's first word beyond ASCII.
 TERM_PATTERNS = (r"[A-Za-z]{3,}", r"[A-Za-z]+[,.]? [A-Za-z]{3,}")
-GLOSSARY_SQL = rf"""SELECT term, upper(term) AS target, CASE WHEN min(o) % 3 = 0 THEN 'strict' ELSE 'preferred' END AS priority, min(o) AS ord FROM (
+GLOSSARY_SQL = rf"""SELECT term, 'T ' || term AS target, CASE WHEN min(o) % 3 = 0 THEN 'strict' ELSE 'preferred' END AS priority, min(o) AS ord FROM (
 SELECT unnest(w) AS term, item_id * 100000 + generate_subscripts(w, 1) AS o FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[0]}') AS w FROM benchmark)
 UNION ALL SELECT unnest(w), 100000000 + item_id * 100000 + generate_subscripts(w, 1) FROM (SELECT item_id, regexp_extract_all(text, '{TERM_PATTERNS[1]}') AS w FROM benchmark)
 UNION ALL SELECT w, 200000000 + conv_id * 1000 + turn FROM (SELECT conv_id, turn, regexp_extract(text, '\p{{L}}*[^\x00-\x7F]\p{{L}}* ?\p{{L}}*') AS w FROM conversations) WHERE w <> '') GROUP BY term"""
@@ -79,7 +108,7 @@ def glossary(spark, d):
     said = table(spark, d, "conversations").select(F.regexp_extract("text", wide, 0).alias("term"), (F.col("conv_id") * 1000 + F.col("turn") + 200_000_000).alias("o")).where("term <> ''")
     g = found("benchmark", "item_id", TERM_PATTERNS[0], 0).unionByName(found("benchmark", "item_id", TERM_PATTERNS[1], 100_000_000)).unionByName(said)
     g = g.groupBy("term").agg(F.min("o").alias("ord"))
-    return g.select("term", F.upper("term").alias("target"), F.when(F.col("ord") % 3 == 0, "strict").otherwise("preferred").alias("priority"), "ord")
+    return g.select("term", F.concat(F.lit("T "), F.col("term")).alias("target"), F.when(F.col("ord") % 3 == 0, "strict").otherwise("preferred").alias("priority"), "ord")
 
 
 ENTRY_SQL = """SELECT p_partkey AS id, p_type AS source_term, p_name AS target_term, ['en→zh', 'zh→en', 'fr→zh', 'zh→fr', 'en→fr'][p_partkey % 5 + 1] AS lang_pair,
@@ -135,11 +164,11 @@ def j12(spark, d):
     return hits.agg(F.count("*").alias("kept"), n(F.col("priority") == "strict", "strict"), F.max(F.length("term")).cast("bigint").alias("longest"))
 
 
-@query("f11_prompt_lines", f"""WITH h AS ({HITS_SQL}) SELECT doc_id, pos, string_agg('- ' || CASE WHEN priority = 'strict' THEN '[STRICT] ' ELSE '' END || '"' || term || '" → "' || upper(term) || '"', chr(10) ORDER BY term) AS prompt FROM h GROUP BY doc_id, pos""")
+@query("f11_prompt_lines", f"""WITH h AS ({HITS_SQL}) SELECT doc_id, pos, string_agg('- ' || CASE WHEN priority = 'strict' THEN '[STRICT] ' ELSE '' END || '"' || term || '" → "T ' || term || '"', chr(10) ORDER BY term) AS prompt FROM h GROUP BY doc_id, pos""")
 def f11(spark, d):
     s = lines(spread(table(spark, d, "documents"))).select(F.struct("doc_id", "pos").alias("seg_id"), "text")
     hits = core.glossary_hits(s, glossary(spark, d)).groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("term", "priority"))).alias("l"))
-    line = lambda x: F.concat(F.lit("- "), F.when(x["priority"] == "strict", "[STRICT] ").otherwise(""), F.lit('"'), x["term"], F.lit('" → "'), F.upper(x["term"]), F.lit('"'))
+    line = lambda x: F.concat(F.lit("- "), F.when(x["priority"] == "strict", "[STRICT] ").otherwise(""), F.lit('"'), x["term"], F.lit('" → "T '), x["term"], F.lit('"'))
     return hits.select("seg_id.doc_id", F.col("seg_id.pos").cast("bigint").alias("pos"), F.array_join(F.transform("l", line), "\n").alias("prompt"))
 
 
