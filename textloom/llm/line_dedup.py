@@ -8,8 +8,8 @@ only line. Shorter single lines stay unless their neighbours repeat too; ``singl
 
 Of each window of ``min_lines`` line hashes the leftmost smallest is a fingerprint, so any run that long shares one at the
 same place; a single line is its own. Windows whose lines are all runs by themselves are left to those. Fingerprints that
-occur once are done with; the others' positions are extended both ways to the windows that chose them, and a window's first
-occurrence is kept. A fingerprint or window that very many documents share is counted before the shuffle and joined back;
+occur once are done with; the others lead to the windows that chose them, which are compared by content, and a window's first
+occurrence is kept. A longer run is the union of its windows: none is grown line by line. A fingerprint or window that very many documents share is counted before the shuffle and joined back;
 pairs of positions are never listed.
 
 Defined results: null and empty texts stay as they are; rows with a null doc_id stay and are no source; rows equal in
