@@ -344,3 +344,14 @@ def overlap_anti_join(boxes: DataFrame, tables: DataFrame, share: float = 0.5) -
     h = F.greatest(F.lit(0.0), F.least("b.y2", "t.y2") - F.greatest("b.y1", "t.y1"))
     area = (F.col("b.x2") - F.col("b.x1")) * (F.col("b.y2") - F.col("b.y1"))
     return b.join(t, (F.col("b.page") == F.col("t.page")) & (area > 0) & (w * h > area * share), "left_anti")
+
+
+def sorted_page(df: DataFrame, allowed: dict[str, str], default: str, sort_by: str, sort_order: str, key: str, size: int, page: int = 1) -> DataFrame:
+    """A page of ``df`` with ``place`` (from 1 on this page), by the column that ``allowed`` has for ``sort_by``, else by ``default``.
+
+    Descending only where ``sort_order`` is desc in any case; ties by ``key``. The page alone is numbered.
+    """
+    column = allowed.get(sort_by, default)
+    order = [F.desc(column) if sort_order.lower() == "desc" else F.asc(column), F.asc(key)]
+    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

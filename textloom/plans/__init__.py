@@ -28,4 +28,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from textloom.plans import relational, rules, sources, stateful, texts  # noqa: E402, F401  they register their queries
+from textloom.plans import relational, rules, sources, stateful, texts, updates  # noqa: E402, F401  they register their queries
