@@ -11,8 +11,8 @@ leading zeros and ten mantissa bits (16 bits). Empty buckets borrow from buckets
 3. Pairs are verified on the full sets: first each document's best pair, then those pairs whose ends are still apart.
 4. Buckets whose members are still in different components give the remaining pairs across components. Of buckets of up to
    ``LISTED`` members they are listed, by ids. The members of larger ones, families of texts that are alike but below the
-   threshold, meet by their rarest shingles instead: with shingles in one order (those of a single component first, then the
-   rarest), two sets at the threshold share one of the first n - o + 1 shingles of each, o being the overlap that their
+   threshold, meet by their rarest shingles instead: with shingles in one order (by counters: those of a single component first,
+   then the rarest), two sets at the threshold share one of the first n - o + 1 shingles of each, o being the overlap that their
    sizes ask for, and the one they share lets o be reached. Sizes are dealt into classes, so that this count is exact to a few
    percent and is part of the join's key. Texts that differ from all others in their own rare shingles so meet none of them.
    Pairs are then estimated and verified as before. No link between different texts that share a band is lost, and members
@@ -28,6 +28,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,7 @@ from textloom.llm.common import Words, components, cut, grams, joined_groups, sl
 
 BUCKETS = 256
 LISTED = 16
+COUNTERS = 1 << 20  # of shingles, for their order in step 4: 8 MiB a task
 CLASS = 1.03  # ratio of the largest to the smallest size of a class
 USED = 252  # a multiple of many band widths
 MANTISSA = 10
@@ -147,27 +150,54 @@ def _sets(shingle: int):
     return run
 
 
+def _prefixes(order, num: int, den: int):
+    """The first shingles of each set, as many as an overlap with the smallest partner can ask for; ``order`` ranks counters."""
+    t = num / den
+
+    def run(batches):
+        ranks = order.value
+        for batch in batches:
+            rare = []
+            for n, tokens in zip(batch.column("n").to_pylist(), batch.column("tokens")):
+                x = np.asarray(tokens.values)
+                need = math.ceil((n + math.ceil(n * t - 1e-9)) * (t / (1 + t)) - 1e-9)
+                rare.append(pa.array(x[np.lexsort((x, ranks[x & (COUNTERS - 1)]))[: n - need + 1]]))
+            ends = np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)
+            values = pa.concat_arrays(rare) if rare else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("c"), batch.column("n"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["rep", "c", "n", "rare"])
+
+    return run
+
+
 def crowd_pairs(crowd: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b) of texts (rep, c, text) in different components c that may reach the threshold: the prefix join of step 4."""
+    """(a, b) of texts (rep, c, text) in different components c that may reach the threshold: the prefix join of step 4.
+
+    Shingles are ordered by ``COUNTERS`` counters, an array of that many numbers however large the input: counters that one
+    component alone has go first, then small ones, ties by the shingle. Any order gives exact results; a good one few rows.
+    """
     t = num / den
+    spark = crowd.sparkSession
     sets = cut(crowd.withColumn("txt", F.xxhash64("text")).select("rep", "txt", "c", "text").mapInArrow(_sets(shingle), "rep long, txt long, c long, tokens array<long>"))
-    each = sets.select("rep", "txt", "c", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    # shingles of one component only need no row and come first in every set
-    shared = each.groupBy("token").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token", "df")
-    ranked = each.join(shared, "token").groupBy("rep", "txt", "c", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("rare"))
+    sets = sets.where("size(tokens) > 0").select("rep", "c", F.size("tokens").cast("long").alias("n"), "tokens")
+    counter = F.col("token").bitwiseAND(F.lit(COUNTERS - 1))
+    counted = sets.select("c", F.explode("tokens").alias("token")).groupBy(counter.alias("k")).agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    counts = counted.select("k", F.when(F.col("lo") < F.col("hi"), F.col("df")).otherwise(0).alias("rank")).toArrow()
+    ranks = np.zeros(COUNTERS, np.int64)
+    ranks[counts.column("k").to_numpy()] = counts.column("rank").to_numpy()
+    order = spark.sparkContext.broadcast(ranks)
+    each = cut(sets.mapInArrow(_prefixes(order, num, den), "rep long, c long, n long, rare array<long>").select("rep", "c", "n", F.posexplode("rare").alias("pos", "token")))
+    # a shingle that stands in the prefixes of one component only brings no two together
+    shared = each.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    ranked = each.join(shared, "token", "left_semi")
     group = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)))
     n, other = F.col("n"), F.col("other")
     classes = F.sequence(group(F.ceil(n * t - 1e-9)), group(F.floor(n / t + 1e-9)))
     smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), other)), F.ceil(n * t - 1e-9))  # of the sets of the other class
     need = F.ceil((n + smallest) * (t / (1 + t)) - 1e-9)
-    first = (n - need + 1 - (n - F.size("rare"))).cast("int")  # of the shared shingles, that many are among the set's first ones
-    rows = (
-        ranked.withColumn("own", group(n)).withColumn("other", F.explode(classes)).withColumn("first", first).where("first > 0")
-        .select("rep", "c", "n", "own", "other", (n - F.size("rare")).alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.col("first"))).alias("pos", "g"))
-        .select("rep", "c", "n", "own", "other", (F.col("alone") + F.col("pos")).alias("pos"), "g.token")
-    )
+    first = (n - need + 1).cast("int")  # a set's shingles in that order, one of which the partner has among its own first ones
+    rows = ranked.withColumn("own", group(n)).withColumn("other", F.explode(classes)).where(F.col("pos") < first).select("rep", "c", "n", "own", "other", "pos", "token")
     x, y = rows.where("own <= other").alias("x"), rows.where("own >= other").alias("y")
-    overlap = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    overlap = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     return (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
                & (F.col("x.c") != F.col("y.c")) & ((F.col("x.own") < F.col("x.other")) | (F.col("x.rep") < F.col("y.rep")))
