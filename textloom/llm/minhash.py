@@ -150,6 +150,21 @@ def _sets(shingle: int):
     return run
 
 
+def _counters(batches):
+    """A task's counters of shingles (k, df, lo and hi component), combined before they leave it."""
+    df, lo, hi = np.zeros(COUNTERS, np.int64), np.full(COUNTERS, 1 << 62), np.full(COUNTERS, -1 << 62)
+    for batch in batches:
+        k = batch.column("tokens").flatten().to_numpy() & (COUNTERS - 1)
+        c = np.repeat(batch.column("c").to_numpy(), batch.column("tokens").value_lengths().to_numpy())
+        np.add.at(df, k, 1)
+        np.minimum.at(lo, k, c)
+        np.maximum.at(hi, k, c)
+    used = np.flatnonzero(df)
+    for i in range(0, len(used), 1 << 16):
+        k = used[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k]), pa.array(lo[k]), pa.array(hi[k])], names=["k", "df", "lo", "hi"])
+
+
 def _prefixes(order, num: int, den: int):
     """The first shingles of each set, as many as an overlap with the smallest partner can ask for; ``order`` ranks counters."""
     t = num / den
@@ -179,8 +194,8 @@ def crowd_pairs(crowd: DataFrame, shingle: int, num: int, den: int) -> DataFrame
     spark = crowd.sparkSession
     sets = cut(crowd.withColumn("txt", F.xxhash64("text")).select("rep", "txt", "c", "text").mapInArrow(_sets(shingle), "rep long, txt long, c long, tokens array<long>"))
     sets = sets.where("size(tokens) > 0").select("rep", "c", F.size("tokens").cast("long").alias("n"), "tokens")
-    counter = F.col("token").bitwiseAND(F.lit(COUNTERS - 1))
-    counted = sets.select("c", F.explode("tokens").alias("token")).groupBy(counter.alias("k")).agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    counted = sets.select("c", "tokens").mapInArrow(_counters, "k long, df long, lo long, hi long")
+    counted = counted.groupBy("k").agg(F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     counts = counted.select("k", F.when(F.col("lo") < F.col("hi"), F.col("df")).otherwise(0).alias("rank")).toArrow()
     ranks = np.zeros(COUNTERS, np.int64)
     ranks[counts.column("k").to_numpy()] = counts.column("rank").to_numpy()
