@@ -516,6 +516,19 @@ def test_html_areas():
     assert html_text.main_text("<body><article><p>Short.</p></article><footer>A footer that is longer than the article.</footer></body>") == "Short."
 
 
+def test_html_compound_labels():
+    want = html_text.main_text(f"<body><article>{BODY}</article></body>")
+    other = "<p>Other words that some reader wrote here, and quite a few of them, too.</p>"
+    for page in (
+        f"<body><article>{BODY}<div class='ad-container'><p>Buy this now, it is very good.</p></div></article></body>",
+        f"<body><div class='story'>{BODY}</div><div class='reader-comments'>{other}{other}</div></body>",
+        f"<body><div class='story'>{BODY}</div><div class='widget-area right-column'><p>Weather today: some rain.</p></div></body>",
+        f"<body><div class='left-column-story ad-free'>{BODY}</div></body>",
+        f"<body><div class='sidebar-wrapper'>{BODY}</div></body>",  # it holds the text, so it stays
+    ):
+        assert html_text.main_text(page) == want, page
+
+
 def test_html_headers_and_depth(spark):
     want = " ".join(STORY)
     head = "<header><h1>Headline</h1><p>By one</p></header>"

@@ -39,9 +39,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NO_TEXT = frozenset("head title script style noscript template button select option textarea input iframe object svg math canvas audio video".split())
 AREAS = frozenset("nav header footer aside form menu dialog".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
-WORD = r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|side-?bar|comments?|reply|replies|respond|disqus|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend[^\W_]*|menu|nav[^\W_]*|breadcrumbs?|pagination|pager|header|footer|masthead|toolbar|skip)"
+WORD = r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|side-?bar|comments?|reply|replies|respond|disqus|notice|cookies?|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend[^\W_]*|menu|nav[^\W_]*|breadcrumbs?|pagination|pager|header|footer|masthead|toolbar|widgets?|skip)"
 #: A whole class token: labels, with words of place before them and words of kind behind them; not has-sidebar or no-header.
-LABEL = re.compile(rf"(?:(?:site|page|global|top|bottom|left|right)[_-])*{WORD}(?:[_-](?:{WORD}|area|section|list|box|bar|block|links?|buttons?|items?|top|bottom|left|right))*", re.I)
+LABEL = re.compile(rf"(?:(?:site|page|global|top|bottom|left|right|reader|user|visitor)[_-])*{WORD}(?:[_-](?:{WORD}|area|section|list|box|bar|block|container|wrapper|wrap|slot|unit|column|links?|buttons?|items?|top|bottom|left|right))*", re.I)
 #: Areas that often outweigh their article, or hold articles of their own.
 OTHERS = re.compile(r"comments?|reply|replies|respond|disqus|related|recommend\w*|consent|cookies?|gdpr|modal|popup|overlay", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
