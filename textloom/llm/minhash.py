@@ -205,17 +205,19 @@ def crowd_pairs(crowd: DataFrame, shingle: int, num: int, den: int) -> DataFrame
     shared = each.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     ranked = each.join(shared, "token", "left_semi")
     group = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)))
-    n, other = F.col("n"), F.col("other")
-    classes = F.sequence(group(F.ceil(n * t - 1e-9)), group(F.floor(n / t + 1e-9)))
-    smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), other)), F.ceil(n * t - 1e-9))  # of the sets of the other class
-    need = F.ceil((n + smallest) * (t / (1 + t)) - 1e-9)
-    first = (n - need + 1).cast("int")  # a set's shingles in that order, one of which the partner has among its own first ones
-    rows = ranked.withColumn("own", group(n)).withColumn("other", F.explode(classes)).where(F.col("pos") < first).select("rep", "c", "n", "own", "other", "pos", "token")
-    x, y = rows.where("own <= other").alias("x"), rows.where("own >= other").alias("y")
+    n, pos = F.col("n"), F.col("pos")
+    # the set of the smaller class waits under its own class, with the shingles that a partner as large can ask for; the other
+    # looks it up in the classes of the sizes that its shingle's place leaves possible: n - pos must reach the overlap
+    smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("own"))), F.ceil(n * t - 1e-9))
+    first = n - F.ceil((n + smallest) * (t / (1 + t)) - 1e-9) + 1
+    least, largest = F.ceil(n * t - 1e-9), F.floor((n - pos) * ((1 + t) / t) - n + 1e-6)
+    placed = ranked.withColumn("own", group(n))
+    x = placed.where(pos < first).alias("x")
+    y = placed.where(largest >= least).select("*", F.explode(F.sequence(group(least), F.least("own", group(largest)))).alias("other")).alias("y")
     overlap = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     return (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
-               & (F.col("x.c") != F.col("y.c")) & ((F.col("x.own") < F.col("x.other")) | (F.col("x.rep") < F.col("y.rep")))
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other"))
+               & (F.col("x.c") != F.col("y.c")) & ((F.col("x.own") < F.col("y.own")) | (F.col("x.rep") < F.col("y.rep")))
                & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (overlap >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-6))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
     )
