@@ -207,13 +207,17 @@ def crowd_pairs(crowd: DataFrame, shingle: int, num: int, den: int) -> DataFrame
     group = lambda n: F.floor(F.log(n) / F.log(F.lit(CLASS)))
     n, pos = F.col("n"), F.col("pos")
     # the set of the smaller class waits under its own class, with the shingles that a partner as large can ask for; the other
-    # looks it up in the classes of the sizes that its shingle's place leaves possible: n - pos must reach the overlap
+    # looks it up in those classes where its shingle waits for another component, of the sizes that the shingle's place leaves
+    # possible: n - pos must reach the overlap
     smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("own"))), F.ceil(n * t - 1e-9))
     first = n - F.ceil((n + smallest) * (t / (1 + t)) - 1e-9) + 1
     least, largest = F.ceil(n * t - 1e-9), F.floor((n - pos) * ((1 + t) / t) - n + 1e-6)
-    placed = ranked.withColumn("own", group(n))
-    x = placed.where(pos < first).alias("x")
-    y = placed.where(largest >= least).select("*", F.explode(F.sequence(group(least), F.least("own", group(largest)))).alias("other")).alias("y")
+    placed = cut(ranked.withColumn("own", group(n)))
+    x = placed.where(pos < first)
+    waiting = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.collect_set("own").alias("waits"))
+    asked = placed.where(largest >= least).join(waiting, "token").where("lo <> c or hi <> c")
+    possible = F.filter("waits", lambda o: o.between(group(least), F.least("own", group(largest))))
+    x, y = x.alias("x"), asked.select("rep", "c", "n", "own", "pos", "token", F.explode(possible).alias("other")).alias("y")
     overlap = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     return (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other"))
