@@ -118,6 +118,19 @@ def test_glossary_hits(spark):
     for r in core.glossary_hits(df, spark.createDataFrame(glossary, "ord long, term string, priority string")).orderBy("seg_id", "ord").collect():
         got.setdefault(r.seg_id, []).append(r.term)
     assert got == {1: ["act", "contract", " breach ", "Act"], 2: ["breach of contract"], 3: ["根本违约"], 4: ["违约"], 5: ["a.b", "(z)", "--- "], 8: ["ñ1"], 9: ["act", "Act"]}
+    large = core.TERM_BYTES
+    core.TERM_BYTES = 0  # a glossary that is not broadcast
+    try:
+        rows = core.glossary_hits(df, spark.createDataFrame(glossary, "ord long, term string, priority string")).collect()
+    finally:
+        core.TERM_BYTES = large
+    assert sorted((r.seg_id, r.ord, r.term) for r in rows) == sorted((k, min(i for i, t, _ in glossary if t.strip() == x.strip()), x) for k, v in got.items() for x in v)
+    # a family of terms that share a common word meets each text by the other one, and the shorter term goes where a longer one hits
+    family = [(i, f"agreement {'w' + str(i)}", "preferred") for i in range(300)] + [(900, "agreement", "preferred"), (901, "w17", "strict")]
+    said = [(i, f"the agreement w{i} and an agreement w{i + 1}x" if i % 2 else "an agreement") for i in range(20)]
+    hit = core.glossary_hits(spark.createDataFrame(said, "seg_id long, text string"), spark.createDataFrame(family, "ord long, term string, priority string")).collect()
+    want = {(i, f"agreement w{i}") for i in range(1, 20, 2)} | {(i, "agreement") for i in range(0, 20, 2)} | {(17, "w17")}
+    assert {(r.seg_id, r.term) for r in hit} == want and len(hit) == len(want)
     many = [(i, f"t{i:02}" + "x" * (i % 5), "strict" if i % 7 == 0 else "preferred") for i in range(60)]
     one = spark.createDataFrame([(1, " ".join(t for _, t, _ in many))], "seg_id long, text string")
     kept = [(r.ord, r.term) for r in core.glossary_hits(one, spark.createDataFrame(many, "ord long, term string, priority string")).collect()]

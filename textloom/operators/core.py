@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import bigram_codes, dice, language_pair_code, norm_text, strip, trigrams
-from textloom.storage import cut
+from textloom.storage import cut, written_bytes
 
 Pair = tuple[str, str]
 
@@ -190,6 +190,7 @@ W = r"[\p{L}\p{N}_]"  # characters of words
 
 
 MARK = "\x01"
+TERM_BYTES = 8 << 20  # written bytes of a glossary up to which it is broadcast to the texts
 
 
 def _marked(text: Column) -> Column:
@@ -209,16 +210,22 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> D
     on word boundaries, case-insensitively; another one of two or more wherever its characters stand. A term that is part of
     a longer hit of the segment goes, unless it is strict. Beyond ``most`` hits, strict and then longer terms are kept.
 
-    No segment is compared with all terms: an ASCII term meets the segments that have its longest word, a term beyond ASCII
-    those that have up to four of its characters in a row, a term of marks alone those that have its first three; candidates are
-    checked on the text. Which terms hold which others is found once, among terms.
+    No segment is compared with all terms: an ASCII term meets the segments that have that word of it which the fewest terms
+    share (then the longest), a term beyond ASCII those that have up to four of its characters in a row, a term of marks alone
+    those that have its first three; candidates are checked on the text. A glossary of up to ``TERM_BYTES`` as written is
+    broadcast, and texts stay where they are; for a larger one keys are shuffled, and candidates are joined with their text.
+    Which terms a term holds is found once, among terms: a hit names those few, so hits are never joined with all longer terms.
     """
     bare = strip(F.col("term"))
     ascii_ = F.col("t").rlike(r"^[\x00-\x7F]*$")
     terms = glossary.select(bare.alias("t"), "term", "priority", "ord").where(F.col("t") != "").groupBy("t").agg(F.min(F.struct("ord", "term", "priority")).alias("f"))
     terms = terms.where(F.length("t") >= F.when(ascii_, 3).otherwise(2)).select("t", "f.*", ascii_.alias("ascii"))
-    runs = F.transform(F.regexp_extract_all("t", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w")))
-    word = F.coalesce(F.array_max(runs)["w"], F.lit(""))
+    # an ASCII term's word: the one in the fewest terms
+    words = terms.where("ascii").select("t", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("w"))
+    shared = words.groupBy("w").agg(F.count("*").alias("among"))
+    rarest = words.join(shared, "w").groupBy("t").agg(F.min(F.struct("among", F.negative(F.length("w")).alias("size"), "w"))["w"].alias("word"))
+    terms = terms.join(rarest, "t", "left")
+    word = F.coalesce("word", F.lit(""))
     # up to four characters of a term, its first one beyond ASCII among them
     size = F.least(F.length("t"), F.lit(4))
     first = F.least(F.length(F.regexp_extract("t", r"^[\x00-\x7F]*", 0)) + 1, F.length("t") - size + 1)
@@ -228,7 +235,7 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> D
     )
     edge = lambda c: F.when(c.rlike(W), "").otherwise(MARK)
     bounded = F.concat(edge(F.left("t", F.lit(1))), _marked(F.col("t")), edge(F.right("t", F.lit(1))))
-    terms = cut(terms.withColumn("key", key).withColumn("bounded", bounded))
+    terms = cut(terms.withColumn("key", key).withColumn("bounded", bounded).drop("word"))
     tag = lambda x, c: F.transform(c, lambda v: F.concat(F.lit(x), v))
     text = F.col("text")
     # texts give only the kinds of keys that terms have: words, marks, and runs of two to four characters
@@ -239,17 +246,23 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, most: int = 40) -> D
         found_in[k] = tag("g", F.when(text.rlike(r"[^\x00-\x7F]"), _grams(text, k, beyond)).otherwise(F.array()))
     keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *(found_in[k] for k in sorted(kinds))))
     side = segments.select("seg_id", "text", _marked(text).alias("marked"))
-    maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(side, "seg_id")
+    if written_bytes(terms) <= TERM_BYTES:
+        maybe = side.select("*", F.explode(keys).alias("key")).join(F.broadcast(terms), "key")
+    else:
+        maybe = segments.select("seg_id", F.explode(keys).alias("key")).join(terms, "key").join(side, "seg_id")
     found = F.when(F.col("ascii"), F.col("marked").contains(F.col("bounded"))).otherwise(text.contains(F.col("t")))
     hits = maybe.where(found).select("seg_id", "t", "term", "priority", "ord")
     # terms inside longer ones, by their first two to four characters
     start = terms.select("t", F.least(F.length("t"), F.lit(4)).alias("k")).select(F.col("t").alias("inner"), F.concat_ws(":", "k", F.left("t", F.col("k"))).alias("g"))
     parts = F.concat(*(tag(f"{k}:", _grams(F.col("t"), k, "." * k)) for k in (2, 3, 4)))
     inside = terms.select(F.col("t").alias("outer"), F.explode(parts).alias("g")).join(start, "g").where((F.length("outer") > F.length("inner")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
-    hits = cut(hits)
-    plain = hits.where("priority is null or priority <> 'strict'").select("seg_id", F.col("t").alias("inner")).join(inside, "inner")
-    shadowed = plain.join(hits.select("seg_id", F.col("t").alias("outer")), ["seg_id", "outer"], "left_semi").select("seg_id", F.col("inner").alias("t"))
-    left = hits.join(shadowed, ["seg_id", "t"], "left_anti")
+    holds = cut(inside.groupBy("outer").agg(F.collect_set("inner").alias("holds")).withColumnRenamed("outer", "t"))
+    # a hit's own row, and one without content for each term it holds: those of a segment and term meet in one task
+    own = F.struct("term", "priority", "ord")
+    held = F.transform(F.coalesce("holds", F.array().cast("array<string>")), lambda i: F.struct(i.alias("t"), F.when(F.lit(False), own).alias("own")))
+    rows = hits.join(holds, "t", "left").select("seg_id", F.inline(F.concat(F.array(F.struct("t", own.alias("own"))), held)))
+    each = rows.repartition("seg_id").groupBy("seg_id", "t").agg(F.max("own").alias("own"), F.bool_or(F.col("own").isNull()).alias("held"))
+    left = each.where("own is not null and (not held or own.priority <=> 'strict')").select("seg_id", "own.*")
     by = Window.partitionBy("seg_id")
     over = F.col("n") > most
     rank = F.row_number().over(by.orderBy(F.when(over, (F.coalesce(F.col("priority"), F.lit("")) != "strict").cast("int")), F.when(over, -F.length("term")), "ord", "term"))

@@ -32,6 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a written table that was read again (``cut``), as the planner knows them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many tasks as the session runs at a time: a table of fewer file splits (one row group, say) is
     dealt anew before costly work on its rows, a larger one is left as it lies."""
