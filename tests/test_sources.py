@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,16 @@ def test_markdown(spark, text):
     assert [tuple(x) for x in got] == blocks(text)
 
 
+def test_markdown_random(spark):
+    rng = random.Random(5)
+    line = ["a", "b c", "", "  ", "```", "  ```py", "x ``` y", "\r", "c\u2028d", "é", "``", "\t"]
+    texts = ["\n".join(rng.choice(line) for _ in range(rng.randrange(12))) for _ in range(600)]
+    texts += ["\n".join(rng.choice(line) for _ in range(100_000)), "\n".join(["a"] * 100_000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text_files.markdown_blocks(F.col("t")).alias("b")).collect()
+    assert {r.i: [tuple(x) for x in r.b] for r in got} == {i: blocks(t) for i, t in enumerate(texts)}
+    assert spark.createDataFrame([(None,)], "t string").select(text_files.markdown_blocks(F.col("t"))).first()[0] is None
+
+
 def test_markdown_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()
     rows = plans.queries()["s7_markdown_blocks"](spark, SF).orderBy("doc_id", "block").collect()

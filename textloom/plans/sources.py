@@ -29,9 +29,15 @@ def s5(spark, d):
     return text_files.decode_bytes(table(spark, d, "documents").select("doc_id", marked.alias("content"))).select("doc_id", "text")
 
 
-@query("s7_markdown_blocks")
+@query("s7_markdown_blocks", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+f AS (SELECT *, starts_with(trim(text, ' '), '```') AS fence FROM l),
+g AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM f),
+p AS (SELECT *, NOT fence AND NOT fenced AND trim(text, ' ') <> '' AS plain FROM g),
+s AS (SELECT *, plain AND coalesce(lag(plain) OVER (PARTITION BY doc_id ORDER BY pos), false) AS goes_on FROM p),
+b AS (SELECT *, (sum((NOT goes_on)::INT) OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS block FROM s)
+SELECT doc_id, block, string_agg(text, chr(10) ORDER BY pos) AS text, bool_or(plain) AS translatable FROM b GROUP BY doc_id, block""")
 def s7(spark, d):
-    """No SQL: blocks depend on the fence state of the lines before; a test holds them against brute force."""
     blocks = table(spark, d, "documents").select("doc_id", F.posexplode(text_files.markdown_blocks(F.col("text"))).alias("block", "b"))
     return blocks.select("doc_id", "block", "b.text", "b.translatable")
 

@@ -39,19 +39,32 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return decode_bytes(spark.read.format("binaryFile").load(path).select("path", "content")).drop("content")
 
 
+FENCE = r"(?<![^\n]) *```[^\n]*"  # a line that opens or closes a fence
+
+
 def markdown_blocks(text: Column) -> Column:
-    """Blocks (text, translatable) of a Markdown text in order: paragraphs end at blank lines, fenced lines stand alone."""
-    start = F.struct(F.array().cast("array<struct<text:string,translatable:boolean>>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("fenced"))
+    """Blocks (text, translatable) of a Markdown text in order: paragraphs end at blank lines, fenced lines stand alone.
+
+    The text is cut at fence lines, so that every second part stands inside a fence, and the others before blank lines: each
+    character is looked at a fixed number of times, and no array grows line by line.
+    """
+    block = lambda t, plain: F.struct(t.alias("text"), F.lit(plain).alias("translatable"))
+    fences, parts = F.regexp_extract_all(text, F.lit(FENCE), F.lit(0)), F.split(text, FENCE)
+    none = F.array().cast("array<struct<text:string,translatable:boolean>>")
 
-    def flush(s):
-        return F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["open"].alias("text"), F.lit(True).alias("translatable")))))
+    def from_blank(q):  # a blank line and the paragraph behind it, or the first paragraph
+        blank = F.regexp_extract(q, r"\A *", 0)
+        behind = F.when(F.length(q) > F.length(blank), F.array(block(F.substring(q, F.length(blank) + 2, F.length(q)), True))).otherwise(none)
+        return F.when(q.rlike(r"\A *(?:\n|\z)"), F.concat(F.array(block(blank, False)), behind)).otherwise(F.array(block(q, True)))
 
-    def step(s, line):
-        fence = F.trim(line).startswith("```")
-        alone = F.array(F.struct(line.alias("text"), F.lit(False).alias("translatable")))
-        plain = ~fence & ~s["fenced"] & (F.trim(line) != "")
-        done = F.when(plain, s["done"]).otherwise(F.concat(flush(s), alone))
-        grown = F.when(plain, F.when(s["open"].isNull(), line).otherwise(F.concat(s["open"], F.lit("\n"), line)))
-        return F.struct(done.alias("done"), grown.alias("open"), (s["fenced"] != fence).alias("fenced"))
+    def of_part(z, i):
+        part, next_fence = z["part"], z["fence"]
+        edges = (i > 0).cast("int") + next_fence.isNotNull().cast("int")  # newlines of the fence lines beside it
+        body = F.substring(part, (i > 0).cast("int") + 1, F.length(part) - edges)
+        lines = F.when(i % 2 == 1, F.transform(F.split(body, "\n"), lambda x: block(x, False))).otherwise(F.flatten(F.transform(F.split(body, r"\n(?= *(?:\n|\z))"), from_blank)))
+        fence = F.when(next_fence.isNotNull(), F.array(block(next_fence, False))).otherwise(none)
+        return F.concat(F.when(F.length(part) < edges, none).otherwise(lines), fence)
 
-    return F.aggregate(F.split(text, "\n"), start, step, flush)
+    # each part with the fence line behind it; what a lambda names from outside would be computed again for every part
+    both = F.zip_with(parts, fences, lambda p, f: F.struct(p.alias("part"), f.alias("fence")))
+    return F.flatten(F.transform(both, of_part))
