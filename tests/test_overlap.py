@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions.points import code_points, gram_sets
+from textloom.functions.points import code_points, gram_sets, row_slices
 from textloom.operators import core, overlap
 
 
@@ -62,8 +62,7 @@ def test_products_in_pieces(monkeypatch):
     codes = lambda m: tuple(a.astype(np.uint64) if k else a for k, a in enumerate(np.nonzero(m)))
     assert (overlap._common(codes(x), 7, codes(y), 5) == x.astype(int) @ y.T.astype(int)).all()
     texts = pa.array(["ab" * k for k in (0, 3, 1, 0, 50, 2)])
-    monkeypatch.setattr(overlap, "CHARS", 8)
-    cuts = overlap._slices(texts)
+    cuts = row_slices(texts, 1024, 8)
     assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == 6 and (4, 5) in cuts
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.functions.points import gram_sets
+from textloom.functions.points import gram_sets, row_slices
 
 #: Rows of the small side in a block, of the large side in a bucket (all scopes) and in a product, n-grams in a product.
 BLOCK, BUCKET, ROWS, WIDTH = 1024, 32768, 1024, 8192
@@ -33,16 +33,6 @@ def _padded(words: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(words, ""), "", lines)
 
 
-def _slices(strings: pa.Array) -> list[tuple[int, int]]:
-    """Runs of rows of at most ROWS rows and CHARS bytes, a row at least."""
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False))))
-    out, at = [], 0
-    while at < len(strings):
-        out.append((at, min(len(strings), at + ROWS, max(at + 1, int(np.searchsorted(ends, ends[at] + CHARS, side="right")) - 1))))
-        at = out[-1][1]
-    return out
-
-
 def _common(left: tuple[np.ndarray, np.ndarray], n: int, right: tuple[np.ndarray, np.ndarray], m: int) -> np.ndarray:
     """How many codes rows of both sides share, as a product of 0/1 matrices, some n-grams at a time."""
     names = np.unique(right[1])
@@ -83,7 +73,7 @@ def near_pairs(left: DataFrame, right: DataFrame, size: int, words: bool, measur
             rsets = sets(rs.column("text").combine_chunks())
             rn = np.bincount(rsets[0], minlength=rs.num_rows)
             texts = ls.column("text").combine_chunks()
-            for lo, hi in _slices(texts) if len(rsets[0]) else []:
+            for lo, hi in row_slices(texts, ROWS, CHARS) if len(rsets[0]) else []:
                 lsets = sets(texts.slice(lo, hi - lo))
                 ln = np.bincount(lsets[0], minlength=hi - lo)
                 common = _common(lsets, hi - lo, rsets, rs.num_rows).astype(np.float64)
