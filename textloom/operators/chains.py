@@ -39,6 +39,7 @@ class TransitionMap:
 
 
 _PART = ["id", "part"]
+PART_ROWS = 1 << 18  # requests that a task sorts, about
 
 
 def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,22 +95,24 @@ def request_chains(held: DataFrame, requests: DataFrame, parts: int | None = Non
 
     Requests are dealt by ranges of (id, seq): a busy id lies in many parts. A part's requests compose to a map of states, on
     as many states as the part names; an id's maps, a row a part and state, give the state before each part; then the parts
-    apply their requests at the same time. No task takes an id's requests as a whole.
+    apply their requests at the same time. No task takes an id's requests as a whole. The number of parts grows with the
+    requests, so that a task's rows, and what it sorts, do not.
     """
     spark = requests.sparkSession
-    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-requests.count() // PART_ROWS), 1)
     text = lambda c: F.col(c).cast("string").alias(c)
     r = requests.select("id", F.col("seq").cast("long").alias("seq"), *map(text, ("expected", "attempt", "new", "new_attempt")))
     order = ["seq", "expected", "attempt", "new", "new_attempt"]
     r = cut(r.repartitionByRange(n, "id", *order).withColumn("part", F.spark_partition_id()))
     kind = r.schema["id"].dataType.simpleString()
     own = held.select("id", text("status"), text("attempt"))
-    sorted_ = lambda df, by, *order: df.repartition(*by).sortWithinPartitions(*by, *order)
+    # a number that is given is not lowered by the planner, whose own tasks hold so many bytes of shuffle, compressed
+    dealt = lambda df, *by: df.repartition(n, *by)
     pandas = lambda df, f, schema: df.mapInPandas(f, schema)
-    maps = pandas(sorted_(r, _PART, *order), _maps, f"id {kind}, part int, s0 string, a0 string, s1 string, a1 string")
-    starts = pandas(maps.join(own, "id").repartition("id").sortWithinPartitions("id", "part"), _starts, f"id {kind}, part int, status string, attempt string")
+    maps = pandas(dealt(r, *_PART).sortWithinPartitions(*_PART, *order), _maps, f"id {kind}, part int, s0 string, a0 string, s1 string, a1 string")
+    starts = pandas(dealt(maps, "id").join(dealt(own, "id"), "id").sortWithinPartitions("id", "part"), _starts, f"id {kind}, part int, status string, attempt string")
     starts = cut(starts.withColumnRenamed("attempt", "held").withColumn("known", F.lit(True)))
-    return pandas(sorted_(r.join(starts, _PART, "left"), _PART, *order), _apply, f"id {kind}, seq long, accepted boolean, status string, attempt string")
+    return pandas(dealt(r, *_PART).join(dealt(starts, *_PART), _PART, "left").sortWithinPartitions(*_PART, *order), _apply, f"id {kind}, seq long, accepted boolean, status string, attempt string")
 
 
 def _title_fold(most: int):
