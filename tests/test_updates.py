@@ -60,6 +60,33 @@ def test_patches_odd_input(spark):
     assert patches.patched(base.limit(0), none, "id", ["n"], ["slot"], ["slot"]).count() == 0
 
 
+def test_long_chain_of_refusals_takes_few_rounds(spark, monkeypatch):
+    import json
+
+    n, written = 60, []
+    monkeypatch.setattr(patches, "cut", lambda df, f=patches.cut: written.append(1) or f(df))
+    rows = {i: ("a", i, "n") for i in range(2 * n + 3)}
+    asked = [(i, i, {"slot": i + 1}) for i in range(n)]  # row n keeps its slot, so each is refused after its successor
+    asked += [(i, i, {"slot": i + 1, "note": "x"}) for i in range(n + 1, 2 * n + 2)] + [(2 * n + 2, 2 * n + 2, {"slot": n + 1})]  # a ring
+    base = spark.createDataFrame([(i, *x) for i, x in rows.items()], "id long, pair string, slot long, note string")
+    got = patches.patched(base, spark.createDataFrame([(i, k, json.dumps(p)) for i, k, p in asked], "id long, n int, patch string"), "id", ["n"], ["slot", "note"], ["pair", "slot"])
+    out = {x.id: (x.pair, x.slot, x.note, x.outcome) for x in got.collect()}
+    assert out == brute(rows, asked) and [out[0][3], out[n][3], out[n + 1][3]] == ["conflict", None, "applied"]
+    assert len(written) < n / 2
+
+
+def test_patches_name_what_their_json_names(spark):
+    texts = {
+        '{"\\u006eote": "x"}': "x", '{"a": {"note": 1}}': "old", '{"a": "\\"note\\""}': "old", '{"note": "x"': "old", '["note"]': "old", '"note"': "old", "note": "old", "": "old",
+        ' \n{"note" : 7}': "7", '{"note": 1, "note": 2}': "old", '{"note": null}': None, '{"note": ""}': "", '{"Note": "x"}': "old", '{"note": [1, null]}': "[1,null]", '{"note": true}': "true",
+    }
+    base = spark.createDataFrame([(i, "old", "{}") for i in range(len(texts))], "id int, note string, v string").withColumn("v", F.parse_json("v"))
+    asked = spark.createDataFrame([(i, 0, x) for i, x in enumerate(texts)] + [(0, 1, '{"v": {"b": [1.50, null]}}'), (1, 1, '{"v": null}')], "id int, n int, patch string")
+    got = patches.patched(base, asked, "id", ["n"], ["note", "v"], ["id"]).select("id", "note", F.to_json("v").alias("v"), "outcome").collect()
+    assert {r.id: r.note for r in got} == dict(enumerate(texts.values())) and {r.outcome for r in got} == {"applied"}
+    assert [r.v for r in sorted(got)][:3] == ['{"b":[1.5,null]}', "null", "{}"]
+
+
 def test_fitted(spark):
     df = spark.createDataFrame([(" A ", 1)], "source string, `x.y` int")
     got = patches.fitted(df, {"source": None, "key": "lower(trim(source))", "x.y": F.lit(9), "made": F.lit(2)}).collect()

@@ -31,10 +31,11 @@ def d4(spark, d):
     """Requests that set, null or leave out columns of orders; a slot is free or the request is refused."""
     base = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("slot"), F.col("o_orderpriority").alias("note"))
     kind = F.col("l_partkey") % 6
-    slot = (F.col("l_suppkey") * 40 + F.col("l_linenumber")).cast("string")
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    part, slot = text(F.col("l_suppkey")), text(F.col("l_suppkey") * 40 + F.col("l_linenumber"))
     body = (
-        F.when(kind == 0, '{"note": null}').when(kind == 1, F.format_string('{"note": "n%d"}', "l_suppkey")).when(kind == 2, F.format_string('{"slot": %s}', slot))
-        .when(kind == 3, "{}").when(kind == 4, F.format_string('{"owner": %d, "slot": null}', "l_suppkey")).otherwise("no object")
+        F.when(kind == 0, '{"note": null}').when(kind == 1, F.concat(F.lit('{"note": "n'), part, F.lit('"}'))).when(kind == 2, F.concat(F.lit('{"slot": '), slot, F.lit("}")))
+        .when(kind == 3, "{}").when(kind == 4, F.concat(F.lit('{"owner": '), part, F.lit(', "slot": null}'))).otherwise("no object")
     )
     who = F.col("l_orderkey") + F.when(F.col("l_suppkey") % 7 == 0, 1000000000).otherwise(0)
     asked = table(spark, d, "lineitem").select(who.alias("id"), "l_linenumber", "l_partkey", "l_suppkey", body.alias("patch"))
